@@ -26,3 +26,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups = near_duplicate_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from scenarium.llm.bpe import encode
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+
+
+@_query
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.langid import fit, predict, remainder
+
+    docs = _table(spark, sf_dir, "documents")
+    out = predict(docs, fit(docs, remainder(4) != 2))
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
