@@ -99,8 +99,8 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` for every row, from its whole text alone.
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id`` (or the columns ``keep``), ``lang_pred`` and ``score`` for every row, from its whole text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or if the model knows no language; else the
     language of the highest score (ties: the first in alphabetical order), brought from [-1, 1] to [0, 1].
@@ -115,9 +115,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 raw = model.score(presence(*raw_bytes(text)))[letter]
                 name[letter] = np.array(model.languages, object)[raw.argmax(1)]
                 score[letter] = np.clip((1 + raw.max(1).astype(np.float64)) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(name, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, fields), pa.array(name, pa.string()), pa.array(score)], [*fields, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    fields = keep or ["doc_id"]
+    rows = docs.select(*dict.fromkeys([*fields, "text"])).withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(run, rows.select(*fields).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
 
 
 def remainder(n: int) -> Column:

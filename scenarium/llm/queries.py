@@ -44,3 +44,17 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = predict(docs, fit(docs, remainder(4) != 2))
     return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.pii import replace_pii
+
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
