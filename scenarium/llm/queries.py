@@ -90,3 +90,17 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = score_language_model(docs, remainder(7) != 2)
     return out.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.chaining import fuzzy_passages
+
+    return fuzzy_passages(_table(spark, sf_dir, "documents"))
