@@ -104,3 +104,11 @@ def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenarium.llm.chaining import fuzzy_passages
 
     return fuzzy_passages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.suffixes import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
