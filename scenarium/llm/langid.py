@@ -21,6 +21,8 @@ WIDTH = sum(BUCKETS)
 ROWS = 512
 #: Bounds of the sample that the classifier is fitted on, and its landmarks.
 PER_LANGUAGE, MAX_SAMPLE, LANDMARKS, RIDGE = 500, 4000, 192, 1e-2
+#: Slices of a language that are ranked on their own before the language is.
+SLICES = 64
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -71,7 +73,10 @@ def fit(docs: DataFrame, training: Column) -> Model:
     """
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     ids = rows.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).withColumn("h", F.xxhash64("doc_id"))
-    ranked = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= PER_LANGUAGE)
+    # first within slices of a language, so that the last ranking meets a bounded number of rows however many there are
+    by_hash = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id"))
+    sliced = ids.withColumn("slice", F.pmod("h", F.lit(SLICES))).withColumn("n", by_hash("lang", "slice")).where(F.col("n") <= PER_LANGUAGE)
+    ranked = sliced.withColumn("n", by_hash("lang")).where(F.col("n") <= PER_LANGUAGE)
     chosen = ranked.orderBy("n", "h", "lang").limit(MAX_SAMPLE).select("doc_id", "lang", "n").distinct()  # at most MAX_SAMPLE rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
