@@ -15,11 +15,12 @@ CANDIDATE_ROWS, QUERY_ROWS = 4096, 2048
 BINS = 256
 #: Queries of a block that are scored at once.
 TILE = 128
-_LARGEST = float(2**62)
+#: Components are held within this, so that a sum over 1,024 of them fits a long.
+_LARGEST = float(2**26)
 
 
 def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """``(vec_id, v array<long>)``: floor(scale * x) of each component, beyond 2**62 held there.
+    """``(vec_id, v array<long>)``: floor(scale * x) of each component, beyond 2**26 held there.
 
     Vectors null, or holding null or non-finite components, and rows without a vec_id are left out. A
     vec_id is a key: of repeated ones the smallest vector stays.
@@ -114,7 +115,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     sized = rows.withColumn("norm", norm).withColumn("is_query", is_query)
     facts = sized.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max("norm").alias("norm")).first()
     a, b = -(-(facts["n"] or 1) // CANDIDATE_ROWS), max(1, -(-(facts["q"] or 0) // QUERY_ROWS))
-    reach = F.least(F.ceil(F.col("norm") * F.lit(float(facts["norm"] or 0)) * (1 + 1e-9)) + 1, F.lit(2**61))
+    reach = F.ceil(F.least(F.col("norm") * F.lit(float(facts["norm"] or 0)) * (1 + 1e-9) + 1, F.lit(2.0**61)))
     shard = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     candidates = rows.select("vec_id", "v", shard(a).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("q"))
     queries = sized.where("is_query").select(F.col("vec_id").alias("query_id"), "v", shard(b).alias("q"), (-reach).cast("long").alias("low"), (2 * reach + 1).cast("long").alias("span"), F.ceil((2 * reach + 1) / BINS).cast("long").alias("width"), F.lit(0).cast("long").alias("above"))
