@@ -35,12 +35,13 @@ def balanced_selection(rows: DataFrame, group: str, name: str, total: int) -> Da
     A group with fewer names than its share is an error.
     """
     distinct = rows.select(group, name).distinct()
-    groups = distinct.groupBy(group).agg(F.count("*").alias("have"))  # a row for each group
-    ranked = groups.withColumn("g", F.row_number().over(W.orderBy(group)) - 1).withColumn("groups", F.count("*").over(W.partitionBy()))
-    quota = ranked.withColumn("quota", F.floor(F.lit(total) / F.col("groups")) + F.when(F.col("g") < F.lit(total) % F.col("groups"), 1).otherwise(0))
-    quota = quota.withColumn("quota", F.when(F.col("have") >= F.col("quota"), F.col("quota")).otherwise(F.raise_error(F.lit("a group has fewer names than its share")).cast("long")))
+    groups = distinct.groupBy(group).agg(F.count("*").alias("_have"))  # a row for each group
+    ranked = groups.withColumn("_g", F.row_number().over(W.orderBy(group)) - 1).withColumn("_groups", F.count("*").over(W.partitionBy()))
+    share = F.floor(F.lit(total) / F.col("_groups")) + F.when(F.col("_g") < F.lit(total) % F.col("_groups"), 1).otherwise(0)
+    short = F.raise_error(F.lit("a group has fewer names than its share")).cast("long")
+    quota = ranked.withColumn("_share", share).withColumn("_share", F.when(F.col("_have") >= F.col("_share"), F.col("_share")).otherwise(short))
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.sha2(F.col(name).cast("string"), 256), name))
-    return distinct.withColumn("rank", rank).join(quota.select(group, "quota"), group).where(F.col("rank") <= F.col("quota")).select(group, name, "rank")
+    return distinct.withColumn("rank", rank).join(quota.select(group, "_share"), group).where(F.col("rank") <= F.col("_share")).select(group, name, "rank")
 
 
 def even_stride(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
@@ -76,10 +77,10 @@ def contiguous_shard(index: Column, n: Column, world: int) -> Column:
 def average_precision(detections: DataFrame, key: str, order: list[Column | str], hit: str, n_truth: str) -> DataFrame:
     """Area under the precision envelope of each key: running hits, the highest precision from a point on, steps in recall."""
     up = W.partitionBy(key).orderBy(*order)
-    running = detections.withColumn("tp", F.sum(hit).over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.row_number().over(up))
-    points = running.withColumn("recall", F.col("tp") / F.col(n_truth)).withColumn("precision", F.col("tp") / F.col("n"))
-    points = points.withColumn("envelope", F.max("precision").over(up.rowsBetween(0, W.unboundedFollowing))).withColumn("before", F.coalesce(F.lag("recall").over(up), F.lit(0.0)))
-    return points.groupBy(key).agg(F.sum((F.col("recall") - F.col("before")) * F.col("envelope")).alias("ap"))
+    running = detections.withColumn("_tp", F.sum(hit).over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(up))
+    points = running.withColumn("_recall", F.col("_tp") / F.col(n_truth)).withColumn("_precision", F.col("_tp") / F.col("_n"))
+    points = points.withColumn("_envelope", F.max("_precision").over(up.rowsBetween(0, W.unboundedFollowing))).withColumn("_before", F.coalesce(F.lag("_recall").over(up), F.lit(0.0)))
+    return points.groupBy(key).agg(F.sum((F.col("_recall") - F.col("_before")) * F.col("_envelope")).alias("ap"))
 
 
 def retained(rows: DataFrame, keys: list[str], newest_first: list[Column | str], keep: int) -> DataFrame:
