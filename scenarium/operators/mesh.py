@@ -153,3 +153,39 @@ def canonical(vertices: DataFrame, keys: list[str]) -> DataFrame:
     side = F.greatest(*(F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"))
     scale = F.when(side > 0, 0.99999 / side).otherwise(F.raise_error(F.lit("a mesh has no extent")).cast("double"))
     return vertices.join(b, keys).select(*[c for c in vertices.columns if c not in "xyz"], *(((F.col(c) - (F.col(f"max_{c}") + F.col(f"min_{c}")) / 2) * scale).alias(c) for c in "xyz"))
+
+
+def filled_holes(faces: DataFrame, vertices: DataFrame, longest: float) -> tuple[DataFrame, DataFrame]:
+    """New vertices and fan triangles for closed boundary loops of a perimeter under ``longest``.
+
+    The new vertex of a loop is the mean of its edges' midpoints and has the number -1 - rank within the mesh;
+    each boundary edge gives one triangle to it.
+    """
+    number = F.xxhash64("mesh_id", "e0", "e1")
+    pairs = boundary_neighbours(faces).select("mesh_id", F.xxhash64("mesh_id", "a0", "a1").alias("src"), F.xxhash64("mesh_id", "b0", "b1").alias("dst"))
+    root = connected_components(pairs).select(F.col("node").alias("edge"), F.col("component").alias("root"))
+    closed = boundary_loops(faces).where("closed").select("root")
+    e = boundary_edges(faces).withColumn("edge", number).join(root, "edge").join(closed, "root", "left_semi")
+    for i in (0, 1):
+        e = e.join(vertices.select("mesh_id", F.col("vid").alias(f"e{i}"), *(F.col(c).alias(f"{c}{i}") for c in "xyz")), ["mesh_id", f"e{i}"])
+    length = norm([F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"])
+    loops = e.groupBy("mesh_id", "root").agg(F.sum(length).alias("perimeter"), F.min(F.struct("e0", "e1")).alias("first"), *(F.avg((F.col(f"{c}0") + F.col(f"{c}1")) / 2).alias(c) for c in "xyz")).where(F.col("perimeter") < longest)
+    loops = loops.withColumn("vid", (-F.row_number().over(W.partitionBy("mesh_id").orderBy("first"))).cast("long"))
+    fan = e.select("mesh_id", "root", "e0", "e1").join(loops.select("mesh_id", "root", "vid"), ["mesh_id", "root"])
+    return loops.select("mesh_id", "vid", "x", "y", "z"), fan.select("mesh_id", F.col("e0").alias("v0"), F.col("e1").alias("v1"), F.col("vid").alias("v2"))
+
+
+def oriented(faces: DataFrame) -> DataFrame:
+    """Faces of each component turned to agree with its face of lowest fid; components that can't agree stay as they are.
+
+    Two copies of each face, kept and turned, are nodes; a shared edge that both run along the same way links a copy
+    to the other's opposite copy. A face is turned if its kept copy is not in the root's component.
+    """
+    pairs = manifold_neighbours(faces)
+    node = lambda f, turned: F.col(f) * 2 + turned
+    across = F.when(F.col("same_direction"), 1).otherwise(0)
+    links = pairs.select(F.inline(F.array(*(F.struct(node("f0", F.lit(t)).alias("src"), node("f1", (F.lit(t) + across) % 2).alias("dst")) for t in (0, 1)))))
+    c = connected_components(links)
+    flip = faces.select("mesh_id", "fid", *CORNERS).join(c.select(F.col("node").alias("kept"), F.col("component").alias("ck")), F.col("fid") * 2 == F.col("kept"), "left")
+    turned = F.coalesce(F.col("ck") % 2 == 1, F.lit(False))
+    return flip.select("mesh_id", "fid", "v0", F.when(turned, F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(turned, F.col("v1")).otherwise(F.col("v2")).alias("v2"))

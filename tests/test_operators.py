@@ -201,3 +201,37 @@ def test_oriented_overlap():
     octagon = 2 * (math.sqrt(2) - 1)
     assert spatial.box_iou(c, one, eye, c, one, turned) == pytest.approx(octagon / (2 - octagon), abs=1e-6)
     assert spatial.box_iou(c, one * 0, eye, c, one, eye) == 0
+
+
+def test_hilbert_steps_to_neighbours(spark):
+    from scenarium.operators import grouped
+
+    cells = list(itertools.product(range(4), repeat=3))
+    got = spark.createDataFrame(cells, "x long, y long, z long").withColumn("h", grouped.hilbert("x", "y", "z")).orderBy("h").collect()
+    assert [r.h for r in got] == list(range(64))
+    assert all(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) == 1 for a, b in itertools.pairwise(got))
+
+
+def test_tour_segments_and_alignment(spark):
+    from scenarium.operators import grouped
+
+    stops = spark.createDataFrame([(0, i, float(x), 0.0, 0.0, 1.0, 0.0, 0.0) for i, x in enumerate((0, 9, 2, 5))], "g long, item long, x double, y double, z double, fx double, fy double, fz double")
+    assert [r["item"] for r in grouped.greedy_tour(stops, "g").orderBy("rank").collect()] == [0, 2, 3, 1]
+    lines = spark.createDataFrame([(0, 1, 0.0, 0.0, 9.0, 0.0), (0, 2, 1.0, 0.2, 4.0, 0.2), (0, 3, 1.0, 3.0, 4.0, 3.0), (0, 4, 0.0, 0.0, 0.0, 5.0)], "g long, item long, x0 double, y0 double, x1 double, y1 double")
+    assert rows(grouped.distinct_segments(lines, "g"), "item") == [(1,), (3,), (4,)]
+    a = np.random.default_rng(6).normal(size=(30, 3))
+    turned = 1.3 * a @ np.array([[0.995, -0.0998, 0], [0.0998, 0.995, 0], [0, 0, 1.0]]).T + 0.05
+    p = spark.createDataFrame([(0, s, *map(float, q)) for s, side in enumerate((a, turned)) for q in side], "g long, side int, x double, y double, z double")
+    assert grouped.trimmed_alignment(p, "g", keep=1.0).first().scale == pytest.approx(1.3, abs=0.2)
+
+
+def test_mesh_repairs(spark):
+    schema = "mesh_id int, fid long, v0 long, v1 long, v2 long"
+    f = spark.createDataFrame(TETRA[:3], schema)
+    v = spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0), (0, 1, 1.0, 0.0, 0.0), (0, 2, 0.0, 1.0, 0.0), (0, 3, 0.0, 0.0, 0.0)], "mesh_id int, vid long, x double, y double, z double")
+    new, fan = mesh.filled_holes(f, v, 100.0)
+    assert rows(fan, "v0", "v1", "v2") == [(1, 2, -1), (1, 3, -1), (2, 3, -1)]
+    assert new.first().x == pytest.approx(1 / 3)
+    assert mesh.filled_holes(f, v, 1.0)[1].count() == 0
+    turned = spark.createDataFrame([TETRA[0], (0, 2, 0, 3, 2), *TETRA[2:]], schema)
+    assert rows(mesh.oriented(turned), "fid", "v0", "v1", "v2") == [(f_, a, b, c) for _, f_, a, b, c in TETRA]
