@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenarium.llm.buckets import by_doc, expand, packed, squeeze, unpacked
 from scenarium.llm.textarrays import mix, raw_bytes, slices
 
 #: Bytes of an anchor. Of the anchors within a window of the repeat length the one of least hash routes the window.
@@ -101,38 +103,49 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         size *= 2
 
 
-def merge(transforms: list[np.ndarray], terminators: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of sorted suffixes of all shards, and where a new prefix of ``rounds`` symbols begins.
+def last_to_first(transform: np.ndarray, strings: int) -> np.ndarray:
+    """For each row the row of the suffix one symbol longer; meaningless where a string begins."""
+    order = np.argsort(transform, kind="stable")
+    out = np.empty(len(order), np.int32)
+    out[order] = np.arange(len(order), dtype=np.int32)
+    return out
 
-    Starting from the shards end to end, each round walks the interleave, takes each row's symbol from its
-    shard's transform, and deals the rows out to the symbols in order: after h rounds the rows are in the
-    order of their first h symbols. Two rows next to each other differ within h symbols if their symbols do
-    or if the rows they came from did: that gives the common prefixes, without comparing suffixes again.
+
+def merge(transforms: list[np.ndarray], strings: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, row, interval) of all suffixes whose first ``rounds`` symbols another suffix of any shard begins with.
+
+    The interleave starts as the shards end to end. Each round walks it, takes each row's symbol from its
+    shard's transform, and deals the rows, as the suffixes one symbol longer, out to the symbols in order:
+    after h rounds the interleave is in the order of the first h symbols. Two rows next to each other share
+    h symbols if their symbols are equal and they came from one interval: that gives the common prefixes, and
+    no suffix is ever compared again. A row alone in its interval can't be in a larger one later, so that it
+    leaves the interleave, as does one that reaches the beginning of its string.
     """
-    size = [len(t) for t in transforms]
-    n, m = sum(size), sum(terminators)
-    which = np.repeat(np.arange(len(size), dtype=np.uint8), size)
-    fixed = np.repeat(np.arange(len(size), dtype=np.uint8), terminators)
-    counts = np.zeros(257, np.int64)
-    for t in transforms:
-        counts += np.bincount(t, minlength=257)
-    starts = np.cumsum(counts) - counts
-    begins = np.zeros(n, bool)
-    begins[:1] = True
-    block = np.zeros(n, np.int64)  # number of the block of equal prefixes that a row is in
-    symbols = np.empty(n, np.uint16)
+    size = np.array([len(t) for t in transforms])
+    base = np.cumsum(size) - size
+    symbol = np.concatenate(transforms)
+    used = np.unique(symbol)
+    if len(used) <= 256:  # nearly always: one byte a symbol sorts faster
+        symbol = np.searchsorted(used, symbol).astype(np.uint8) if len(used) and used[0] == 0 else symbol
+    ahead = np.concatenate([last_to_first(t, m) + np.int32(b) for t, m, b in zip(transforms, strings, base, strict=True)])
+    rows, interval = np.arange(len(symbol), dtype=np.int32), np.zeros(len(symbol), np.int32)
     for _ in range(rounds):
-        for s, t in enumerate(transforms):
-            symbols[which == s] = t
-        order = np.argsort(symbols, kind="stable")
-        came = block[order]
-        which = which[order]
-        which[:m] = fixed
-        begins = np.concatenate(([True], came[1:] != came[:-1]))[:n]
-        begins[starts[(counts > 0)]] = True
-        begins[:m] = True
-        block = np.cumsum(begins)
-    return which, begins
+        s = symbol[rows]
+        inside = np.flatnonzero(s)
+        s = s[inside]
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        order = inside[order]
+        rows, came = ahead[rows[order]], interval[order]
+        begins = np.empty(len(rows) + 1, bool)
+        begins[0] = begins[-1] = True
+        np.not_equal(s[1:], s[:-1], out=begins[1:-1])
+        begins[1:-1] |= came[1:] != came[:-1]
+        shared = ~(begins[:-1] & begins[1:])
+        rows = rows[shared]
+        interval = np.cumsum(begins[:-1], dtype=np.int32)[shared]
+    which = np.searchsorted(base, rows, "right") - 1
+    return which, rows - base[which], interval
 
 
 def repeated_windows(strings: list[bytes], owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +159,7 @@ def repeated_windows(strings: list[bytes], owner: np.ndarray, start: np.ndarray,
         text = np.zeros(int(ends[-1]), np.uint16)
         inside = np.ones(len(text), bool)
         inside[ends - 1] = False
-        text[inside] = np.frombuffer(b"".join(strings[i] for i in members), np.uint8).astype(np.uint16) + 1
+        text[inside] = np.frombuffer(b"".join([strings[i] for i in members.tolist()]), np.uint8).astype(np.uint16) + 1
         order = suffix_order(text, ends)
         before = np.concatenate((text[-1:], text[:-1]))
         before[np.concatenate(([0], ends[:-1]))] = 0  # a whole string is preceded by its terminator
@@ -154,15 +167,12 @@ def repeated_windows(strings: list[bytes], owner: np.ndarray, start: np.ndarray,
         own = np.searchsorted(ends, order, "right")
         string.append(members[own])
         where.append(order - (ends - size)[own])
-    which, begins = merge(transforms, [len(x) for x in each], length)
-    row_string, row_at = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-    for s in range(shards):
-        row_string[which == s], row_at[which == s] = string[s], where[s]
-    block = np.cumsum(begins) - 1
-    many = np.bincount(block)[block] > 1
-    row_string, row_at, block = row_string[many], row_at[many], block[many]
-    order = np.lexsort((start[row_string] + row_at, owner[row_string], block))
-    later = np.concatenate(([False], np.diff(block[order]) == 0))[: len(order)]
+    which, row, interval = merge(transforms, [len(x) for x in each], length)
+    base = np.cumsum([0, *map(len, transforms)])
+    at = base[which] + row
+    row_string, row_at = np.concatenate(string)[at], np.concatenate(where)[at]
+    order = np.lexsort((start[row_string] + row_at, owner[row_string], interval))
+    later = np.concatenate(([False], np.diff(interval[order]) == 0))[: len(order)]
     return row_string[order][later], row_at[order][later]
 
 
@@ -189,15 +199,13 @@ def _deal(slot: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, by
         yield int(slot[order[a]]), _frame([c[a:b] for c in columns])
 
 
-_ASK = ["<u8", "<i8", "<i4"]
+_ASK = ["<u8", "<i8", "<i4", "<i4", "<i8"]
+_REST = ["<u8", "<i8", "<i8", "<i4"]
+_ANSWER = ["<u8", "<i8", "<i4"]
 _PLACE = ["<i8", "<i4", "<i4"]
 _STRING = ["<u8", "<i8", "<i4", "<i4"]
 
 
-def _by_doc(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
 def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in out], pa.int64()), pa.array([k for _, k, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.binary())], ["bucket", "kind", "rows"])
 
@@ -206,10 +214,16 @@ _ROWS = "bucket long, kind int, rows binary"
 
 
 def _asks(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Kind 0: the first run of each anchor of a slice asks whether others have it. Kind 1: the others know that they repeat."""
+    """Kind 0: the first run of each anchor of a slice asks whether others have it, and how many.
+
+    Kind 1: other runs of the slice with that anchor; they wait in the slice's bucket for the answer. So an
+    anchor's bucket gets one row from each slice, however frequent the anchor is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches)):
+            own = (part << 32) + number
             data, off = raw_bytes(batch.column("text"))
             row, first, _, code = runs(data, off, length)
             doc, at = batch.column("doc_id").to_numpy()[row], (first - off[row]).astype(np.int32)
@@ -217,24 +231,47 @@ def _asks(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             new = np.concatenate(([True], np.diff(code[order].view(np.int64)) != 0))[: len(order)]
             count = np.diff(np.concatenate((np.flatnonzero(new), [len(order)]))) if len(order) else np.zeros(0, np.int64)
             lead, rest = order[new], order[~new]
-            hot = np.minimum(count, HOT).astype(np.int32)
-            out = [(b, 0, x) for b, x in _deal((code[lead] % np.uint64(buckets)).astype(np.int64), [code[lead], doc[lead], at[lead], hot])]
-            crowd = np.repeat(hot, count)[~new]
-            out += [(b, 1, x) for b, x in _deal(_by_doc(doc[rest], buckets), [doc[rest], at[rest], crowd])]
+            name = np.where(count > 1, own, -1)
+            out = [(b, 0, x) for b, x in _deal((code[lead] % np.uint64(buckets)).astype(np.int64), [code[lead], doc[lead], at[lead], np.minimum(count, HOT).astype(np.int32), name])]
+            if len(rest):
+                out.append((own % buckets, 1, _frame([code[rest], np.full(len(rest), own), doc[rest], at[rest]])))
             yield _rows(out)
 
     return texts.mapInArrow(run, _ROWS)
 
 
 def _answer(buckets: int):
+    """Kind 4: to slices that wait, how many places an anchor has. Kind 5: to the run that asked."""
+
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("rows").to_pylist()
-        code, doc, at, n = _unframe([x for k, x in zip(kinds, blobs, strict=True) if k == 0], [*_ASK, "<i4"])
+        code, doc, at, n, name = _unframe([x for k, x in zip(kinds, blobs, strict=True) if k == 0], _ASK)
         out = [(table.column("bucket")[0].as_py(), 1, x) for k, x in zip(kinds, blobs, strict=True) if k == 1]
         _, where = np.unique(code, return_inverse=True)
-        total = np.bincount(where, weights=n)[where].astype(np.int64) if len(code) else np.zeros(0, np.int64)
-        many = total > 1
-        out += [(b, 1, x) for b, x in _deal(_by_doc(doc[many], buckets), [doc[many], at[many], np.minimum(total[many], HOT).astype(np.int32)])]
+        total = np.minimum(np.bincount(where, weights=n)[where], HOT).astype(np.int32) if len(code) else np.zeros(0, np.int32)
+        many, waits = total > 1, name >= 0
+        out += [(b, 5, x) for b, x in _deal(by_doc(doc[many], buckets), [doc[many], at[many], total[many]])]
+        out += [(b, 4, x) for b, x in _deal(name[waits] % buckets, [code[waits], name[waits], total[waits]])]
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
+
+
+def _pass_on(buckets: int):
+    """Answers reach the runs that waited; all answers then go to the buckets of their documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds, blobs = table.column("kind").to_pylist(), table.column("rows").to_pylist()
+        pick = lambda kind, types: _unframe([x for k, x in zip(kinds, blobs, strict=True) if k == kind], types)
+        out = [(table.column("bucket")[0].as_py(), 5, x) for k, x in zip(kinds, blobs, strict=True) if k == 5]
+        code, name, doc, at = pick(1, _REST)
+        said, slot, total = pick(4, _ANSWER)
+        names, place = np.unique(np.concatenate([name, slot]), return_inverse=True)
+        key = mix(code) + place[: len(name)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        own = mix(said) + place[len(name) :].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.argsort(own)
+        crowd = total[order][np.searchsorted(own[order], key)] if len(key) else np.zeros(0, np.int32)
+        out += [(b, 5, x) for b, x in _deal(by_doc(doc, buckets), [doc, at, crowd])]
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -257,7 +294,7 @@ def _strings(length: int, buckets: int):
         key, crowd = key[order], crowd[order]
         kept: dict[tuple[int, bytes], tuple[int, int]] = {}
         gone: list[tuple[int, int, int]] = []
-        for batch in slices(iter(docs.to_batches())):
+        for batch in unpacked(docs):
             data, off = raw_bytes(batch.column("text"))
             row, first, last, code = runs(data, off, length)
             doc = batch.column("doc_id").to_numpy()[row]
@@ -267,18 +304,22 @@ def _strings(length: int, buckets: int):
             hit = np.flatnonzero(key[found] == mine)
             raw = data.tobytes()
             hot = crowd[found[hit]] >= HOT
-            for c, d, a, b, o, each in zip(code[hit].tolist(), doc[hit].tolist(), first[hit].tolist(), last[hit].tolist(), off[row[hit]].tolist(), hot.tolist(), strict=True):
-                for x, y in ((w, w) for w in range(a, b + 1)) if each else ((a, b),):
-                    s = raw[x : y + length]
-                    k = (int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") if each else c, s)
-                    mine_, other = (d, x - o), kept.get(k)
-                    if other is None:
-                        kept[k] = mine_
-                    else:
-                        kept[k] = min(mine_, other)
-                        late = max(mine_, other)
-                        if mine_ != other:
-                            gone.append((late[0], late[1], late[1] + len(s)))
+            name, own, begin, end = code[hit].tolist(), doc[hit].tolist(), first[hit].tolist(), last[hit].tolist()
+            places = list(zip(name, own, (first - off[row])[hit].tolist(), [raw[x : y + length] for x, y in zip(begin, end, strict=True)], strict=True))
+            if hot.any():  # window by window, each under its own hash
+                crowded = [places[i] for i in np.flatnonzero(hot).tolist()]
+                places = [places[i] for i in np.flatnonzero(~hot).tolist()]
+                for _, d, p, s in crowded:
+                    for o in range(len(s) - length + 1):
+                        w = s[o : o + length]
+                        places.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), d, p + o, w))
+            for c, d, p, s in places:
+                other = kept.setdefault((c, s), (d, p))
+                if other != (d, p):
+                    late = max(other, (d, p))
+                    if late is other:
+                        kept[c, s] = (d, p)
+                    gone.append((*late, late[1] + len(s)))
         code = np.array([k for k, _ in kept], np.uint64)
         size = np.array([len(s) for _, s in kept], np.int32)
         owner = np.array(list(kept.values()), np.int64).reshape(-1, 2)
@@ -287,9 +328,9 @@ def _strings(length: int, buckets: int):
         order = np.argsort(slot, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(order) else []:
             head = _frame([code[own], owner[own, 0], owner[own, 1].astype(np.int32), size[own]])
-            out.append((int(slot[own[0]]), 2, len(own).to_bytes(4, "little") + head + b"".join([strings[i] for i in own.tolist()])))
+            out.append((int(slot[own[0]]), 2, squeeze(len(own).to_bytes(4, "little") + head + b"".join([strings[i] for i in own.tolist()]))))
         g = np.array(gone, np.int64).reshape(-1, 3)
-        out += [(b, 3, x) for b, x in _deal(_by_doc(g[:, 0].copy(), buckets), [g[:, 0], g[:, 1].astype(np.int32), g[:, 2].astype(np.int32)])]
+        out += [(b, 3, x) for b, x in _deal(by_doc(g[:, 0].copy(), buckets), [g[:, 0], g[:, 1].astype(np.int32), g[:, 2].astype(np.int32)])]
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -303,7 +344,7 @@ def _repeats(length: int, buckets: int):
         out = [(table.column("bucket")[0].as_py(), 3, x) for k, x in zip(kinds, blobs, strict=True) if k == 3]
         kept: dict[tuple[int, bytes], tuple[int, int]] = {}
         gone: list[tuple[int, int, int]] = []
-        for blob in (x for k, x in zip(kinds, blobs, strict=True) if k == 2):
+        for blob in (expand(x) for k, x in zip(kinds, blobs, strict=True) if k == 2):
             n = int.from_bytes(blob[:4], "little")
             code, doc, at, size = _unframe([blob[4 : 4 + 24 * n]], _STRING)
             end = np.cumsum(size) + 4 + 24 * n
@@ -335,7 +376,7 @@ def _repeats(length: int, buckets: int):
                 place = owners[own[s[begin]]]
                 gone += zip(place[:, 0].tolist(), (place[:, 1] + at[begin]).tolist(), (place[:, 1] + at[last] + length).tolist(), strict=True)
         g = np.array(gone, np.int64).reshape(-1, 3)
-        out += [(b, 3, x) for b, x in _deal(_by_doc(g[:, 0].copy(), buckets), [g[:, 0], g[:, 1].astype(np.int32), g[:, 2].astype(np.int32)])]
+        out += [(b, 3, x) for b, x in _deal(by_doc(g[:, 0].copy(), buckets), [g[:, 0], g[:, 1].astype(np.int32), g[:, 2].astype(np.int32)])]
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -346,8 +387,7 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     order = np.lexsort((begin, doc))
     doc, begin, end = doc[order], begin[order], end[order]
     columns: list[list] = [[], [], [], [], []]
-    for d, text in zip(docs.column("doc_id"), docs.column("text"), strict=True):
-        raw, d = (text.as_py() or "").encode(), d.as_py()
+    for d, raw in ((d, x) for batch in unpacked(docs) for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
         removed: list[list[int]] = []
         if d is not None:
             low, high = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
@@ -389,23 +429,12 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     facts = texts.agg(F.sum(F.octet_length("text") + 64).alias("b")).first()
     buckets = max(1, -(-(facts["b"] or 0) // DOCS_BYTES))
-    # the same mixing as _by_doc, in bytes that Spark and numpy agree on: documents ask for their bucket themselves
     named = texts.where("doc_id is not null")
     asks = _asks(named.where(F.octet_length("text") >= length), length, buckets)
     answers = asks.groupBy("bucket").applyInArrow(_answer(buckets), _ROWS)
-    placed = _with_bucket(named, buckets)
-    strings = placed.where(F.octet_length("text") >= length).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_strings(length, buckets), _ROWS)
+    answers = answers.groupBy("bucket").applyInArrow(_pass_on(buckets), _ROWS)
+    placed = packed(named.where(F.octet_length("text") >= length), buckets)
+    strings = placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_strings(length, buckets), _ROWS)
     spans = strings.groupBy("bucket").applyInArrow(_repeats(length, buckets), _ROWS)
-    every = _with_bucket(texts, buckets)
+    every = packed(texts, buckets)
     return every.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string")
-
-
-def _with_bucket(texts: DataFrame, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            known = _by_doc(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), buckets)
-            spread = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.arange(len(ids)) % buckets, known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spread)], [*batch.schema.names, "bucket"])
-
-    return texts.mapInArrow(run, "doc_id long, text string, bucket long")

@@ -58,7 +58,7 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes end to end, and the offsets of its rows; nulls are empty."""
     if column.null_count:
-        column = column.fill_null("" if not pa.types.is_binary(column.type) else b"")
+        column = column.fill_null("" if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)) else b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = _offsets(column)
