@@ -112,3 +112,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+ORACLES["op2_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(b[i + 1 : i + 100]) AS k FROM (SELECT doc_id, b, unnest(range(greatest(n - 99, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+g AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM r),
+s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+t AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM s GROUP BY doc_id, run),
+p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM t),
+c AS (SELECT p.doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(hex(b[z + 1 : a]), '' ORDER BY a) AS kept, max(e) AS last FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1 : ]))) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
