@@ -90,6 +90,23 @@ def _digits(value: str, kept: int, kind: str, attempt: int, key: bytes, good: Ca
     return "".join(str(next(new)) if c.isdigit() else c for c in value)
 
 
+def _special(octets: list[int]) -> int:
+    """How many leading octets make an address private, local or loopback; 0 for others."""
+    a, b = octets[:2]
+    return 1 if a in (10, 127) else 2 if (a, b) in ((192, 168), (169, 254)) or (a == 172 and 16 <= b < 32) else 0
+
+
+def _address(value: str, attempt: int, key: bytes) -> str:
+    """Private addresses stay within their range, public ones public."""
+    octets = [int(x) for x in value.split(".")]
+    kept = _special(octets)
+    head, tail = octets[:kept], octets[kept:]
+    while True:
+        tail = permute(tail, [256] * len(tail), f"ipv4|{head}|{attempt}".encode(), key)
+        if kept or not _special(tail):
+            return ".".join(map(str, head + tail))
+
+
 def luhn(number: str) -> bool:
     digits = [int(c) for c in reversed(number)]
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
@@ -141,7 +158,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         host, _, top = domain.rpartition(".")
         return f"{_text(local, 'local', attempt, key)}@{_text(host, 'host', attempt, key)}.{top}"
     if kind == "ipv4":
-        return ".".join(map(str, permute([int(x) for x in value.split(".")], [256] * 4, b"ipv4|%d" % attempt, key)))
+        return _address(value, attempt, key)
     if kind == "phone":
         return _digits(value, max(0, len(_only_digits(value)) - 10), kind, attempt, key)
     if kind == "card":
