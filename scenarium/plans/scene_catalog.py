@@ -87,9 +87,12 @@ def f04_point_in_box(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {POINTS}, {BOXES} SELECT point_id, CASE WHEN abs(x - cx) <= sx / 2 + 1e-8 AND abs(y - cy) <= sy / 2 + 1e-8 AND abs(z - cz) <= sz / 2 + 1e-8 THEN label ELSE -1 END AS label FROM pts LEFT JOIN boxes ON box_id = label + 1")
 def f05_clean_labels(spark: SparkSession, sf: str) -> DataFrame:
-    keep = f04_point_in_box(spark, sf)
-    p = points(spark, sf).select("point_id", "label").join(keep, "point_id", "left")
-    return p.select("point_id", F.when(F.coalesce("inside", F.lit(False)), F.col("label")).otherwise(-1).alias("label"))
+    b = boxes(spark, sf).withColumn("label", (F.col("box_id") - 1).cast("int")).drop("scene_id")
+    inside = F.lit(True)
+    for a in "xyz":
+        inside = inside & (F.abs(F.col(a) - F.col(f"c{a}")) <= F.col(f"s{a}") / 2 + 1e-8)
+    rows = points(spark, sf).join(b, "label", "left")
+    return rows.select("point_id", F.when(F.coalesce(inside, F.lit(False)), F.col("label")).otherwise(-1).alias("label"))
 
 
 # A pentagon for each scene.
