@@ -212,6 +212,14 @@ def test_every_repeated_run_is_found(spark):
     assert got == {i for i in range(5, 41, 4)}
 
 
+def test_copies_that_repeat_themselves_are_found(spark):
+    rng = random.Random(15)
+    own = [" ".join([f"a{i}", f"b{i}", f"c{i}"] * 40) for i in range(6)]
+    texts = [prose(rng, 60, 10**6), *own, prose(rng, 60, 10**6), *own, own[0] + " tail"]
+    got = {(r.doc_id, r.other_id) for r in fuzzy_passages(frame(spark, texts)).collect()}
+    assert got == {*((i + 7, i) for i in range(2, 8)), (15, 9)}
+
+
 def test_chains_against_all_subsets():
     rng = random.Random(11)
     for _ in range(30):
