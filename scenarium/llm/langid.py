@@ -21,8 +21,8 @@ WIDTH = sum(BUCKETS)
 ROWS = 512
 #: Bounds of the sample that the classifier is fitted on, and its landmarks.
 PER_LANGUAGE, MAX_SAMPLE, LANDMARKS, RIDGE = 500, 4000, 192, 1e-2
-#: Slices of a language that are ranked on their own before the language is.
-SLICES = 64
+#: Times the rows wanted of a language that are ranked.
+SPARE = 4
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -69,14 +69,14 @@ def fit(docs: DataFrame, training: Column) -> Model:
     """Fit on at most PER_LANGUAGE labelled rows of each language and MAX_SAMPLE in all, taken in hash order.
 
     ``training`` selects rows; those without lang or text, and without a doc_id, teach nothing. Without any
-    labelled row the model knows no language.
+    labelled row the model knows no language; of more than MAX_SAMPLE languages the most frequent are learned.
     """
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     ids = rows.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).withColumn("h", F.xxhash64("doc_id"))
-    # first within slices of a language, so that the last ranking meets a bounded number of rows however many there are
-    by_hash = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id"))
-    sliced = ids.withColumn("slice", F.pmod("h", F.lit(SLICES))).withColumn("n", by_hash("lang", "slice")).where(F.col("n") <= PER_LANGUAGE)
-    ranked = sliced.withColumn("n", by_hash("lang")).where(F.col("n") <= PER_LANGUAGE)
+    # only rows whose hash lies in a share of about SPARE * PER_LANGUAGE rows of their language are ranked at all
+    counts = ids.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_SAMPLE)  # at most so many languages
+    few = ids.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 31)).cast("double") * F.col("rows") <= F.lit(float(SPARE * PER_LANGUAGE * (1 << 31)))).select("doc_id", "lang", "h").distinct()
+    ranked = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= PER_LANGUAGE)
     chosen = ranked.orderBy("n", "h", "lang").limit(MAX_SAMPLE).select("doc_id", "lang", "n").distinct()  # at most MAX_SAMPLE rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
