@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: pairs of near words as seeds, counted, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -10,89 +10,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenarium.llm.textarrays import ragged, raw_bytes, shingles_of, slices, words_of
+from scenarium.llm.textarrays import mix, ragged, raw_bytes, slices, words_of
 
-#: Words of a seed, share of an item's seeds that are used (the rarest), and how many at least.
-SEED_WORDS, RAREST_SHARE, LEAST_SEEDS = 3, 0.5, 8
+#: A seed is a word and one of the next REACH words, or one word where no pair has to match.
+REACH = 2
+#: Share of the pairs that have to match that is given up for leaving out common seeds.
+SPARED = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an exact copy from which a passage counts as a copy of the item.
 THRESHOLD = 0.5
 #: Bytes of benchmark text that are sent to the executors at once; more of it is taken in blocks.
 BLOCK_BYTES = 16 << 20
 CELLS = 1 << 18
+#: Two words of a pair are told from each other by this factor.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Items:
-    """Words of the items end to end, and the seeds: code -> (item, offset), sorted by code."""
+    """Words of the items end to end, what their links have to weigh, and the seeds: code -> (item, offset), sorted by code.
+
+    A link is two neighbouring matches of an alignment. It adds MATCH less the words it skips in the item or
+    in the passage, whichever are more: 2 if it skips none, 1 if it skips at most one in both (its words are
+    at most REACH apart in both), else 0 at most. A score of ``s`` therefore needs links that weigh ``s - MATCH``,
+    however the copy was edited, and what links at other places of the item weigh can't replace this.
+    """
 
     ids: np.ndarray
     first: np.ndarray
     code: np.ndarray
+    need: np.ndarray
+    slack: np.ndarray
     seed: np.ndarray
     seed_item: np.ndarray
     seed_at: np.ndarray
     seed_size: np.ndarray
 
 
-def prepare(rows: list[tuple[int | None, str | None]]) -> Items:
+def _seeds(code: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and the one ``k`` further (of the word alone at 0), and which have both before ``last``."""
+    n = len(code)
+    out = np.zeros(n, np.uint64)
+    if n > k:
+        with np.errstate(over="ignore"):
+            out[: n - k] = mix(code[: n - k] * _ODD + code[k:]) if k else code
+    return out, np.arange(n) + k < last
+
+
+def prepare(rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> Items:
     text = pa.array([t or "" for _, t in rows], pa.string())
     words = words_of(*raw_bytes(text))
     size = np.diff(words.first)
+    least = np.ceil(threshold * MATCH * size - 1e-9).astype(np.int64)
+    need, slack = least - MATCH, np.maximum(MATCH * size - least, 0)
+    row = words.row
+    last, offset = words.first[1:][row], np.arange(len(row)) - words.first[row]
     seeds, item, at, width = [], [], [], []
-    for k in range(1, SEED_WORDS + 1):
-        code, _ = shingles_of(words, k)
-        for i in np.flatnonzero(size == k if k < SEED_WORDS else size >= k):  # a shorter item is one seed
-            n = size[i] - k + 1
-            seeds.append(code[words.first[i] : words.first[i] + n])
-            item.append(np.full(n, i))
-            at.append(np.arange(n))
-            width.append(np.full(n, k))
+    for k in range(REACH + 1):
+        code, whole = _seeds(words.code, last, k)
+        own = np.flatnonzero(whole & ((need[row] > 0) == (k > 0)))  # one word where a single match is enough
+        seeds.append(code[own])
+        item.append(row[own])
+        at.append(offset[own])
+        width.append(np.full(len(own), k))
     seed, item, at, width = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((seeds, np.uint64), (item, np.int64), (at, np.int64), (width, np.int64)))
     order = np.argsort(seed, kind="stable")
-    return Items(np.array([i for i, _ in rows], object), words.first, words.code, seed[order], item[order], at[order], width[order])
-
-
-def rarest(items: Items, frequency: dict[int, int]) -> Items:
-    """Only the rarest seeds of each item, so that every item keeps some however common it is."""
-    seen = np.array([frequency.get(int(s), 0) for s in items.seed.view(np.int64)], np.int64)
-    order = np.lexsort((items.seed_at, seen, items.seed_item))
-    item = items.seed_item[order]
-    begin = np.searchsorted(item, item, "left")
-    total = np.searchsorted(item, item, "right") - begin
-    kept = np.sort(order[np.arange(len(item)) - begin < np.maximum(LEAST_SEEDS, np.ceil(RAREST_SHARE * total))])
-    return Items(items.ids, items.first, items.code, items.seed[kept], items.seed_item[kept], items.seed_at[kept], items.seed_size[kept])
-
-
-def _hits(items: Items, words) -> tuple[np.ndarray, np.ndarray]:
-    """(word, seed) index pairs at which a seed occurs."""
-    out_w, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in np.unique(items.seed_size).tolist():
-        own = np.flatnonzero(items.seed_size == k)
-        keys = items.seed[own]
-        small = np.zeros(1 << 16, bool)
-        small[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-        code, whole = shingles_of(words, k)
-        at = np.flatnonzero(small[(code & np.uint64(0xFFFF)).astype(np.int64)] & whole)
-        low, high = np.searchsorted(keys, code[at], "left"), np.searchsorted(keys, code[at], "right")
-        out_w.append(np.repeat(at, high - low))
-        out_s.append(own[ragged(low, high - low)])
-    return np.concatenate(out_w), np.concatenate(out_s)
-
-
-def seed_frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """How many documents of the whole corpus have each seed; at most as many numbers as there are seeds."""
+    return Items(np.array([i for i, _ in rows], object), words.first, words.code, np.maximum(need, 1), slack, seed[order], item[order], at[order], width[order])
+
+
+def rarest(items: Items, code: np.ndarray, count: np.ndarray) -> Items:
+    """Leaves out the most common places of each item, without losing a copy.
+
+    A place (a word of the item with the pairs that begin there) takes part in one link as its first word,
+    so that leaving out ``n`` places takes 2 ``n`` at most from what the links of a copy weigh.
+    """
+    order = np.argsort(code)
+    code, count = code[order], count[order]
+    place = np.searchsorted(code, items.seed)
+    seen = np.zeros(len(items.seed), np.int64)
+    if len(code):
+        place = np.minimum(place, len(code) - 1)
+        seen = np.where(code[place] == items.seed, count[place], 0)
+    word = items.first[items.seed_item] + items.seed_at
+    cost = np.bincount(word, seen, len(items.code))
+    owner = np.repeat(np.arange(len(items.ids)), np.diff(items.first))
+    order = np.lexsort((-cost, owner))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - items.first[owner]
+    spared = np.floor(SPARED * (items.need - 1) / MATCH).astype(np.int64)
+    kept = np.flatnonzero(rank[word] >= spared[items.seed_item])
+    return Items(items.ids, items.first, items.code, items.need - MATCH * spared, items.slack, items.seed[kept], items.seed_item[kept], items.seed_at[kept], items.seed_size[kept])
+
+
+def _occurrences(items: Items, words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each distance of two words: the words at which seeds occur, and the range of these seeds."""
+    small = np.zeros(1 << 20, bool)
+    small[(items.seed & np.uint64(0xFFFFF)).astype(np.int64)] = True
+    last = np.repeat(words.first[1:], np.diff(words.first))
+    for k in range(REACH + 1):
+        code, whole = _seeds(words.code, last, k)
+        at = np.flatnonzero(small[(code & np.uint64(0xFFFFF)).astype(np.int64)] & whole)
+        low, high = np.searchsorted(items.seed, code[at], "left"), np.searchsorted(items.seed, code[at], "right")
+        found = np.flatnonzero(high > low)
+        yield k, at[found], low[found], high[found]
+
+
+def _hits(items: Items, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, seed, weight) of each place at which a seed occurs."""
+    out_w, out_s, out_k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, at, low, high in _occurrences(items, words):
+        seed = ragged(low, high - low)
+        own = items.seed_size[seed]
+        fit = (own > 0) == (k > 0)
+        out_w.append(np.repeat(at, high - low)[fit])
+        out_s.append(seed[fit])
+        out_k.append(np.where(np.maximum(own, k) > 1, 1, MATCH)[fit])
+    return np.concatenate(out_w), np.concatenate(out_s), np.concatenate(out_k)
+
+
+def seed_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds and how often the whole corpus has them; at most as many numbers as there are seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = words_of(*raw_bytes(batch.column("text")))
-            at, seed = _hits(items, words)
-            pair = np.unique(np.stack([items.seed[seed].view(np.int64), words.row[at]]), axis=1)
-            code, count = np.unique(pair[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], ["code", "n"])
+            low = np.concatenate([low for _, _, low, _ in _occurrences(items, words)])
+            seed, count = np.unique(low, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(items.seed[seed].view(np.int64)), pa.array(count)], ["code", "n"])
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return {r["code"]: r["n"] for r in counts.collect()}
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return counts["code"].to_numpy().view(np.uint64), counts["n"].to_numpy()
 
 
 def align(passage: np.ndarray, passage_size: np.ndarray, item: np.ndarray, item_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +180,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     texts, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
     for n in range(blocks):  # one, unless the benchmark is larger than a block
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()
-        items = prepare([(r["item_id"], r["text"]) for r in rows])
-        items = rarest(items, seed_frequencies(texts, items))
+        items = prepare([(r["item_id"], r["text"]) for r in rows], threshold)
+        items = rarest(items, *seed_frequencies(texts, items))
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -147,10 +194,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def _copies(items: Items, words, threshold: float):
-    at, seed = _hits(items, words)
+    at, seed, weight = _hits(items, words)
     row, item = words.row[at] if len(at) else at, items.seed_item[seed]
     size = np.diff(items.first)
-    begin = at - items.seed_at[seed]  # where the item would begin
+    order = np.lexsort((at, item, row))
+    at, seed, weight, row, item = at[order], seed[order], weight[order], row[order], item[order]
+    # The links of a copy lie within as many words as the item has and the alignment can skip.
+    pair = np.cumsum(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(item) != 0)))[: len(row)])
+    wide = len(words.code) + 2 * int((size + items.slack).max(initial=0)) + 1
+    upto = np.searchsorted(pair * wide + at, pair * wide + at + size[item] + items.slack[item])
+    total = np.concatenate(([0], np.cumsum(weight)))
+    enough = np.flatnonzero(total[upto] - total[:-1] >= items.need[item])
+    row, item = row[enough], item[enough]
+    begin = at[enough] - items.seed_at[seed[enough]]  # where the item would begin
     order = np.lexsort((begin, item, row))
     row, item, begin = row[order], item[order], begin[order]
     if len(row):  # seeds whose passages overlap are one candidate
@@ -159,9 +215,8 @@ def _copies(items: Items, words, threshold: float):
         row, item, low, high = row[cut], item[cut], begin[cut], begin[last]
     else:
         low = high = begin
-    slack = np.maximum(4, size[item] // 2)
-    low = np.maximum(low - slack, words.first[row])
-    high = np.minimum(high + size[item] + slack, words.first[row + 1])
+    low = np.maximum(low - items.slack[item], words.first[row])
+    high = np.minimum(high + size[item] + items.slack[item], words.first[row + 1])
     score, end = np.zeros(len(row)), np.zeros(len(row), np.int64)
     by_size = np.lexsort((high - low, size[item]))
     start = 0
@@ -177,7 +232,7 @@ def _copies(items: Items, words, threshold: float):
         best, upto = align(passage, p, target, q)
         score[part], end[part] = best / (MATCH * q), low[part] + upto
         start = stop
-    kept = np.flatnonzero(score >= threshold)
+    kept = np.flatnonzero((score > 0) & (score >= threshold - 1e-9))
     kept = kept[np.lexsort((low[kept], -score[kept], item[kept], row[kept]))]
     kept = kept[np.concatenate(([True], (np.diff(row[kept]) != 0) | (np.diff(item[kept]) != 0)))[: len(kept)]]
     base = words.first[row[kept]]

@@ -327,3 +327,34 @@ def test_decontamination(spark):
     got = contaminated(frame(spark, texts), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert all(r.score == 1 for r in got if (r.doc_id - 1) % 2 == 0)
+
+
+def test_evenly_edited_copies_of_items_are_found(spark):
+    """Every copy whose alignment scores half or more, whatever words were changed, put in or left out."""
+    rng = random.Random(71)
+
+    def score(item, text):
+        row, best = [0] * (len(text) + 1), 0
+        for a in item:
+            new = [0]
+            for j, b in enumerate(text):
+                new.append(max(0, row[j] + (2 if a == b else -1), row[j + 1] - 1, new[j] - 1))
+            row, best = new, max(best, *new)
+        return best / (2 * len(item))
+
+    items = [" ".join(f"k{n}x{i}" for i in range(n)) for n in (1, 2, 3, 5, 8, 12, 20, 33, 48)]
+    items += [prose(rng, n, 60) for n in (20, 30, 45)]
+    texts = [" ".join(items) + " rest"]
+    for item in items:
+        for step in (2, 3, 4, 5, 6, 8):
+            for change in ("replace", "insert", "delete", "mixed"):
+                out = []
+                for i, w in enumerate(item.split(), 1):
+                    how = rng.choice(("replace", "insert", "delete")) if change == "mixed" else change
+                    out += [w] if i % step else {"replace": [f"z{i}"], "insert": [w, f"z{i}"], "delete": []}[how]
+                texts.append(f"{prose(rng, 30, 60)} {' '.join(out)} {prose(rng, 30, 60)}")
+        texts.append(" ".join(x for i, w in enumerate(item.split()) for x in (w, f"z{i}")))  # no two words stay together
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(d, i): s for d, t in enumerate(texts, 1) for i, x in enumerate(items) if (s := score(x.split(), t.split())) >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(frame(spark, texts), bench).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
