@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from scenarium.plans.materialize import materialize
 #: Replace this by a secret of your own: surrogates can be undone by whoever has the key.
 DEFAULT_KEY = b"scenarium surrogate key"
 ROUNDS = 8
+#: So often a surrogate is drawn; what still clashes is in a format that is nearly full and is permuted among itself.
 MAX_ATTEMPTS = 32
 
 # Given names by (script, gender), surnames by script.
@@ -40,6 +43,25 @@ _LETTER = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 _HEX = "0123456789abcdef"
 
 
+@lru_cache
+def _like(page: int, category: str) -> str:
+    """The characters of one category among 256 neighbours, for scripts without an alphabet of their own."""
+    return "".join(c for c in map(chr, range(page << 8, (page + 1) << 8)) if unicodedata.category(c) == category)
+
+
+def _place(c: str) -> tuple[str, int] | None:
+    """The alphabet in which a character is permuted, and its place there; none if it stays."""
+    found = _LETTER.get(c.lower() if len(c.lower()) == 1 else c)
+    if found or ord(c) < 128 or not c.isalnum():
+        return found
+    alphabet = _like(ord(c) >> 8, unicodedata.category(c))
+    return (alphabet, alphabet.index(c)) if len(alphabet) > 1 else None
+
+
+def _movable(value: str) -> bool:
+    return any(_place(c) for c in value)
+
+
 def permute(symbols: list[int], radix: list[int], tweak: bytes, key: bytes) -> list[int]:
     """A keyed permutation of mixed-radix sequences: alternating Feistel rounds between two halves."""
     half = len(symbols) // 2
@@ -63,7 +85,7 @@ def _text(value: str, kind: str, attempt: int, key: bytes, hexadecimal: bool = F
         if hexadecimal and c in _HEX:
             found = (_HEX, _HEX.index(c))
         else:
-            found = _LETTER.get(c.lower() if len(c.lower()) == 1 else c)
+            found = _place(c)
         if found:
             places.append(i)
             alphabets.append(found[0])
@@ -72,7 +94,7 @@ def _text(value: str, kind: str, attempt: int, key: bytes, hexadecimal: bool = F
     moved = permute(symbols, [len(a) for a in alphabets], f"{kind}|{shape}|{attempt}".encode(), key)
     out = list(value)
     for i, a, s in zip(places, alphabets, moved, strict=True):
-        out[i] = a[s].upper() if value[i] != value[i].lower() else a[s]
+        out[i] = a[s].upper() if a in _ALPHABETS and value[i] != value[i].lower() else a[s]
     return "".join(out)
 
 
@@ -138,9 +160,9 @@ _SEPARATED = re.compile("[0-9]{7}|[0-9][ .)-][ .(-]?[0-9]")
 _only_digits = lambda v: "".join(c for c in v if c.isdigit())
 _GIVEN_OR_TITLE = {*_GENDER, *TITLES, *(f"{t}." for t in TITLES)}
 KINDS = [
-    Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), lambda t: "@" in t, same=str.lower),
+    Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), lambda t: "@" in t, valid=lambda v: _movable(v.rpartition(".")[0]), same=str.lower),
     Kind("aws_key", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b"), lambda t: "AKIA" in t or "ASIA" in t, 1),
-    Kind("secret", re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})", re.I), lambda t: "=" in t or ":" in t, 1),
+    Kind("secret", re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})", re.I), lambda t: "=" in t or ":" in t, 1, valid=_movable),
     Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _has_digit, same=lambda v: v.replace(" ", "")),
     Kind("ipv4", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"), _has_digit, valid=lambda v: all(int(x) < 256 for x in v.split("."))),
     Kind("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{9,14}(?!\w)"), _has_digit, same=lambda v: _only_digits(v)[-10:]),
@@ -195,11 +217,46 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def replace(text: str, found: list[tuple[int, int, str]], attempts: dict[tuple[str, str], int], key: bytes) -> str:
+def entity_format(kind: str, entity: str) -> str:
+    """Entities of one kind and format have the same values to go to."""
+    if kind == "ipv4":
+        octets = [int(x) for x in entity.split(".")]
+        return str(octets[: _special(octets)])
+    if kind == "card":
+        return f"{entity[0]}|{luhn(entity)}|{len(entity)}"
+    if kind == "phone":
+        return str(len(entity))
+    if kind in ("secret", "aws_key") and all(c in _HEX for c in entity):
+        return f"hex{len(entity)}"
+    fixed = {"email": range(entity.rfind("."), len(entity)), "iban": range(2)}.get(kind, range(0))
+    out = []
+    for i, c in enumerate(entity):
+        found = None if i in fixed else _place(c)
+        out.append(c if not found else found[0][0].upper() if found[0] in _ALPHABETS and c != c.lower() else found[0][0])
+    return "".join(out)
+
+
+def dressed(kind: str, value: str, entity: str) -> str:
+    """Another entity of the same format, written as ``value`` is."""
+    if kind == "email":
+        return "".join(e.upper() if v != v.lower() else e for v, e in zip(value, entity, strict=True))
+    if kind in ("phone", "card"):
+        own = _only_digits(value)
+        new = iter(own[: len(own) - len(entity)] + entity)
+        return "".join(next(new) if c.isdigit() else c for c in value)
+    if kind == "iban":
+        new = iter(entity)
+        return "".join(c if c == " " else next(new) for c in value)
+    return entity
+
+
+def replace(text: str, found: list[tuple[int, int, str]], attempts: dict[tuple[str, str], int | str], key: bytes) -> str:
+    """``attempts`` has the draw of an entity, or the entity that it becomes."""
     parts, at = [], 0
     for a, b, kind in found:
         value = text[a:b]
-        parts += [text[at:a], surrogate(kind, value, attempts.get((kind, _BY_NAME[kind].same(value)), 0), key)]
+        drawn = attempts.get((kind, _BY_NAME[kind].same(value)), 0)
+        parts += [text[at:a], dressed(kind, value, drawn) if isinstance(drawn, str) else surrogate(kind, value, drawn, key)]
         at = b
     return "".join([*parts, text[at:]])
 
@@ -227,26 +284,63 @@ def _assign(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("kind", "entity", F.col("attempt").cast("int").alias("attempt")).mapInArrow(run, "kind string, entity string, attempt int, surrogate string")
 
 
+def _ranked(entities: DataFrame, key: bytes) -> DataFrame:
+    """``(kind, entity, format, rank)``, the rank a keyed hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(batch.column("kind").to_pylist(), batch.column("entity").to_pylist(), strict=True))
+            rank = [hashlib.blake2b(f"{k}|{e}".encode(), key=key[:64], digest_size=16).hexdigest() for k, e in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("entity"), pa.array([entity_format(k, e) for k, e in rows], pa.string()), pa.array(rank, pa.string())], ["kind", "entity", "format", "rank"])
+
+    return entities.select("kind", "entity").mapInArrow(run, "kind string, entity string, format string, rank string")
+
+
+def _permuted(rest: DataFrame, kept: DataFrame, key: bytes) -> DataFrame:
+    """``(kind, entity, target)``: the entities of a full format in one cycle, so that nobody keeps their own.
+
+    No drawn surrogate is an entity, so the targets are apart from those too. Who is alone takes turns with
+    another entity of the format, which gives up what it drew.
+    """
+    rest = materialize(_ranked(rest, key), "rest")
+    alone = rest.groupBy("kind", "format").count().where("count = 1").select("kind", "format")
+    partner = _ranked(kept.join(alone.select("kind").distinct(), "kind", "left_semi"), key).join(alone, ["kind", "format"], "left_semi")
+    partner = partner.groupBy("kind", "format").agg(F.min_by("entity", F.struct("rank", "entity")).alias("entity"), F.min("rank").alias("rank"))
+    cycle = W.partitionBy("kind", "format").orderBy("rank", "entity")
+    both = rest.unionByName(partner.select(*rest.columns))
+    target = F.coalesce(F.lead("entity").over(cycle), F.first("entity").over(cycle))
+    return both.select("kind", "entity", target.alias("target")).where("target <> entity")
+
+
+def _judged(entities: DataFrame) -> DataFrame:
+    first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("attempt", "entity"))
+    real = entities.where("kind <> 'person'").select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
+    judged = entities.withColumn("nth", first).join(real, ["kind", "surrogate"], "left")
+    return judged.withColumn("clash", (F.col("nth") > 1) | F.coalesce("real", F.lit(False)))
+
+
 def checked_attempts(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``(kind, entity, attempt)`` of the entities that can't have their first surrogate.
+    """``(kind, entity, attempt, target)`` of the entities that can't have their first surrogate.
 
     All distinct entities of the corpus are checked together: a surrogate that another entity has, or that
-    is itself an entity of the corpus, is drawn anew. Names have only other names to go to and are kept
-    apart by one cycle through their list, so of these only equal surrogates count.
+    is itself an entity of the corpus, is drawn anew. Where a format is so full that MAX_ATTEMPTS draws
+    don't find a free value, the entities left over are permuted among themselves: each becomes its
+    ``target``, an entity of the corpus by need, but still one of its own. Names have only other names to go
+    to and are kept apart by one cycle through their list, so of these only equal surrogates count.
     """
     entities = mentions(docs).select("kind", "entity").distinct().withColumn("attempt", F.lit(0))
     entities = materialize(_assign(entities, key), "entities")
     for _ in range(MAX_ATTEMPTS):
-        first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("attempt", "entity"))
-        real = entities.where("kind <> 'person'").select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        judged = entities.withColumn("nth", first).join(real, ["kind", "surrogate"], "left")
-        judged = judged.withColumn("clash", (F.col("nth") > 1) | F.coalesce("real", F.lit(False)))
+        judged = _judged(entities)
         clashing = judged.where("clash")
         if clashing.isEmpty():
-            return entities.where("attempt > 0").select("kind", "entity", "attempt")
+            return entities.where("attempt > 0").select("kind", "entity", "attempt", F.lit(None).cast("string").alias("target"))
         kept = judged.where("not clash").select("kind", "entity", "attempt", "surrogate")
         entities = materialize(kept.unionByName(_assign(clashing.withColumn("attempt", F.col("attempt") + 1), key)), "entities")
-    raise ValueError(f"surrogates still clash after {MAX_ATTEMPTS} attempts")
+    judged = _judged(entities)
+    moved = materialize(_permuted(judged.where("clash and kind <> 'person'"), judged.where("not clash"), key), "moved")
+    drawn = entities.where("attempt > 0").join(moved, ["kind", "entity"], "left_anti")
+    return drawn.select("kind", "entity", "attempt", F.lit(None).cast("string").alias("target")).unionByName(moved.select("kind", "entity", F.lit(0).alias("attempt"), "target"))
 
 
 def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
@@ -258,9 +352,9 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """
     attempts = checked_attempts(docs, key)
     fields, extra = docs.columns, "_attempts"
-    texts = docs.withColumn(extra, F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
+    texts = docs.withColumn(extra, F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,target:string>>"))
     if not attempts.isEmpty():
-        rare = mentions(docs).join(attempts, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias(extra))
+        rare = mentions(docs).join(attempts, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "attempt", "target")).alias(extra))
         rare = rare.withColumnRenamed("doc_id", "_rare_id")
         texts = docs.join(rare, F.col("doc_id").cast("long").eqNullSafe(F.col("_rare_id")), "left").drop("_rare_id")
 
@@ -270,7 +364,7 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
             for text, own in zip(batch.column("text").to_pylist(), batch.column(extra).to_pylist(), strict=True):
                 found = find(text) if text else []
                 count.append(len(found))
-                new.append(replace(text, found, {(x["kind"], x["entity"]): x["attempt"] for x in own or []}, key) if found else text)
+                new.append(replace(text, found, {(x["kind"], x["entity"]): x["target"] or x["attempt"] for x in own or []}, key) if found else text)
             yield pa.RecordBatch.from_arrays([*(pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in fields), pa.array(count, pa.int64())], [*fields, "n_replaced"])
 
     schema = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in fields), F.lit(0).cast("long").alias("n_replaced")).schema

@@ -23,7 +23,7 @@ from scenarium.llm.decontam import contaminated
 from scenarium.llm.langid import fit, predict, remainder
 from scenarium.llm.licenses import TEMPLATES, bands_for, scan_licenses, templates_of
 from scenarium.llm.lm import score_language_model
-from scenarium.llm.pii import KINDS, checked_attempts, find, luhn, permute, replace_pii, surrogate
+from scenarium.llm.pii import KINDS, checked_attempts, dressed, find, luhn, permute, replace_pii, surrogate
 from scenarium.llm.simhash import forest, near_duplicate_groups
 from scenarium.llm.suffixes import remove_repeats, repeated_windows
 from scenarium.llm.textarrays import raw_bytes, words_of
@@ -358,3 +358,22 @@ def test_evenly_edited_copies_of_items_are_found(spark):
     want = {(d, i): s for d, t in enumerate(texts, 1) for i, x in enumerate(items) if (s := score(x.split(), t.split())) >= 0.5}
     got = {(r.doc_id, r.item_id): r.score for r in contaminated(frame(spark, texts), bench).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_full_formats_and_values_without_letters_do_not_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr("scenarium.llm.pii.MAX_ATTEMPTS", 2)
+    masked = ["password: ********", "token = ________", "mail -@-.com"]
+    full = [f"password: ******{d}" for d in range(10)]  # every value of the format is an entity
+    almost = [f"token: ##{d}##!#" for d in range(9)]
+    texts = [*masked, *full, *almost, "password: 密码密码密码", "pwd: é密ñ密ñ密"]
+    out = [r.text for r in replace_pii(frame(spark, texts), b"k").orderBy("doc_id").collect()]
+    assert out[:3] == masked and all(a != b for a, b in zip(texts[3:], out[3:], strict=True))
+    assert sorted(out[3:13]) == sorted(full) and len(set(out)) == len(texts)
+    assert len(out[-2]) == len(texts[-2]) and not set(out[-2][10:]) & set("密码")
+
+
+def test_an_entity_of_a_full_format_keeps_the_spelling_of_its_mention():
+    assert dressed("email", "Ab.C@Mail.org", "xy.z@host.org") == "Xy.Z@Host.org"
+    assert dressed("phone", "+1 (632) 555-4827", "1234567890") == "+1 (123) 456-7890"
+    assert dressed("card", "4111 1111-11111111", "4222222222222222") == "4222 2222-22222222"
+    assert dressed("iban", "DE89 3704 0044", "DE1234567890") == "DE12 3456 7890"
