@@ -158,17 +158,28 @@ def _has_digit(text: str) -> bool:
 _DIGIT = re.compile("[0-9]")
 _SEPARATED = re.compile("[0-9]{7}|[0-9][ .)-][ .(-]?[0-9]")
 _only_digits = lambda v: "".join(c for c in v if c.isdigit())
-_GIVEN_OR_TITLE = {*_GENDER, *TITLES, *(f"{t}." for t in TITLES)}
+#: A capitalised word, also of two joined ones.
+_CAPITAL = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİŁĶĽŃŇŌŐŒŘŚŞŠŤŪŮŰŲŹŻŽА-ЯЁЄІЇҐ"
+_SURNAME = f"(?:[^\\W\\d_]{{1,3}}['’])?[{_CAPITAL}][^\\W\\d_]+(?:[-'’][^\\W\\d_]+)*"
+_GIVENS, _TITLES = ("(?:" + "|".join(names) + ")" for names in (_GENDER, TITLES))
+_NAMES = re.compile(rf"(?:{'|'.join([*_GENDER, *TITLES])})\b")
+
+
+def _names(text: str) -> bool:
+    """Whether a given name or a title ends a word, as the pattern asks too (a word border in front would slow the search)."""
+    return _NAMES.search(text) is not None
+
+
 KINDS = [
     Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), lambda t: "@" in t, valid=lambda v: _movable(v.rpartition(".")[0]), same=str.lower),
     Kind("aws_key", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b"), lambda t: "AKIA" in t or "ASIA" in t, 1),
     Kind("secret", re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})", re.I), lambda t: "=" in t or ":" in t, 1, valid=_movable),
     Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _has_digit, same=lambda v: v.replace(" ", "")),
     Kind("ipv4", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"), _has_digit, valid=lambda v: all(int(x) < 256 for x in v.split("."))),
-    Kind("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{9,14}(?!\w)"), _has_digit, same=lambda v: _only_digits(v)[-10:]),
+    Kind("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{9,14}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-](?:\(\d{1,4}\)|\d{1,8})){2,6}(?!\w)|(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?![\w-])"), _has_digit, valid=lambda v: 6 <= len(_only_digits(v)) <= 18, same=lambda v: _only_digits(v)[-10:]),
     Kind("national_id", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _has_digit),
     Kind("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), _has_digit, same=_only_digits),
-    Kind("person", re.compile(r"\b(?:(?P<title>" + "|".join(TITLES) + r")\.? )?(?:(?P<given>" + "|".join(_GENDER) + r") )?(?P<surname>" + "|".join(_SCRIPT) + r")\b"), lambda t: not _GIVEN_OR_TITLE.isdisjoint(t.split())),
+    Kind("person", re.compile(rf"\b(?:(?:{_TITLES}(?:\.\s*|\s+))+(?:{_GIVENS}\s+)*|(?:{_GIVENS}\s+)+)(?!{_TITLES}\b){_SURNAME}\b"), _names, same=lambda v: " ".join(v.replace(".", ". ").split())),
 ]
 _BY_NAME = {k.name: k for k in KINDS}
 
@@ -190,17 +201,25 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     if kind == "iban":
         return value[:2] + _text(value[2:], kind, attempt, key)
     if kind == "person":
-        m = _BY_NAME["person"].pattern.fullmatch(value)
-        out = value
-        if m and m["given"]:
-            script, gender = _GENDER[m["given"]]
-            out = out.replace(m["given"] + " ", _from_list(m["given"], GIVEN[script, gender], f"{script}{gender}", key) + " ", 1)
-        if m and m["surname"]:
-            out = out[: len(out) - len(m["surname"])] + _from_list(m["surname"], SURNAMES[_SCRIPT[m["surname"]]], "surname", key)
-        return out
+        words = re.split(r"(\s+|\.)", value)
+        last = max(i for i, w in enumerate(words) if i % 2 == 0 and w)
+        return "".join(w if i % 2 or not w or (i < last and w in TITLES) else _name(w, i == last, attempt, key) for i, w in enumerate(words))
     return _text(value, kind, attempt, key, hexadecimal=all(c in _HEX for c in value))
 
 
+def _name(word: str, last: bool, attempt: int, key: bytes) -> str:
+    """Listed names go to the next of their list; others are permuted letter by letter, past the listed ones."""
+    if word in _SCRIPT and (last or word not in _GENDER):
+        return _from_list(word, SURNAMES[_SCRIPT[word]], "surname", key)
+    if word in _GENDER:
+        script, gender = _GENDER[word]
+        return _from_list(word, GIVEN[script, gender], f"{script}{gender}", key)
+    while True:
+        word = _text(word, "surname", attempt, key)
+        if word not in _SCRIPT and word not in _GENDER:
+            return word
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind), earlier kinds of KINDS first where they overlap."""
     found: list[tuple[int, int, str]] = []
@@ -209,8 +228,6 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if (kind.hint is _has_digit and not separated) or not kind.hint(text):
             continue
         for m in kind.pattern.finditer(text):
-            if kind.name == "person" and not (m["given"] or m["title"]):
-                continue
             a, b = m.span(kind.group)
             if kind.valid(text[a:b]) and not any(a < y and x < b for x, y, _ in found):
                 found.append((a, b, kind.name))

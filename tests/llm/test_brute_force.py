@@ -377,3 +377,16 @@ def test_an_entity_of_a_full_format_keeps_the_spelling_of_its_mention():
     assert dressed("phone", "+1 (632) 555-4827", "1234567890") == "+1 (123) 456-7890"
     assert dressed("card", "4111 1111-11111111", "4222222222222222") == "4222 2222-22222222"
     assert dressed("iban", "DE89 3704 0044", "DE1234567890") == "DE12 3456 7890"
+
+
+def test_names_and_phone_numbers_in_any_surrounding_are_found():
+    for text, name in {'"John Smith"': "John Smith", "(Mr. Smith)": "Mr. Smith", "Name:John Smith": "John Smith", "<b>Anna Schmidt</b>": "Anna Schmidt", "by Anna\nSchmidt,": "Anna\nSchmidt", "John  Smith": "John  Smith", "Mr. Patel said": "Mr. Patel", "with Anna Kowalski.": "Anna Kowalski", "Frau Dr. Maria": "Frau Dr. Maria", "Anna Maria Müller-Lüdenscheidt": "Anna Maria Müller-Lüdenscheidt", "Mary O'Brien": "Mary O'Brien", "Анна Каренина": "Анна Каренина"}.items():
+        assert [text[a:b] for a, b, k in find(text) if k == "person"] == [name]
+        new = surrogate("person", name, 0, b"k")
+        assert {w for w in name.split() if w in new.split()} <= {"Mr.", "Frau", "Dr."} and [c for c in new if c.isspace()] == [c for c in name if c.isspace()]
+    for number in ("+44 20 7946 0958", "+49 30 1234567", "+33 1 23 45 67 89", "01 23 45 67 89", "+1 (632) 555-4827", "+4915112345678"):
+        assert [f"call {number}, now"[a:b] for a, b, k in find(f"call {number}, now")] == [number]
+    assert find("version 1.2.3 of 2 June, Anna said so; the doctor, Drive In, Marian Apple") == []
+    names = ["Anna Smith", "Anna Jones", "Anna Patel", "Anna Mehta", "Anna Singh", "Anna Maria", "Mr. Patel", "Mr. Smith"]
+    assert len({surrogate("person", n, 0, b"k") for n in names}) == len(names)
+    assert surrogate("person", "Mr. Patel", 0, b"k").split()[1] == surrogate("person", "Anna  Patel", 0, b"k").split()[1]
