@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenarium.llm.textarrays import Words, ragged, raw_bytes, shingles_of, slices, words_of
+from scenarium.llm.textarrays import SPACE, Words, ragged, raw_bytes, shingles_of, slices, words_of
 
 #: Words of a shingle, share of a template's shingles that a window must hold, and longest passage for a template.
 SHINGLE, CONTAINMENT, STRETCH = 5, 0.8, 1.25
@@ -48,6 +48,34 @@ class Template:
     low: np.ndarray
 
 
+_SIGN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def tokens_of(data: np.ndarray, off: np.ndarray) -> Words:
+    """Runs of letters and digits, so that neither comment marks nor punctuation nor quotes of any style count.
+
+    Signs are those of ASCII, U+0080-00BF and U+2000-2BFF (quotes, dashes, bullets, frames); all else is a letter.
+    """
+    sign = _SIGN[data]
+    if len(data) and data.max() >= 0xC2:
+        two = np.flatnonzero(data[:-1] == 0xC2)
+        three = np.flatnonzero((data[:-1] == 0xE2) & (data[1:] < 0xB0))
+        for at, length in ((two, 2), (three, 3)):
+            for k in range(length):
+                sign[at + k] = True
+    return words_of(data, off, space=sign)
+
+
+def _in_words(data: np.ndarray, off: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which word between white space, counted in its row, holds each byte ``at``."""
+    start = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    start[1:] &= SPACE[data[:-1]] | edge[1:-1]
+    count = np.concatenate(([0], np.cumsum(start)))
+    return count[at + 1] - 1 - count[off[row]]
+
+
 def bands_for(words: int, blocks: int) -> int:
     """Bands of one row that give COLLISION at the least Jaccard similarity of a template and a window that holds it."""
     own, window = words - SHINGLE + 1, blocks * BLOCK - SHINGLE + 1
@@ -70,7 +98,7 @@ def templates_of(texts: dict[str, str]) -> list[Template]:
     """Templates of at least SHINGLE words; shorter ones can't be told from running text and are an error."""
     out = []
     for name, text in texts.items():
-        words = words_of(*raw_bytes(pa.array([text])))
+        words = tokens_of(*raw_bytes(pa.array([text])))
         n = len(words.code)
         if n < SHINGLE:
             raise ValueError(f"template {name} has fewer than {SHINGLE} words")
@@ -144,7 +172,8 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataF
     """``(doc_id, license, containment, first_word, last_word)``: the notices that each whole text holds.
 
     A notice is found where a window holds at least CONTAINMENT of its distinct 5-word shingles; of several
-    windows the best counts, then the first. Lower case, words as between white space. A null or empty text
+    windows the best counts, then the first. Shingles are of letters and digits in lower case, without
+    comment marks and punctuation; positions count words between white space. A null or empty text
     has none; repeated rows give their rows again; rows without doc_id keep the null; an empty table gives
     an empty result. There is no shuffle: the templates go to the texts.
     """
@@ -152,12 +181,13 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = words_of(*raw_bytes(batch.column("text")))
+            data, off = raw_bytes(batch.column("text"))
+            words = tokens_of(data, off)
             found = _matches(words, chosen) if chosen else []
-            rows = pa.array([r for r, *_ in found], pa.int64())
-            base = words.first[[r for r, *_ in found]] if found else np.zeros(0, np.int64)
+            row = np.array([r for r, *_ in found], np.int64)
+            first, last = (_in_words(data, off, row, words.start[[at(f) for f in found]]) if found else row for at in (lambda f: f[3], lambda f: f[4] - 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), pa.array([chosen[t].name for _, t, *_ in found], pa.string()), pa.array([c for _, _, c, _, _ in found], pa.float64()), pa.array(np.array([a for *_, a, _ in found], np.int64) - base), pa.array(np.array([b for *_, b in found], np.int64) - base)],
+                [batch.column("doc_id").take(pa.array(row)), pa.array([chosen[t].name for _, t, *_ in found], pa.string()), pa.array([c for _, _, c, _, _ in found], pa.float64()), pa.array(first), pa.array(last + 1)],
                 ["doc_id", "license", "containment", "first_word", "last_word"],
             )
 

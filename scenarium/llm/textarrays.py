@@ -80,12 +80,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(data: np.ndarray, off: np.ndarray, lower: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every row, A-Z lower-cased for the hash if ``lower``."""
+def words_of(data: np.ndarray, off: np.ndarray, lower: bool = True, space: np.ndarray | None = None) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every row, or runs of bytes that aren't in ``space``; A-Z lower-cased for the hash if ``lower``."""
     n = len(data)
     if not n:
         return Words(*(np.zeros(0, np.int64),) * 2, np.zeros(len(off), np.int64), np.zeros(0, np.uint64))
-    space = SPACE[data]
+    space = SPACE[data] if space is None else space
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     start, end = ~space, ~space

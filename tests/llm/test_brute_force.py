@@ -390,3 +390,20 @@ def test_names_and_phone_numbers_in_any_surrounding_are_found():
     names = ["Anna Smith", "Anna Jones", "Anna Patel", "Anna Mehta", "Anna Singh", "Anna Maria", "Mr. Patel", "Mr. Smith"]
     assert len({surrogate("person", n, 0, b"k") for n in names}) == len(names)
     assert surrogate("person", "Mr. Patel", 0, b"k").split()[1] == surrogate("person", "Anna  Patel", 0, b"k").split()[1]
+
+
+def test_notices_in_comments_of_several_styles_are_found(spark):
+    texts, want = [], []
+    for name, notice in TEMPLATES.items():
+        words = notice.split()
+        for mark, width, begin, end in (("# ", 3, "", ""), ("// ", 5, "", ""), (" * ", 7, "/*\n", " */"), ("<!-- ", 6, "", " -->"), (";; ", 4, "", ""), ("│ ", 5, "", "")):
+            lines = [mark + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            texts.append("some code here\n" + begin + "\n".join(lines).replace('"', "“") + end + "\nmore code")
+            want.append(name)
+    texts += ["Released under the MIT License, see LICENSE", "x; (Licensed under CC BY-NC 4.0)", "the license was released under no terms"]
+    got = scan_licenses(frame(spark, texts)).collect()
+    found = {(r.doc_id, r.license) for r in got}
+    assert {*enumerate(want, 1), (len(want) + 1, "mit-line"), (len(want) + 2, "cc-by-nc-4.0")} <= found
+    assert not any(r.doc_id == len(texts) for r in got)
+    place = {(r.doc_id, r.license): (r.first_word, r.last_word) for r in got}
+    assert place[len(want) + 1, "mit-line"] == (0, 5) and place[len(want) + 2, "cc-by-nc-4.0"] == (1, 6)
