@@ -22,6 +22,8 @@ BUCKET_BYTES, SHARDS = 2 << 20, 4
 HOT = 2048
 #: Text of one bucket of documents, about.
 DOCS_BYTES = 8 << 20
+#: Runs of a slice that are cut out at once.
+PLACES = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -70,7 +72,8 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     ``text`` holds byte + 1, and 0 for terminators, which sort by position. Prefix doubling from eight bytes on.
     """
     n = len(text)
-    stop = np.repeat(ends, np.diff(np.concatenate(([0], ends))))  # where each position's string ends
+    string = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+    stop = ends[string]  # where each position's string ends
     padded = np.concatenate((text, np.zeros(8, text.dtype)))
     key = np.zeros(n, np.uint64)
     alive = np.ones(n, bool)
@@ -79,27 +82,30 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         alive &= at < stop
         key = key * np.uint64(512) + np.where(alive, padded[at], 0).astype(np.uint64)
     order = np.argsort(key, kind="stable")
-    size = 7
-    terminator = np.flatnonzero(text == 0)
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    terminator = np.flatnonzero(text == 0)  # these come first, in order, and differ from each other
+    rank[terminator] = np.arange(len(terminator))
+    size, place = 7, np.arange(n)
     while True:
-        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        if size == 7:  # terminators come first, in order, and differ from each other
-            rank[terminator] = np.arange(len(terminator))
-        at = np.arange(n) + size
-        inside = at < stop
-        # a suffix that ended has met its own terminator, which tells it from all others
-        beyond = np.where(inside, rank[np.minimum(at, n - 1)] + n, np.searchsorted(ends, np.arange(n), "right"))
-        key = rank.astype(np.uint64) * np.uint64(4 * n + 4) + beyond.astype(np.uint64)
-        tied = rank[order[1:]] == rank[order[:-1]]
-        if not tied.any():
-            return order
-        loose = np.zeros(n, bool)
+        # only suffixes that tie with a neighbour are keyed again
+        tied = rank[order[place[1:]]] == rank[order[place[:-1]]]
+        loose = np.zeros(len(place), bool)
         loose[1:] |= tied
         loose[:-1] |= tied
-        at = np.flatnonzero(loose)
-        order[at] = order[at][np.argsort(key[order[at]], kind="stable")]
+        place = place[loose]
+        if not len(place):
+            return order
+        own = order[place]
+        at = own + size
+        # a suffix that ended has met its own terminator, which tells it from all others
+        beyond = np.where(at < stop[own], rank[np.minimum(at, n - 1)] + n, string[own])
+        key = rank[own] * (2 * n) + beyond
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        order[place] = own
+        rank[own] = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), place, 0))
         size *= 2
 
 
@@ -111,7 +117,7 @@ def last_to_first(transform: np.ndarray, strings: int) -> np.ndarray:
     return out
 
 
-def merge(transforms: list[np.ndarray], strings: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(transforms: list[np.ndarray], strings: list[int], rounds: int, room: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, row, interval) of all suffixes whose first ``rounds`` symbols another suffix of any shard begins with.
 
     The interleave starts as the shards end to end. Each round walks it, takes each row's symbol from its
@@ -119,7 +125,8 @@ def merge(transforms: list[np.ndarray], strings: list[int], rounds: int) -> tupl
     after h rounds the interleave is in the order of the first h symbols. Two rows next to each other share
     h symbols if their symbols are equal and they came from one interval: that gives the common prefixes, and
     no suffix is ever compared again. A row alone in its interval can't be in a larger one later, so that it
-    leaves the interleave, as does one that reaches the beginning of its string.
+    leaves the interleave. ``room`` marks each shard's suffixes with ``rounds`` symbols before them: others would
+    reach the beginning of their strings, and don't enter.
     """
     size = np.array([len(t) for t in transforms])
     base = np.cumsum(size) - size
@@ -128,14 +135,12 @@ def merge(transforms: list[np.ndarray], strings: list[int], rounds: int) -> tupl
     if len(used) <= 256:  # nearly always: one byte a symbol sorts faster
         symbol = np.searchsorted(used, symbol).astype(np.uint8) if len(used) and used[0] == 0 else symbol
     ahead = np.concatenate([last_to_first(t, m) + np.int32(b) for t, m, b in zip(transforms, strings, base, strict=True)])
-    rows, interval = np.arange(len(symbol), dtype=np.int32), np.zeros(len(symbol), np.int32)
+    rows = np.flatnonzero(np.concatenate(room)).astype(np.int32)
+    interval = np.zeros(len(rows), np.int32)
     for _ in range(rounds):
         s = symbol[rows]
-        inside = np.flatnonzero(s)
-        s = s[inside]
         order = np.argsort(s, kind="stable")
         s = s[order]
-        order = inside[order]
         rows, came = ahead[rows[order]], interval[order]
         begins = np.empty(len(rows) + 1, bool)
         begins[0] = begins[-1] = True
@@ -167,7 +172,7 @@ def repeated_windows(strings: list[bytes], owner: np.ndarray, start: np.ndarray,
         own = np.searchsorted(ends, order, "right")
         string.append(members[own])
         where.append(order - (ends - size)[own])
-    which, row, interval = merge(transforms, [len(x) for x in each], length)
+    which, row, interval = merge(transforms, [len(x) for x in each], length, [x >= length for x in where])
     base = np.cumsum([0, *map(len, transforms)])
     at = base[which] + row
     row_string, row_at = np.concatenate(string)[at], np.concatenate(where)[at]
@@ -277,6 +282,28 @@ def _pass_on(buckets: int):
     return run
 
 
+def keep(kept: dict[tuple[int, bytes], tuple[int, int]], gone: list[tuple[int, int, int]], code: int, doc: int, at: int, string: bytes) -> None:
+    """Of equal strings the first place is kept; the others are spans that go."""
+    mine = (doc, at)
+    other = kept.setdefault((code, string), mine)
+    if other != mine:
+        if mine < other:
+            kept[code, string], mine = mine, other
+        gone.append((*mine, mine[1] + len(string)))
+
+
+def joined(spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """(document, begin, end) with spans that overlap or touch made one."""
+    g = np.array(spans, np.int64).reshape(-1, 3)
+    g = g[np.lexsort((g[:, 1], g[:, 0]))]
+    if not len(g):
+        return g
+    doc = np.cumsum(np.concatenate(([0], np.diff(g[:, 0]) != 0)))
+    reach = np.maximum.accumulate(g[:, 2] + doc * (1 << 40)) - doc * (1 << 40)  # texts end far below 2**40
+    begin = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (g[1:, 1] > reach[:-1]))))
+    return np.stack([g[begin, 0], g[begin, 1], reach[np.concatenate((begin[1:] - 1, [len(g) - 1]))]], 1)
+
+
 def _strings(length: int, buckets: int):
     """Runs of windows whose anchor repeats, as strings for the bucket of the anchor; of equal ones only the first.
 
@@ -293,7 +320,7 @@ def _strings(length: int, buckets: int):
         order = np.argsort(key)
         key, crowd = key[order], crowd[order]
         kept: dict[tuple[int, bytes], tuple[int, int]] = {}
-        gone: list[tuple[int, int, int]] = []
+        spans = [np.zeros((0, 3), np.int64)]
         for batch in unpacked(docs):
             data, off = raw_bytes(batch.column("text"))
             row, first, last, code = runs(data, off, length)
@@ -304,22 +331,19 @@ def _strings(length: int, buckets: int):
             hit = np.flatnonzero(key[found] == mine)
             raw = data.tobytes()
             hot = crowd[found[hit]] >= HOT
-            name, own, begin, end = code[hit].tolist(), doc[hit].tolist(), first[hit].tolist(), last[hit].tolist()
-            places = list(zip(name, own, (first - off[row])[hit].tolist(), [raw[x : y + length] for x, y in zip(begin, end, strict=True)], strict=True))
-            if hot.any():  # window by window, each under its own hash
-                crowded = [places[i] for i in np.flatnonzero(hot).tolist()]
-                places = [places[i] for i in np.flatnonzero(~hot).tolist()]
-                for _, d, p, s in crowded:
-                    for o in range(len(s) - length + 1):
+            for part in range(0, len(hit), PLACES):  # a text of one character has as many as it has bytes
+                k = hit[part : part + PLACES]
+                own, begin = doc[k].tolist(), (first - off[row])[k].tolist()
+                cut = [raw[x : y + length] for x, y in zip(first[k].tolist(), last[k].tolist(), strict=True)]
+                gone: list[tuple[int, int, int]] = []
+                for c, d, p, s, crowded in zip(code[k].tolist(), own, begin, cut, hot[part : part + PLACES].tolist(), strict=True):
+                    if not crowded:
+                        keep(kept, gone, c, d, p, s)
+                        continue
+                    for o in range(len(s) - length + 1):  # window by window, each under its own hash
                         w = s[o : o + length]
-                        places.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), d, p + o, w))
-            for c, d, p, s in places:
-                other = kept.setdefault((c, s), (d, p))
-                if other != (d, p):
-                    late = max(other, (d, p))
-                    if late is other:
-                        kept[c, s] = (d, p)
-                    gone.append((*late, late[1] + len(s)))
+                        keep(kept, gone, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), d, p + o, w)
+                spans.append(joined(gone))
         code = np.array([k for k, _ in kept], np.uint64)
         size = np.array([len(s) for _, s in kept], np.int32)
         owner = np.array(list(kept.values()), np.int64).reshape(-1, 2)
@@ -329,7 +353,7 @@ def _strings(length: int, buckets: int):
         for own in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(order) else []:
             head = _frame([code[own], owner[own, 0], owner[own, 1].astype(np.int32), size[own]])
             out.append((int(slot[own[0]]), 2, squeeze(len(own).to_bytes(4, "little") + head + b"".join([strings[i] for i in own.tolist()]))))
-        g = np.array(gone, np.int64).reshape(-1, 3)
+        g = np.concatenate(spans)
         out += [(b, 3, x) for b, x in _deal(by_doc(g[:, 0].copy(), buckets), [g[:, 0], g[:, 1].astype(np.int32), g[:, 2].astype(np.int32)])]
         return pa.Table.from_batches([_rows(out)])
 
@@ -349,12 +373,7 @@ def _repeats(length: int, buckets: int):
             code, doc, at, size = _unframe([blob[4 : 4 + 24 * n]], _STRING)
             end = np.cumsum(size) + 4 + 24 * n
             for c, d, p, a, b in zip(code.tolist(), doc.tolist(), at.tolist(), (end - size).tolist(), end.tolist(), strict=True):
-                k, mine = (c, blob[a:b]), (d, p)
-                other = kept.get(k)
-                kept[k] = mine if other is None else min(mine, other)
-                if other is not None and mine != other:
-                    late = max(mine, other)
-                    gone.append((*late, late[1] + b - a))
+                keep(kept, gone, c, d, p, blob[a:b])
         code = np.array([k for k, _ in kept], np.uint64)
         _, where, count = np.unique(code, return_inverse=True, return_counts=True)
         alike = np.flatnonzero(count[where] > 1) if len(code) else np.zeros(0, np.int64)
@@ -375,7 +394,7 @@ def _repeats(length: int, buckets: int):
                 last = np.concatenate((np.flatnonzero(begin)[1:] - 1, [len(s) - 1]))[: begin.sum()]
                 place = owners[own[s[begin]]]
                 gone += zip(place[:, 0].tolist(), (place[:, 1] + at[begin]).tolist(), (place[:, 1] + at[last] + length).tolist(), strict=True)
-        g = np.array(gone, np.int64).reshape(-1, 3)
+        g = joined(gone)
         out += [(b, 3, x) for b, x in _deal(by_doc(g[:, 0].copy(), buckets), [g[:, 0], g[:, 1].astype(np.int32), g[:, 2].astype(np.int32)])]
         return pa.Table.from_batches([_rows(out)])
 
