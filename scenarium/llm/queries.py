@@ -101,9 +101,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scenarium.llm.chaining import fuzzy_passages
+    from scenarium.llm.chaining import fuzzy_passages, with_components
 
-    return fuzzy_passages(_table(spark, sf_dir, "documents"))
+    return with_components(fuzzy_passages(_table(spark, sf_dir, "documents")))
 
 
 @_query

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, on small tables."""
 
 import collections
+import difflib
 import hashlib
 import math
 import random
@@ -16,9 +17,9 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from scenarium.llm import suffixes
+from scenarium.llm import chaining, suffixes
 from scenarium.llm.bpe import codec, encode
-from scenarium.llm.chaining import chains, common_words, fuzzy_passages
+from scenarium.llm.chaining import chains, common_words, fuzzy_passages, with_components
 from scenarium.llm.decontam import contaminated
 from scenarium.llm.langid import fit, predict, remainder
 from scenarium.llm.licenses import TEMPLATES, bands_for, scan_licenses, templates_of
@@ -217,7 +218,68 @@ def test_copies_that_repeat_themselves_are_found(spark):
     own = [" ".join([f"a{i}", f"b{i}", f"c{i}"] * 40) for i in range(6)]
     texts = [prose(rng, 60, 10**6), *own, prose(rng, 60, 10**6), *own, own[0] + " tail"]
     got = {(r.doc_id, r.other_id) for r in fuzzy_passages(frame(spark, texts)).collect()}
-    assert got == {*((i + 7, i) for i in range(2, 8)), (15, 9)}
+    assert got == {*((i + 7, i) for i in range(2, 8)), (15, 9), (15, 2)}
+
+
+def test_a_passage_is_found_however_many_documents_hold_pieces_of_it(spark):
+    rng = random.Random(16)
+    texts, want = [], set()
+    for n in (60, 80, 200):
+        for before in (False, True):
+            for times in range(1, 7):
+                words = prose(rng, n, 10**9).split()
+                pieces = [f"{prose(rng, 20, 10**9)} {' '.join(words[a : a + 45])} {prose(rng, 20, 10**9)}" for a in [*range(0, n - 44, 15), n - 45]] * times
+                whole = [f"{prose(rng, k, 10**9)} {' '.join(words)} {prose(rng, 40 - k, 10**9)}" for k in (30, 5)]
+                first = len(texts) + 1 + before * len(pieces)
+                want.add((first + len(pieces) + 1, first))
+                texts += [*(pieces if before else []), whole[0], *pieces, whole[1], *(pieces if before else [])]
+    got = {(r.doc_id, r.other_id): r for r in fuzzy_passages(frame(spark, texts)).collect()}
+    assert want <= got.keys() and all(got[p].similarity == 1 for p in want)
+    assert all(got[p].matched_words >= 60 for p in want)
+
+
+@pytest.mark.parametrize("edited", [0, 0.05])
+def test_documents_of_common_lines_are_connected_as_by_brute_force(spark, edited):
+    """Passages of lines that are everywhere: whoever shares one with an earlier document is found, and all pairs are connected."""
+    rng = random.Random(17)
+    lines = [prose(rng, rng.randint(12, 30), 10**9).split() for _ in range(40)]
+    passages = [sum(rng.sample(lines, 5), []) for _ in range(6)]
+    texts = []
+    for _ in range(160):
+        own = prose(rng, rng.randint(5, 60), 10**9).split()
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(lines) if rng.random() < 0.6 else rng.choice(passages)
+            own += [w if rng.random() >= edited else prose(rng, 1, 10**9) for w in part] + prose(rng, rng.randint(3, 20), 10**9).split()
+        texts.append(own)
+
+    def shared(a, b):
+        blocks = [m for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks() if m.size]
+        for i in range(len(blocks)):
+            matched = 0
+            for m in blocks[i:]:
+                matched += m.size
+                long, short = sorted((m.a + m.size - blocks[i].a, m.b + m.size - blocks[i].b), reverse=True)
+                if short >= 50 and matched >= 0.85 * long:
+                    return True
+        return False
+
+    want = {(b + 1, a + 1) for b in range(len(texts)) for a in range(b) if len(set(texts[a]) & set(texts[b])) > 35 and shared(texts[a], texts[b])}
+    rows = with_components(fuzzy_passages(frame(spark, map(" ".join, texts)))).collect()
+    group = {d: r.component_id for r in rows for d in (r.doc_id, r.other_id)}
+    later = {b for b, _ in want}
+    assert len(later) > 50 and len(later & {r.doc_id for r in rows}) >= 0.97 * len(later)
+    assert sum(b in group and group[b] == group.get(a) for a, b in want) >= 0.99 * len(want)
+
+
+def test_frequent_seeds_give_a_bounded_number_of_links():
+    seeds = np.zeros(9000, chaining._SEEDS)
+    seeds["doc"] = np.arange(9000)
+    links, count, stands = chaining.paired(seeds, part=True)
+    assert len(links) < (2 + chaining.CHOSEN) * 9000 and (count == chaining.MANY).all() and 2 <= stands.sum() <= 2 + chaining.CHOSEN
+    few = np.sort(np.array([(1, d, 0, 0, 0) for d in range(chaining.FEW)], chaining._SEEDS))
+    links, count, stands = chaining.paired(few)
+    assert len(links) == chaining.FEW * (chaining.FEW - 1) // 2 and not stands.any() and (count == chaining.FEW).all()
+    assert not len(chaining.paired(few, part=True)[0])
 
 
 def test_chains_against_all_subsets():
