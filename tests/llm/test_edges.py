@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator."""
 
+import math
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -92,8 +95,24 @@ def test_decontamination_of_odd_tables(spark, docs, nothing):
 
 
 def test_top_k_of_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (20, []), (7, [3e30, 0.0]), (8, [-0.001, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (20, []), (7, [3e9, 0.0]), (8, [-0.001, 0.0])]
     vectors = spark.createDataFrame([(i, v, 9, 9) for i, v in rows], "vec_id long, embedding array<double>, n int, q int")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in exact_top_k(vectors, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 7), (0, 2, 1), (0, 3, 2), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
     assert exact_top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    for large in ([(0, [3e30]), (1, [1.0])], [(0, [1e15, 1.0]), (1, [1e15, 1.0])]):  # no sum that is wrong, and no other value in its place
+        with pytest.raises(Exception, match=r"beyond 2\*\*61"):
+            exact_top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [5.0, 0.0])], "vec_id long, embedding array<double>")
+    got = exact_top_k(vectors, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 2, 320 * 64), (2, 1, 128 * 64), (3, 1, 64 * 64)]
+    rng = random.Random(3)
+    rows = [(i // 2 * 10, [rng.uniform(-3e6, 3e6) for _ in range(5)]) for i in range(60)]  # every id twice, sums beyond 2**53
+    v = [(i, [math.floor(64 * x) for x in e]) for i, e in rows]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7).collect()
+    for q in {i for i, _ in v if i % 20 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(e, w, strict=True)), c) for i, e in v if i == q for c, w in v if c != q)[:7]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n, c, -s) for n, (s, c) in enumerate(best, 1)]
