@@ -17,6 +17,8 @@ from scenarium.llm.textarrays import SPACE, Words, ragged, raw_bytes, shingles_o
 SHINGLE, CONTAINMENT, STRETCH = 5, 0.8, 1.25
 #: Windows begin every BLOCK words. A window that holds a template collides in a band with this probability at least.
 BLOCK, COLLISION = 6, 1 - 1e-6
+#: Bounds of a table of templates.
+MOST_TEMPLATES, TEMPLATE_BYTES = 2000, 32 << 20
 
 # The notices that are looked for.
 TEMPLATES = {
@@ -34,6 +36,19 @@ TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "mit-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-clauses": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "cc0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
 }
 
 
@@ -109,6 +124,18 @@ def templates_of(texts: dict[str, str]) -> list[Template]:
     return out
 
 
+def template_table(table: DataFrame) -> dict[str, str]:
+    """Templates ``(license, text)`` from a table of MOST_TEMPLATES rows and TEMPLATE_BYTES at most; more are an error, nulls are left out."""
+    rows = table.select(F.col("license").cast("string"), F.col("text").cast("string")).where("license is not null and text is not null")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    if size["n"] > MOST_TEMPLATES or (size["b"] or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"{size['n']} templates of {size['b']} bytes: at most {MOST_TEMPLATES} of {TEMPLATE_BYTES} are sent to every task")
+    found = rows.distinct().collect()
+    if len({r["license"] for r in found}) < len(found):
+        raise ValueError("two templates have the same name")
+    return {r["license"]: r["text"] for r in found}
+
+
 def _grid(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles as BLOCK rows by blocks, each text beginning a block; each block's text and first word."""
     count = np.diff(words.first)
@@ -158,26 +185,27 @@ def _matches(words: Words, templates: list[Template]) -> list[tuple[int, int, fl
         hit = template.codes[np.minimum(place, len(template.codes) - 1)] == own
         pair = np.unique(np.stack([np.repeat(np.arange(len(at)), size)[hit], place[hit]]), axis=1)
         share = np.bincount(pair[0], minlength=len(at)) / len(template.codes)
-        which = np.repeat(np.arange(len(at)), size)[hit]
+        which, held = np.repeat(np.arange(len(at)), size)[hit], index[hit]  # windows in order, and words within them
+        low, high = (np.searchsorted(which, np.arange(len(at)), side) for side in ("left", "right"))
         for i in np.flatnonzero(share >= CONTAINMENT).tolist():
-            inside = index[hit][which == i]
-            found = (float(share[i]), int(inside.min()), int(inside.max()) + SHINGLE)
+            found = (float(share[i]), int(held[low[i]]), int(held[high[i] - 1]) + SHINGLE)
             key = (int(row[at[i]]), t)
             if key not in out or (found[0], -found[1]) > (out[key][0], -out[key][1]):
                 out[key] = found
     return [(r, t, *out[r, t]) for r, t in sorted(out)]
 
 
-def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, texts: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """``(doc_id, license, containment, first_word, last_word)``: the notices that each whole text holds.
 
-    A notice is found where a window holds at least CONTAINMENT of its distinct 5-word shingles; of several
-    windows the best counts, then the first. Shingles are of letters and digits in lower case, without
+    ``texts`` are templates by name, or a table ``(license, text)`` of bounded size; else TEMPLATES. A notice is
+    found where a window holds at least CONTAINMENT of its distinct 5-word shingles; a text gives one row for each
+    notice, of several windows the one that holds most, then the first. Shingles are of letters and digits in lower case, without
     comment marks and punctuation; positions count words between white space. A null or empty text
     has none; repeated rows give their rows again; rows without doc_id keep the null; an empty table gives
     an empty result. There is no shuffle: the templates go to the texts.
     """
-    chosen = templates_of(TEMPLATES if texts is None else texts)
+    chosen = templates_of(template_table(texts) if isinstance(texts, DataFrame) else TEMPLATES if texts is None else texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
