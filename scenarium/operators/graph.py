@@ -29,13 +29,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return own.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _beside(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` with the ``m`` of their ``u``.
+
+    The aggregate comes with the partitioning of ``u``; under another expression it is dealt out again, as few rows as
+    it has, so that both sides of the join are plain shuffles and AQE can split the links of a node that has very many.
+    """
+    own = least.select(F.greatest("u", "u").alias("w"), "m")
+    return links.join(own, links["u"] == own["w"]).select("u", "v", "m")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _beside(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _beside(links, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
