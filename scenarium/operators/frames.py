@@ -30,9 +30,9 @@ def fill_nearest(pixels: DataFrame, keys: list[str], limit: float = 50.0) -> Dat
     seen = pixels.withColumn("_d", F.when(valid_depth(F.col("depth"), limit), F.col("depth"))).withColumn("_there", F.lit(True))
     grid = pixels.select(*keys, "v").distinct().join(pixels.select(*keys, "u").distinct(), keys)
     p = grid.join(seen, [*keys, "v", "u"], "left")
-    near = lambda w, f: f(F.when(F.col("_d").isNotNull(), F.struct("u", "_d")), True).over(w)
-    row = W.partitionBy(*keys, "v").orderBy("u")
-    p = p.withColumn("_l", near(row.rowsBetween(W.unboundedPreceding, 0), F.last)).withColumn("_r", near(row.rowsBetween(0, W.unboundedFollowing), F.first))
+    row = W.partitionBy(*keys, "v")
+    near = lambda order: F.last(F.when(F.col("_d").isNotNull(), F.struct("u", "_d")), True).over(row.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    p = p.withColumn("_l", near(F.asc("u"))).withColumn("_r", near(F.desc("u")))
     own = F.array_min(F.filter(F.array(*(F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.u") - F.col("u")).alias("dx"), F.col(f"{s}.u").alias("at"), F.col(f"{s}._d").alias("d"))) for s in ("_l", "_r"))), lambda x: x.isNotNull()))
     p = p.withColumn("_own", own)
     holes = p.where("_d is null and _there").select(*keys, "v", "u")

@@ -53,7 +53,7 @@ def greedy_tour(stops: DataFrame, key: str, turn_cost: float = 1.5) -> DataFrame
         while left.any():
             i = order[-1]
             cost = np.linalg.norm(at - at[i], axis=1) + turn_cost * np.arccos(np.clip(ahead @ ahead[i], -1, 1))
-            order.append(int(np.where(left, cost, np.inf).argmin()))
+            order.append(int(np.where(left, cost.round(9), np.inf).argmin()))  # ties to the smaller item
             left[order[-1]] = False
         return pd.DataFrame({key: pdf[key].iloc[0], "item": pdf["item"].iloc[order].to_numpy(), "rank": np.arange(len(order))})
 
@@ -68,7 +68,7 @@ def distinct_segments(segments: DataFrame, key: str, parallel: float = 0.98, off
         length = np.hypot(*d.T)
         unit, mid = d / np.maximum(length, 1e-12)[:, None], np.stack([pdf.x0 + pdf.x1, pdf.y0 + pdf.y1], 1) / 2
         kept: list[int] = []
-        for i in np.lexsort((pdf["item"], -length)):
+        for i in np.lexsort((pdf["item"], -length.round(9))):
             near = [k for k in kept if abs(unit[i] @ unit[k]) >= parallel and abs((mid[i] - mid[k]) @ [-unit[k][1], unit[k][0]]) < offset]
             if not near:
                 kept.append(int(i))

@@ -6,6 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scenarium.plans.materialize import materialize
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], n: str = "_n", of: str = "_of") -> DataFrame:
+    """``rows`` with their place ``n`` (from 0) in their group by ``order``, and the group's size ``of``.
+
+    No task sorts a group: rows are dealt out by range of keys and order, numbered within each part, and moved on by
+    the sizes of the parts before, a row for each part and group.
+    """
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    place = F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order)) - 1
+    dealt = materialize(dealt.withColumn("_place", place.cast("long")), "numbered")
+    sizes = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_size"))
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_size").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", *keys, before.alias("_before"), F.sum("_size").over(whole).alias(of))
+    same = [F.col("a._part") == F.col("b._part"), *(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)]
+    out = dealt.alias("a").join(sizes.alias("b"), same)
+    return out.select(*(f"a.{c}" for c in rows.columns), (F.col("_place") + F.col("_before")).alias(n), of)
+
 
 def first_per_group(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     return top_per_group(rows, keys, order, 1)
@@ -46,8 +66,7 @@ def balanced_selection(rows: DataFrame, group: str, name: str, total: int) -> Da
 
 def even_stride(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
     """At most ``k`` rows of each group at even steps from the first to the last."""
-    w = W.partitionBy(*keys)
-    ranked = rows.withColumn("_n", F.row_number().over(w.orderBy(order)) - 1).withColumn("_m", F.count("*").over(w))
+    ranked = numbered(rows, keys, [order], "_n", "_m")
     last, step = F.col("_m") - 1, F.lit(max(k - 1, 1))
     # row n is taken if it is floor(i * last / step) of some i
     i = F.ceil(F.col("_n") * step / F.greatest(last, F.lit(1))).cast("long")
@@ -57,11 +76,10 @@ def even_stride(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFra
 
 def interleaved(scenes: DataFrame, objects: DataFrame, scene: str, weight: int) -> DataFrame:
     """After each scene its ``weight`` objects: entry i of n starts at (i * objects) div n, around the end of the list."""
-    n, m = scenes.count(), objects.count()
-    order = W.orderBy(scene)
-    placed = scenes.withColumn("i", F.row_number().over(order) - 1)
-    entries = placed.select(scene, "i", F.explode(F.sequence(F.lit(0), F.lit(weight))).alias("k"))
-    at = F.when(F.col("k") == 0, None).otherwise((F.floor(F.col("i") * m / F.lit(max(n, 1))) + F.col("k") - 1) % F.lit(max(m, 1)))
+    m = objects.count()
+    placed = numbered(scenes, [], [scene], "i", "_n")
+    entries = placed.select(scene, "i", "_n", F.explode(F.sequence(F.lit(0), F.lit(weight))).alias("k"))
+    at = F.when(F.col("k") == 0, None).otherwise((F.floor(F.col("i") * m / F.col("_n")) + F.col("k") - 1) % F.lit(max(m, 1)))
     return entries.select((F.col("i") * (weight + 1) + F.col("k")).alias("position"), F.when(F.col("k") == 0, F.col(scene)).alias(scene), at.cast("long").alias("object_index"))
 
 
@@ -75,11 +93,14 @@ def contiguous_shard(index: Column, n: Column, world: int) -> Column:
 
 
 def average_precision(detections: DataFrame, key: str, order: list[Column | str], hit: str, n_truth: str) -> DataFrame:
-    """Area under the precision envelope of each key: running hits, the highest precision from a point on, steps in recall."""
+    """Area under the precision envelope of each key: running hits, the highest precision from a point on, steps in recall.
+
+    The envelope runs from the end to the front, so that each row extends the frame of the one before.
+    """
     up = W.partitionBy(key).orderBy(*order)
     running = detections.withColumn("_tp", F.sum(hit).over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(up))
     points = running.withColumn("_recall", F.col("_tp") / F.col(n_truth)).withColumn("_precision", F.col("_tp") / F.col("_n"))
-    points = points.withColumn("_envelope", F.max("_precision").over(up.rowsBetween(0, W.unboundedFollowing))).withColumn("_before", F.coalesce(F.lag("_recall").over(up), F.lit(0.0)))
+    points = points.withColumn("_envelope", F.max("_precision").over(W.partitionBy(key).orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, 0))).withColumn("_before", F.coalesce(F.lag("_recall").over(up), F.lit(0.0)))
     return points.groupBy(key).agg(F.sum((F.col("_recall") - F.col("_before")) * F.col("_envelope")).alias("ap"))
 
 

@@ -132,22 +132,20 @@ def suppress(boxes: DataFrame, pairs: DataFrame, keys: list[str], threshold: flo
 def confident_matches(pairs: DataFrame, predictions: DataFrame, key: str, threshold: float) -> DataFrame:
     """``(key, pred, truth, iou)``: by falling confidence each prediction takes its best free truth; null where under ``threshold``.
 
-    The order within a scene matters, so a scene is one group; its pairs are those that overlap at all.
+    Ties go to the smaller prediction and truth. Each round decides every prediction whose best free truth no open one
+    of higher confidence could take; the most confident one of those left always is such a one.
     """
-    rows = predictions.select(key, F.col("box_id").alias("pred"), "confidence").join(pairs.select(key, F.col("a").alias("pred"), F.col("b").alias("truth"), "iou"), [key, "pred"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        pdf = pdf.sort_values(["confidence", "pred", "iou", "truth"], ascending=[False, True, False, True], kind="stable")
-        for pred, own in pdf.groupby("pred", sort=False):
-            free = [(t, i) for t, i in zip(own.truth, own.iou, strict=True) if t == t and t not in used]
-            best = free[0] if free and free[0][1] >= threshold else None
-            if best:
-                used.add(best[0])
-            out.append((pdf[key].iloc[0], pred, best[0] if best else None, best[1] if best else None))
-        return pd.DataFrame(out, columns=[key, "pred", "truth", "iou"]).astype({"truth": "Int64"})
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} long, pred long, truth long, iou double")
+    every = materialize(predictions.select(key, F.col("box_id").alias("pred"), "confidence"), "predictions")
+    near = pairs.where(F.col("iou") >= threshold).select(key, F.col("a").alias("pred"), F.col("b").alias("truth"), "iou")
+    open_, taken = materialize(near.join(every, [key, "pred"]), "pairs"), []
+    while not open_.isEmpty():
+        best = open_.groupBy(key, "pred").agg(F.max(F.struct("iou", (-F.col("truth")).alias("t"))).alias("m")).select(key, "pred", (-F.col("m.t")).alias("truth"), "m.iou")
+        first = open_.groupBy(key, "truth").agg(F.max(F.struct("confidence", (-F.col("pred")).alias("p"))).alias("m")).select(key, "truth", (-F.col("m.p")).alias("pred"))
+        chosen = materialize(best.join(first, [key, "pred", "truth"], "left_semi"), "chosen")
+        taken.append(chosen)
+        open_ = materialize(open_.join(chosen.select(key, "pred"), [key, "pred"], "left_anti").join(chosen.select(key, "truth"), [key, "truth"], "left_anti"), "pairs")
+    found = reduce(DataFrame.unionByName, taken) if taken else open_.select(key, "pred", "truth", "iou")
+    return every.select(key, "pred").join(found, [key, "pred"], "left").select(key, "pred", "truth", "iou")
 
 
 def optimal_assignment(costs: DataFrame, key: str) -> DataFrame:

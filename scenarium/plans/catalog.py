@@ -308,8 +308,7 @@ def w10_interleave(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT doc_id, CAST(i % 4 AS BIGINT) AS turn, (SELECT min(s) FROM range(4) t(s) WHERE i < n * (s + 1) // 4) AS part FROM r""")
 def w11_shards(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("source")
-    r = table(spark, sf, "documents").select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    r = ranking.numbered(table(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"], "i", "n")
     return r.select("doc_id", ranking.round_robin(F.col("i"), 4).alias("turn"), ranking.contiguous_shard(F.col("i"), F.col("n"), 4).alias("part"))
 
 

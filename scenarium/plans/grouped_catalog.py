@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenarium.operators import grouped, mesh
 from scenarium.plans.catalog import query, rounded
-from scenarium.plans.derived import POINTS, boxes, faces, points, table, vertices, voxel_points
+from scenarium.plans.derived import BOXES, POINTS, boxes, faces, points, table, vertices, voxel_points
 
 
 @query()
@@ -22,7 +22,11 @@ def p18b_blake_seed(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", grouped.blake_seed(F.concat_ws("::", F.lit("7"), "source", F.col("doc_id").cast("string"))).alias("seed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, s AS (SELECT box_id // 512 * 8 + scene_id AS block, box_id AS item, cx, cy, cz FROM boxes),
+t AS (SELECT block, item, cx, cy, cz, 0::BIGINT AS rank, [item] AS seen FROM s QUALIFY row_number() OVER (PARTITION BY block ORDER BY item) = 1
+UNION ALL SELECT block, best.item, best.cx, best.cy, best.cz, rank + 1, list_append(seen, best.item) FROM (SELECT t.block, t.rank, t.seen,
+arg_min({{'item': s.item, 'cx': s.cx, 'cy': s.cy, 'cz': s.cz}}, (round(sqrt((s.cx - t.cx) ** 2 + (s.cy - t.cy) ** 2 + (s.cz - t.cz) ** 2) + 1.5::DOUBLE * acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, cos(s.cx) * cos(t.cx) + sin(s.cx) * sin(t.cx)))), 9), s.item)) AS best
+FROM t JOIN s ON s.block = t.block AND NOT list_contains(t.seen, s.item) GROUP BY ALL)) SELECT block, item, rank FROM t""")
 def g29_greedy_tour(spark: SparkSession, sf: str) -> DataFrame:
     """A tour through the boxes of each small block of a scene."""
     b = boxes(spark, sf)
@@ -31,7 +35,12 @@ def g29_greedy_tour(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.greedy_tour(stops, "block")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, s AS (SELECT box_id // 512 * 8 + scene_id AS block, box_id AS item, cx, cy, cos(cz) * sy AS dx, sin(cz) * sx AS dy FROM boxes),
+q AS (SELECT block, item, dx / l AS ux, dy / l AS uy, cx + dx / 2 AS mx, cy + dy / 2 AS my, row_number() OVER (PARTITION BY block ORDER BY round(l, 9) DESC, item) AS n FROM (SELECT *, sqrt(dx * dx + dy * dy) AS l FROM s)),
+k AS (SELECT block, 0::BIGINT AS n, []::STRUCT(ux DOUBLE, uy DOUBLE, mx DOUBLE, my DOUBLE)[] AS kept, NULL::BIGINT AS item FROM q WHERE n = 1
+UNION ALL SELECT k.block, q.n, CASE WHEN near THEN kept ELSE list_append(kept, {{'ux': q.ux, 'uy': q.uy, 'mx': q.mx, 'my': q.my}}) END, CASE WHEN NOT near THEN q.item END FROM k JOIN q ON q.block = k.block AND q.n = k.n + 1,
+LATERAL (SELECT len(list_filter(kept, lambda o: abs(q.ux * o.ux + q.uy * o.uy) >= 0.98 AND abs((q.my - o.my) * o.ux - (q.mx - o.mx) * o.uy) < 0.5)) > 0 AS near))
+SELECT block, item FROM k WHERE item IS NOT NULL""")
 def w20_distinct_segments(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
     block = (F.floor(F.col("box_id") / 512) * 8 + F.col("scene_id")).alias("block")

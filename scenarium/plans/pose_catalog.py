@@ -228,9 +228,8 @@ def w16_nearest_half(spark: SparkSession, sf: str) -> DataFrame:
 
     s = small_points(spark, sf)
     d = nearest(s.where("point_id % 3 <> 0"), s.where("point_id % 3 = 0"), ["scene_id"], 1.0)
-    w = W.partitionBy("scene_id")
-    r = d.withColumn("n", F.row_number().over(w.orderBy("distance", "point_id"))).withColumn("m", F.count("*").over(w))
-    return r.where(F.col("n") <= F.ceil(0.5 * F.col("m"))).select("scene_id", "point_id")
+    r = ranking.numbered(d.select("scene_id", "point_id", "distance"), ["scene_id"], ["distance", "point_id"], "n", "m")
+    return r.where(F.col("n") < F.ceil(0.5 * F.col("m"))).select("scene_id", "point_id")
 
 
 @query("SELECT user_id % 16 AS frame, round(power(count(DISTINCT event_type), 0.5::DOUBLE), 6) AS weight FROM events GROUP BY 1")

@@ -228,9 +228,11 @@ def a36_centroid_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(m, "label").groupBy("label").agg(F.round(F.percentile(d, F.lit(0.5)), 6).alias("spread"))
 
 
-@query()
+@query(f"""WITH {POINTS}, t AS (SELECT scene_id, k, cos(radians(k * 0.5::DOUBLE)) * x + sin(radians(k * 0.5::DOUBLE)) * y AS u, cos(radians(k * 0.5::DOUBLE)) * y - sin(radians(k * 0.5::DOUBLE)) * x AS v FROM pts, range(180) r(k)),
+s AS (SELECT scene_id, k, quantile_cont(u, 0.99) - quantile_cont(u, 0.01) AS w, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS h FROM t GROUP BY ALL)
+SELECT scene_id, k * 0.5::DOUBLE AS yaw, round(w * h, 6) AS area, round(w, 6) AS w, round(h, 6) AS h FROM s QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY round(w * h, 9), k) = 1""")
 def a18_enclosing_rectangle(spark: SparkSession, sf: str) -> DataFrame:
-    r = rollups.enclosing_rectangle(points(spark, sf).select("scene_id", "x", "y"), ["scene_id"], yaws=45)
+    r = rollups.enclosing_rectangle(points(spark, sf).select("scene_id", "x", "y"), ["scene_id"])
     return rounded(r, "yaw", "area", "w", "h")
 
 
@@ -294,8 +296,7 @@ def w09_argmax_winner(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT doc_id, CASE WHEN i >= n - n // 10 THEN 'val' ELSE 'train' END AS split FROM r""")
 def w14_splits(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("source")
-    r = table(spark, sf, "documents").select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    r = ranking.numbered(table(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"], "i", "n")
     return r.select("doc_id", F.when(F.col("i") >= F.col("n") - F.floor(F.col("n") / 10), "val").otherwise("train").alias("split"))
 
 

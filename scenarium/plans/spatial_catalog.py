@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenarium.operators import spatial
 from scenarium.plans.catalog import query, rounded
-from scenarium.plans.derived import BOXES, POINTS, boxes, points, table, voxel_points
+from scenarium.plans.derived import BOXES, POINTS, VOXELS, boxes, points, table, voxel_points
 
 SMALL = """small AS (SELECT vec_id AS point_id, vec_id % 4 AS scene_id, (CAST(embedding[1] AS DOUBLE) + 1) * 12 AS x, (CAST(embedding[2] AS DOUBLE) + 1) * 12 AS y, (CAST(embedding[3] AS DOUBLE) + 1) * 12 AS z, label FROM embeddings)"""
 NEAREST = f"""{SMALL}, d AS (SELECT a.scene_id, a.point_id, b.point_id AS nearest_id, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS distance
@@ -88,12 +88,24 @@ def j06b_oriented_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("scene_id", "pred", "truth", F.round("iou", 6).alias("iou"))
 
 
-@query()
+PAIRS = f"{SHARED}, pairs AS (SELECT scene_id, a, b, dx * dy * dz / (va + vb - dx * dy * dz) AS iou FROM o WHERE dx > 0 AND dy > 0 AND dz > 0)"
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, q AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY iou DESC, a DESC, b DESC) AS n FROM pairs WHERE iou >= 0.1),
+g AS (SELECT scene_id, 0::BIGINT AS n, []::BIGINT[] AS used_a, []::BIGINT[] AS used_b, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS iou FROM q WHERE n = 1
+UNION ALL SELECT g.scene_id, q.n, CASE WHEN free THEN list_append(used_a, q.a) ELSE used_a END, CASE WHEN free THEN list_append(used_b, q.b) ELSE used_b END, CASE WHEN free THEN q.a END, CASE WHEN free THEN q.b END, q.iou
+FROM g JOIN q ON q.scene_id = g.scene_id AND q.n = g.n + 1, LATERAL (SELECT NOT list_contains(used_a, q.a) AND NOT list_contains(used_b, q.b) AS free))
+SELECT scene_id, a, b, round(iou, 6) AS iou FROM g WHERE a IS NOT NULL""")
 def j07_greedy_match(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spatial.greedy_matches(_pairs(spark, sf), ["scene_id"], 0.1), "iou")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, c AS (SELECT scene_id, a AS box_id, list({{'b': b, 'iou': iou}} ORDER BY iou DESC, b) AS options FROM pairs WHERE iou >= 0.1 GROUP BY ALL),
+q AS (SELECT scene_id, box_id AS pred, coalesce(options, []) AS options, row_number() OVER (PARTITION BY scene_id ORDER BY confidence DESC, box_id) AS n FROM boxes LEFT JOIN c USING (scene_id, box_id) WHERE box_id // 8 % 2 = 0),
+g AS (SELECT scene_id, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS pred, NULL::STRUCT(b BIGINT, iou DOUBLE) AS best FROM q WHERE n = 1
+UNION ALL SELECT g.scene_id, q.n, CASE WHEN t IS NULL THEN used ELSE list_append(used, t.b) END, q.pred, t FROM g JOIN q ON q.scene_id = g.scene_id AND q.n = g.n + 1,
+LATERAL (SELECT list_filter(q.options, lambda x: NOT list_contains(used, x.b))[1] AS t))
+SELECT scene_id, pred, best.b AS truth, round(best.iou, 6) AS iou FROM g WHERE pred IS NOT NULL""")
 def j08_confident_match(spark: SparkSession, sf: str) -> DataFrame:
     half = boxes(spark, sf).where(F.floor(F.col("box_id") / 8) % 2 == 0)
     return rounded(spatial.confident_matches(_pairs(spark, sf), half, "scene_id", 0.1), "iou")
@@ -107,14 +119,25 @@ def j09_optimal_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.optimal_assignment(pairs.join(b, "a").select("cell", "a", "b", "cost"), "cell").withColumn("cost", F.round("cost", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY confidence DESC, box_id) AS n FROM boxes),
+o AS (SELECT a.scene_id, b.n, list(a.box_id) AS better FROM r a JOIN r b ON a.scene_id = b.scene_id AND a.n < b.n,
+LATERAL (SELECT greatest(0, least(a.cx + a.sx / 2, b.cx + b.sx / 2) - greatest(a.cx - a.sx / 2, b.cx - b.sx / 2)) * greatest(0, least(a.cy + a.sy / 2, b.cy + b.sy / 2) - greatest(a.cy - a.sy / 2, b.cy - b.sy / 2))
+* greatest(0, least(a.cz + a.sz / 2, b.cz + b.sz / 2) - greatest(a.cz - a.sz / 2, b.cz - b.sz / 2)) AS v) WHERE v / (a.sx * a.sy * a.sz + b.sx * b.sy * b.sz - v) > 0.25 GROUP BY ALL),
+q AS (SELECT r.scene_id, r.n, box_id, coalesce(better, []) AS better FROM r LEFT JOIN o USING (scene_id, n)),
+k AS (SELECT scene_id, n, [box_id] AS kept, TRUE AS stays, box_id FROM q WHERE n = 1 UNION ALL
+SELECT k.scene_id, q.n, CASE WHEN list_has_any(kept, better) THEN kept ELSE list_append(kept, q.box_id) END, NOT list_has_any(kept, better), q.box_id FROM k JOIN q ON q.scene_id = k.scene_id AND q.n = k.n + 1)
+SELECT scene_id, box_id FROM k WHERE stays""")
 def j10_suppression(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
     pairs = spatial.overlaps(b, b, ["scene_id"], 3.0).where("a <> b")
     return spatial.suppress(b, pairs, ["scene_id"], 0.25)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VOXELS}, p AS (SELECT scene_id, label, arg_min({{'i': point_id, 'x': x, 'y': y, 'z': z}}, point_id) AS p FROM vox GROUP BY scene_id, label, key),
+f AS (SELECT scene_id, label, p, 0::BIGINT AS step, first_value(p) OVER (PARTITION BY scene_id, label ORDER BY p.i) AS pick, count(*) OVER (PARTITION BY scene_id, label) AS n, 'inf'::DOUBLE AS far FROM p
+UNION ALL SELECT scene_id, label, p, step + 1, first_value(p) OVER (PARTITION BY scene_id, label ORDER BY near DESC, p.i), n, near
+FROM (SELECT *, least(far, (p.x - pick.x) * (p.x - pick.x) + (p.y - pick.y) * (p.y - pick.y) + (p.z - pick.z) * (p.z - pick.z)) AS near FROM f WHERE step < 7))
+SELECT DISTINCT scene_id, label, pick.i AS point_id, step AS rank FROM f WHERE step < n""")
 def w02_farthest_points(spark: SparkSession, sf: str) -> DataFrame:
     """One point a voxel, then the farthest ones of each scene and label."""
     v = voxel_points(spark, sf)
@@ -122,7 +145,10 @@ def w02_farthest_points(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.farthest_points(first, ["scene_id", "label"], 8)
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT source, doc_id AS item, n_chars AS w, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents),
+s AS (SELECT source, 0::BIGINT AS n, [0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS item, NULL::BIGINT AS worker FROM q WHERE n = 1
+UNION ALL SELECT s.source, q.n, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + q.w ELSE x END), q.item, list_position(load, list_min(load)) - 1 FROM s JOIN q ON s.source = q.source AND q.n = s.n + 1)
+SELECT source, item, worker FROM s WHERE item IS NOT NULL""")
 def w11b_least_loaded(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("item"), F.col("n_chars").alias("weight"))
     return spatial.least_loaded(d, "source", 4)
