@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,13 +21,15 @@ from scenarium.plans.materialize import materialize
 #: Replace this by a secret of your own: surrogates can be undone by whoever has the key.
 DEFAULT_KEY = b"scenarium surrogate key"
 ROUNDS = 8
+#: Characters that are searched for names at once.
+PART = 1 << 16
 #: So often a surrogate is drawn; what still clashes is in a format that is nearly full and is permuted among itself.
 MAX_ATTEMPTS = 32
 
 # Given names by (script, gender), surnames by script.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Laura Julia Sophie Emma Claire Elena Carmen Lucia Camille Hannah Sarah Emily Jane Mary Linda Susan Karen Nancy".split(),
-    ("latin", "m"): "John James Robert Michael William David Richard Thomas Hans Peter Klaus Juan Carlos Pedro Miguel Pierre Louis Jacques Paul George".split(),
+    ("latin", "f"): "Anna Maria Laura Julia Sophie Emma Claire Elena Carmen Lucia Camille Hannah Sarah Emily Jane Mary Linda Susan Karen Nancy Fatima Aisha Priya Mei Yuki Sofia Isabella Olivia Ingrid Astrid Giulia Chiara Francesca Ana Beatriz Zofia Katarzyna Ewa Amina Leila Patricia Jennifer Barbara Elizabeth".split(),
+    ("latin", "m"): "John James Robert Michael William David Richard Thomas Hans Peter Klaus Juan Carlos Pedro Miguel Pierre Louis Jacques Paul George Mohammed Ahmed Ali Omar Raj Amit Wei Kenji Hiroshi Lars Erik Giovanni Marco Luca Piotr Tomasz Andrzej Diego Luis Jose Daniel Andrew Kevin Brian Steven Joseph Charles Christopher Matthew Anthony Mark Ibrahim".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Екатерина".split(),
     ("cyrillic", "m"): "Иван Алексей Дмитрий Сергей Андрей Николай Михаил Павел".split(),
 }
@@ -68,11 +71,8 @@ def permute(symbols: list[int], radix: list[int], tweak: bytes, key: bytes) -> l
     out = list(symbols)
     for n in range(ROUNDS):
         changed, other = (range(half, len(out)), out[:half]) if n % 2 == 0 else (range(half), out[half:])
-        stream, block = b"", 0
-        while len(stream) < 2 * len(changed):
-            seen = b"%d|%d|%s|" % (n, block, tweak) + ",".join(map(str, other)).encode()
-            stream += hashlib.blake2b(seen, key=key[:64], digest_size=64).digest()
-            block += 1
+        seed = hashlib.blake2b(b"%d|%s|" % (n, tweak) + ",".join(map(str, other)).encode(), key=key[:64]).digest()
+        stream = b"".join(hashlib.blake2b(b"%d|" % block + seed, key=key[:64]).digest() for block in range(-(-len(changed) // 32)))
         for k, i in enumerate(changed):
             out[i] = (out[i] + int.from_bytes(stream[2 * k : 2 * k + 2])) % radix[i]
     return out
@@ -90,7 +90,7 @@ def _text(value: str, kind: str, attempt: int, key: bytes, hexadecimal: bool = F
             places.append(i)
             alphabets.append(found[0])
             symbols.append(found[1])
-    shape = "".join(a[0] if i in set(places) else value[i] for i, a in zip(places, alphabets, strict=True))
+    shape = "".join(a[0] for a in alphabets)
     moved = permute(symbols, [len(a) for a in alphabets], f"{kind}|{shape}|{attempt}".encode(), key)
     out = list(value)
     for i, a, s in zip(places, alphabets, moved, strict=True):
@@ -156,18 +156,28 @@ def _has_digit(text: str) -> bool:
 
 
 _DIGIT = re.compile("[0-9]")
-_SEPARATED = re.compile("[0-9]{7}|[0-9][ .)-][ .(-]?[0-9]")
+_SEPARATED = re.compile("[0-9](?:[0-9]{6}|[ .)-][ .(-]?[0-9])")
 _only_digits = lambda v: "".join(c for c in v if c.isdigit())
 #: A capitalised word, also of two joined ones.
 _CAPITAL = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİŁĶĽŃŇŌŐŒŘŚŞŠŤŪŮŰŲŹŻŽА-ЯЁЄІЇҐ"
 _SURNAME = f"(?:[^\\W\\d_]{{1,3}}['’])?[{_CAPITAL}][^\\W\\d_]+(?:[-'’][^\\W\\d_]+)*"
 _GIVENS, _TITLES = ("(?:" + "|".join(names) + ")" for names in (_GENDER, TITLES))
-_NAMES = re.compile(rf"(?:{'|'.join([*_GENDER, *TITLES])})\b")
+#: After these and a colon or comma, two or three capitalised words are a person, whatever the names.
+_CUES = "Name|Full name|Author|Contact|Contact person|Signed|Signed by|Sincerely|Yours truly|Best regards|Kind regards|Regards|Attn|Nom|Kontakt|Nombre"
+#: A cue holds one of these.
+_CUE_PARTS = ("ame", "Author", "ontact", "igned", "Sincerely", "egards", "truly", "Attn", "Nom", "Kontakt")
+_CAPITALS = re.compile(f"[{_CAPITAL}][^\\W\\d_]+")
+_NAMES = {*_GENDER, *TITLES}
 
 
 def _names(text: str) -> bool:
-    """Whether a given name or a title ends a word, as the pattern asks too (a word border in front would slow the search)."""
-    return _NAMES.search(text) is not None
+    """Whether a given name or a title is one of the capitalised words."""
+    # some text at a time, so that a very long one makes no long list; a name that is cut is whole in the next part
+    return any(not _NAMES.isdisjoint(_CAPITALS.findall(text, at, at + PART + 64)) for at in range(0, len(text), PART))
+
+
+def _cues(text: str) -> bool:
+    return any(part in text for part in _CUE_PARTS)
 
 
 KINDS = [
@@ -179,6 +189,7 @@ KINDS = [
     Kind("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{9,14}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-](?:\(\d{1,4}\)|\d{1,8})){2,6}(?!\w)|(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?![\w-])"), _has_digit, valid=lambda v: 6 <= len(_only_digits(v)) <= 18, same=lambda v: _only_digits(v)[-10:]),
     Kind("national_id", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _has_digit),
     Kind("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), _has_digit, same=_only_digits),
+    Kind("person", re.compile(rf"\b(?:{_CUES})\s*[:,]\s*({_SURNAME}(?:[ \t]+{_SURNAME}){{1,2}})(?!\w)"), _cues, 1, same=lambda v: " ".join(v.split())),
     Kind("person", re.compile(rf"\b(?:(?:{_TITLES}(?:\.\s*|\s+))+(?:{_GIVENS}\s+)*|(?:{_GIVENS}\s+)+)(?!{_TITLES}\b){_SURNAME}\b"), _names, same=lambda v: " ".join(v.replace(".", ". ").split())),
 ]
 _BY_NAME = {k.name: k for k in KINDS}
@@ -208,12 +219,14 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
 
 
 def _name(word: str, last: bool, attempt: int, key: bytes) -> str:
-    """Listed names go to the next of their list; others are permuted letter by letter, past the listed ones."""
-    if word in _SCRIPT and (last or word not in _GENDER):
+    """Listed names go to the next of their list; others, and surnames drawn again, are permuted letter by letter, past the listed ones."""
+    if word in _SCRIPT and (last or word not in _GENDER) and not attempt:
         return _from_list(word, SURNAMES[_SCRIPT[word]], "surname", key)
-    if word in _GENDER:
+    if word in _GENDER and not (last and attempt):
         script, gender = _GENDER[word]
         return _from_list(word, GIVEN[script, gender], f"{script}{gender}", key)
+    if not last:
+        attempt = 0  # given names stay what they are drawn as
     while True:
         word = _text(word, "surname", attempt, key)
         if word not in _SCRIPT and word not in _GENDER:
@@ -222,16 +235,19 @@ def _name(word: str, last: bool, attempt: int, key: bytes) -> str:
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind), earlier kinds of KINDS first where they overlap."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order
     separated = _SEPARATED.search(text) is not None
     for kind in KINDS:
         if (kind.hint is _has_digit and not separated) or not kind.hint(text):
             continue
-        for m in kind.pattern.finditer(text):
+        begins, new = [a for a, _, _ in found], []
+        for m in kind.pattern.finditer(text):  # these don't overlap each other
             a, b = m.span(kind.group)
-            if kind.valid(text[a:b]) and not any(a < y and x < b for x, y, _ in found):
-                found.append((a, b, kind.name))
-    return sorted(found)
+            at = bisect_left(begins, b)  # the last that begins before b
+            if kind.valid(text[a:b]) and not (at and found[at - 1][1] > a):
+                new.append((a, b, kind.name))
+        found = sorted(found + new) if new else found
+    return found
 
 
 def entity_format(kind: str, entity: str) -> str:
@@ -330,22 +346,28 @@ def _permuted(rest: DataFrame, kept: DataFrame, key: bytes) -> DataFrame:
 
 
 def _judged(entities: DataFrame) -> DataFrame:
+    """``clash``: another entity has the surrogate, or it is one itself. People of one surname clash together, so that they keep sharing one."""
     first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("attempt", "entity"))
-    real = entities.where("kind <> 'person'").select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
+    real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
     judged = entities.withColumn("nth", first).join(real, ["kind", "surrogate"], "left")
-    return judged.withColumn("clash", (F.col("nth") > 1) | F.coalesce("real", F.lit(False)))
+    judged = judged.withColumn("clash", (F.col("nth") > 1) | F.coalesce("real", F.lit(False)))
+    surname = F.when(F.col("kind") == "person", F.substring_index("entity", " ", -1))
+    shared = judged.where("clash and kind = 'person'").select(surname.alias("surname"), F.lit(True).alias("together")).distinct()
+    judged = judged.withColumn("surname", surname).join(shared, "surname", "left")
+    return judged.withColumn("clash", F.col("clash") | F.coalesce("together", F.lit(False)))
 
 
-def checked_attempts(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def checked_attempts(docs: DataFrame, key: bytes = DEFAULT_KEY, found: DataFrame | None = None) -> DataFrame:
     """``(kind, entity, attempt, target)`` of the entities that can't have their first surrogate.
 
-    All distinct entities of the corpus are checked together: a surrogate that another entity has, or that
-    is itself an entity of the corpus, is drawn anew. Where a format is so full that MAX_ATTEMPTS draws
-    don't find a free value, the entities left over are permuted among themselves: each becomes its
-    ``target``, an entity of the corpus by need, but still one of its own. Names have only other names to go
-    to and are kept apart by one cycle through their list, so of these only equal surrogates count.
+    All distinct entities of the corpus are checked together (``found``: their mentions, if they are at hand): a
+    surrogate that another entity has, or that is itself an entity of the corpus, is drawn anew. Where a format is so
+    full that MAX_ATTEMPTS draws don't find a free value, the entities left over are permuted among themselves: each
+    becomes its ``target``, an entity of the corpus by need, but still one of its own.
     """
-    entities = mentions(docs).select("kind", "entity").distinct().withColumn("attempt", F.lit(0))
+    spark = docs.sparkSession
+    entities = (mentions(docs) if found is None else found).select("kind", "entity").distinct().withColumn("attempt", F.lit(0))
+    entities = entities.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "entity")  # few rows, but much to compute for each
     entities = materialize(_assign(entities, key), "entities")
     for _ in range(MAX_ATTEMPTS):
         judged = _judged(entities)
@@ -355,34 +377,43 @@ def checked_attempts(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         kept = judged.where("not clash").select("kind", "entity", "attempt", "surrogate")
         entities = materialize(kept.unionByName(_assign(clashing.withColumn("attempt", F.col("attempt") + 1), key)), "entities")
     judged = _judged(entities)
-    moved = materialize(_permuted(judged.where("clash and kind <> 'person'"), judged.where("not clash"), key), "moved")
+    moved = materialize(_permuted(judged.where("clash"), judged.where("not clash"), key), "moved")
     drawn = entities.where("attempt > 0").join(moved, ["kind", "entity"], "left_anti")
     return drawn.select("kind", "entity", "attempt", F.lit(None).cast("string").alias("target")).unionByName(moved.select("kind", "entity", F.lit(0).alias("attempt"), "target"))
 
 
-def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and ``n_replaced``; every other column stays.
+def _free(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that isn't taken, whatever its case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, count: str = "n_replaced") -> DataFrame:
+    """``docs`` with surrogates in ``text``, and ``n_replaced`` (or another name, ``count``); every other column stays, but for one of that name.
 
     The same entity has the same surrogate in all documents, different entities have different ones; case,
     separators, script, gender, number lengths and check digits stay as they were. A null or empty text
-    stays as it is with ``n_replaced`` 0; repeated rows are treated alike; null ids don't matter.
+    stays as it is with 0; repeated rows are treated alike; null ids don't matter.
     """
-    attempts = checked_attempts(docs, key)
-    fields, extra = docs.columns, "_attempts"
-    texts = docs.withColumn(extra, F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,target:string>>"))
+    found = materialize(mentions(docs), "mentions")
+    attempts = checked_attempts(docs, key, found)
+    fields = [c for c in docs.columns if c.lower() != count.lower()]
+    extra, rare_id = _free("attempts", docs.columns), _free("rare_id", docs.columns)
+    texts = docs.select(*fields, F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,target:string>>").alias(extra))
     if not attempts.isEmpty():
-        rare = mentions(docs).join(attempts, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "attempt", "target")).alias(extra))
-        rare = rare.withColumnRenamed("doc_id", "_rare_id")
-        texts = docs.join(rare, F.col("doc_id").cast("long").eqNullSafe(F.col("_rare_id")), "left").drop("_rare_id")
+        rare = found.join(attempts, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "attempt", "target")).alias(extra))
+        rare = rare.withColumnRenamed("doc_id", rare_id)
+        texts = docs.select(*fields).join(rare, F.col("doc_id").cast("long").eqNullSafe(F.col(rare_id)), "left").drop(rare_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            new, count = [], []
+            new, numbers = [], []
             for text, own in zip(batch.column("text").to_pylist(), batch.column(extra).to_pylist(), strict=True):
                 found = find(text) if text else []
-                count.append(len(found))
+                numbers.append(len(found))
                 new.append(replace(text, found, {(x["kind"], x["entity"]): x["target"] or x["attempt"] for x in own or []}, key) if found else text)
-            yield pa.RecordBatch.from_arrays([*(pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in fields), pa.array(count, pa.int64())], [*fields, "n_replaced"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in fields), pa.array(numbers, pa.int64())], [*fields, count])
 
-    schema = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in fields), F.lit(0).cast("long").alias("n_replaced")).schema
+    schema = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in fields), F.lit(0).cast("long").alias(count)).schema
     return texts.mapInArrow(run, schema)
