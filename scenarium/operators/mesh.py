@@ -189,3 +189,24 @@ def oriented(faces: DataFrame) -> DataFrame:
     flip = faces.select("mesh_id", "fid", *CORNERS).join(c.select(F.col("node").alias("kept"), F.col("component").alias("ck")), F.col("fid") * 2 == F.col("kept"), "left")
     turned = F.coalesce(F.col("ck") % 2 == 1, F.lit(False))
     return flip.select("mesh_id", "fid", "v0", F.when(turned, F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(turned, F.col("v1")).otherwise(F.col("v2")).alias("v2"))
+
+
+def split_vertices(faces: DataFrame) -> DataFrame:
+    """``(mesh_id, fid, corner, vid, part)``: corners of faces that hang together at a vertex across edges of exactly two faces share a ``part``.
+
+    Each part becomes a vertex of its own, at the old place: its name is its least corner, as fid * 3 + corner. So edges
+    of more than two faces, and vertices where surfaces only touch, come apart.
+    """
+    corners = faces.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "vid")).withColumn("node", F.col("fid") * 3 + F.col("corner"))
+    sides = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 2), (2, 0))))
+    ends = F.array("v0", "v1", "v2")
+    edges = faces.select("mesh_id", "fid", F.explode(sides).alias("s"), ends.alias("v"))
+    edges = edges.select("mesh_id", "fid", *(F.element_at("v", F.col(f"s.{x}") + 1).alias(f"v{x}") for x in "ij"), *((F.col("fid") * 3 + F.col(f"s.{x}")).alias(f"n{x}") for x in "ij"))
+    low = F.col("vi") < F.col("vj")
+    pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+    edges = edges.select("mesh_id", "fid", pick("vi", "vj").alias("e0"), pick("vj", "vi").alias("e1"), pick("ni", "nj").alias("n0"), pick("nj", "ni").alias("n1"))
+    # both faces of an edge at once: sums tell whether there are two, minima and maxima which corners meet
+    two = edges.groupBy("mesh_id", "e0", "e1").agg(F.count("*").alias("n"), *(f(F.struct("fid", "n0", "n1")).alias(x) for x, f in (("a", F.min), ("b", F.max)))).where("n = 2")
+    links = two.select(F.explode(F.array(F.struct(F.col("a.n0").alias("src"), F.col("b.n0").alias("dst")), F.struct(F.col("a.n1").alias("src"), F.col("b.n1").alias("dst")))).alias("l")).select("l.*")
+    roots = connected_components(links).withColumnRenamed("component", "part")
+    return corners.join(roots, "node", "left").select("mesh_id", "fid", "corner", "vid", F.coalesce("part", "node").alias("part"))

@@ -119,3 +119,49 @@ def latest(rows: DataFrame, keys: list[str], path: str, pattern: str) -> DataFra
     """The path with the highest number that ``pattern`` captures; -1 and null without any."""
     step = F.regexp_extract(path, pattern, 1).try_cast("long")
     return rows.groupBy(*keys).agg(F.coalesce(F.max(step), F.lit(-1)).alias("step"), F.max_by(path, F.struct(step, F.col(path))).alias("_p"), F.max(step).alias("_s")).select(*keys, "step", F.when(F.col("_s").isNotNull(), F.col("_p")).alias("path"))
+
+
+def sampler_plan(items: DataFrame, item: str, world: int, seed: str, drop_last: bool = False, resume: int = 0) -> DataFrame:
+    """``(rank, step, item)``: what each of ``world`` workers reads, in an order drawn by SHA-256 of seed and item.
+
+    The list is padded from its begin to a multiple of ``world``, or its tail is dropped; steps before ``resume`` are left out.
+    """
+    drawn = items.select(F.col(item).alias("item"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")), 256).alias("_h"))
+    placed = numbered(drawn, [], ["_h", "item"], "_at", "_of")
+    per = F.floor(F.col("_of") / world) if drop_last else F.ceil(F.col("_of") / world)
+    total = (per * world).cast("long")
+    # item n stands at n, and, for padding, at n + of, n + 2 * of, ... below the total
+    places = F.when(F.col("_at") < total, F.sequence(F.col("_at"), total - 1, F.col("_of"))).otherwise(F.array().cast("array<bigint>"))
+    rows = placed.select("item", F.explode(places).alias("_at"))
+    return rows.select((F.col("_at") % world).alias("rank"), F.floor(F.col("_at") / world).alias("step"), "item").where(F.col("step") >= resume)
+
+
+def balanced_batches(plan: DataFrame, load: str, world: int, batch: int) -> DataFrame:
+    """``plan`` with ``rank`` dealt anew in each batch of ``world * batch`` items: by falling load, each goes to the least loaded rank with room.
+
+    A batch is a group of fixed size; an incomplete last batch is left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < world * batch:
+            return pdf.iloc[:0]
+        pdf = pdf.sort_values([load, "item"], ascending=[False, True], kind="stable")
+        sums, room, ranks = np.zeros(world), np.full(world, batch), []
+        for x in pdf[load]:
+            r = int(np.where(room > 0, sums, np.inf).argmin())
+            sums[r] += x
+            room[r] -= 1
+            ranks.append(r)
+        return pdf.assign(rank=ranks)
+
+    rows = plan.withColumn("batch", F.floor(F.col("step") / batch))
+    return rows.groupBy("batch").applyInPandas(run, rows.schema)
+
+
+def padded_samples(ranked: DataFrame, groups: DataFrame, keys: list[str], item: str, length: int) -> DataFrame:
+    """``length`` slots for each group: its items of ``rank`` 0, 1, ..., then empty ones that are marked as such."""
+    slots = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("slot"))
+    own = ranked.select(*keys, F.col("rank").cast("int").alias("slot"), F.col(item))
+    return slots.join(own, [*keys, "slot"], "left").select(*keys, "slot", item, F.col(item).isNotNull().alias("filled"))

@@ -83,3 +83,54 @@ def enclosing_rectangle(points: DataFrame, keys: list[str], yaws: int = 180, tri
     sides = sides.select(*keys, "step", (F.col("u")[1] - F.col("u")[0]).alias("w"), (F.col("v")[1] - F.col("v")[0]).alias("h"))
     best = F.min(F.struct(F.round(F.col("w") * F.col("h"), 9).alias("area"), "step", "w", "h"))
     return sides.groupBy(*keys).agg(best.alias("b")).select(*keys, (F.col("b.step") * F.lit(90.0 / yaws)).alias("yaw"), "b.area", "b.w", "b.h")
+
+
+def mean_iou(pairs: DataFrame, keys: list[str], pred: str, truth: str) -> DataFrame:
+    """Mean class IoU over the classes that occur on either side, over those that both sides have, and over all true ones; without any, null."""
+    scores = class_iou(pairs, keys, pred, truth)
+    true_ = pairs.where(F.col(truth) != -1).select(*keys, F.col(truth).alias("class"), F.lit(True).alias("_true")).distinct()
+    rows = scores.join(true_, [*keys, "class"], "left")
+    met = F.col("intersection") > 0
+    return rows.groupBy(*keys).agg(F.avg("iou").alias("mean_iou"), F.avg(F.when(met, F.col("iou"))).alias("matched_iou"), F.avg(F.when(F.col("_true"), F.col("iou"))).alias("all_true_iou"), F.count("*").alias("classes"))
+
+
+def oriented_box(points: DataFrame, keys: list[str], trim: float, margin: float) -> DataFrame:
+    """An upright box: median centre, the principal direction in the plane as yaw, trimmed extents along it, and their largest with a margin as scale."""
+    mid = points.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
+    rows = points.join(mid, keys).withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
+    spread = rows.groupBy(*keys).agg(F.avg(F.col("dx") * F.col("dx")).alias("a"), F.avg(F.col("dy") * F.col("dy")).alias("b"), F.avg(F.col("dx") * F.col("dy")).alias("c"))
+    rows = rows.join(spread.select(*keys, (0.5 * F.atan2(2 * F.col("c"), F.col("a") - F.col("b"))).alias("yaw")), keys)
+    along, across = F.cos("yaw") * F.col("dx") + F.sin("yaw") * F.col("dy"), F.cos("yaw") * F.col("dy") - F.sin("yaw") * F.col("dx")
+    ends = F.array(F.lit(trim), F.lit(1 - trim))
+    q = rows.groupBy(*keys, "mx", "my", "yaw").agg(F.percentile(along, ends).alias("u"), F.percentile(across, ends).alias("v"), F.percentile("z", ends).alias("w"))
+    middle, length = (lambda c: (F.col(c)[0] + F.col(c)[1]) / 2), (lambda c: F.col(c)[1] - F.col(c)[0])
+    out = q.withColumns({"cx": F.col("mx") + F.cos("yaw") * middle("u") - F.sin("yaw") * middle("v"), "cy": F.col("my") + F.sin("yaw") * middle("u") + F.cos("yaw") * middle("v"), "cz": middle("w")})
+    return out.select(*keys, "cx", "cy", "cz", "yaw", F.greatest(F.greatest(length("u"), length("v"), length("w")) * margin, F.lit(1e-4)).alias("scale"))
+
+
+def alignment_vote(segments: DataFrame, keys: list[str], step: float = 0.05, tolerance: float = 5.0, shortest: float = 0.3) -> DataFrame:
+    """The turn, in degrees from -45 to 45, that lays most segments along an axis; ties by their length, then the smaller turn.
+
+    Segments have ``angle`` (degrees) and ``length``; those shorter than ``shortest`` vote only where there are no others.
+    The best turn of a grid is refined by the weighted mean residual of the segments that it aligns.
+    """
+    longest = segments.groupBy(*keys).agg(F.max("length").alias("_most"))
+    rows = segments.join(longest, keys).where((F.col("length") >= shortest) | ((F.col("_most") < shortest) & (F.col("length") > 0)))
+    rows = rows.select(*keys, F.pmod(F.col("angle"), F.lit(90.0)).alias("angle"), "length")
+    turned = lambda by: F.pmod(F.col("angle") + by, F.lit(90.0))
+    near = lambda by: F.least(turned(by), 90.0 - turned(by)) <= tolerance
+    tried = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(round(90 / step) - 1)))).withColumn("by", F.col("k") * step)
+    votes = tried.groupBy(*keys, "k").agg(F.count_if(near(F.col("by"))).alias("n"), F.round(F.sum(F.when(near(F.col("by")), F.col("length")).otherwise(0.0)), 6).alias("len"))
+    best = votes.groupBy(*keys).agg(F.max(F.struct("n", "len", (-F.col("k")).alias("m"))).alias("b")).select(*keys, (-F.col("b.m") * step).alias("by"))
+    signed = F.when(turned(F.col("by")) > 45.0, turned(F.col("by")) - 90.0).otherwise(turned(F.col("by")))
+    kept = rows.join(best, keys).where(near(F.col("by")))
+    out = kept.groupBy(*keys, "by").agg((F.sum(signed * F.col("length")) / F.sum("length")).alias("off"), F.count("*").alias("aligned"))
+    return out.select(*keys, (F.pmod(F.col("by") - F.col("off") + 45.0, F.lit(90.0)) - 45.0).alias("turn"), "aligned")
+
+
+def surface_classes(points: DataFrame, keys: list[str], wall: float, flat: float, band: float = 0.1) -> DataFrame:
+    """Which points, with unit normals, are of walls, level surfaces, the floor or the ceiling; these lie at the 1st and 99th percentile of height."""
+    height = points.groupBy(*keys).agg(F.percentile("z", F.array(F.lit(0.01), F.lit(0.99))).alias("h")).select(*keys, F.col("h")[0].alias("floor_z"), F.col("h")[1].alias("ceiling_z"))
+    valid = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") > 0.25
+    level = valid & (F.abs("nz") >= flat)
+    return points.join(height, keys).withColumns({"is_vertical": valid & (F.abs("nz") <= wall), "is_horizontal": level, "is_floor": level & (F.col("z") <= F.col("floor_z") + band), "is_ceiling": level & (F.col("z") >= F.col("ceiling_z") - band)})

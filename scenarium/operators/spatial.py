@@ -280,3 +280,23 @@ def _clip(polygon: np.ndarray, normal: np.ndarray, offset: float) -> np.ndarray:
 def _area(polygon: np.ndarray, normal: np.ndarray) -> float:
     s = np.cross(polygon[1:-1] - polygon[0], polygon[2:] - polygon[0]).sum(0)
     return abs(float(s @ normal)) / 2
+
+
+def box_coverage(points: DataFrame, boxes: DataFrame, keys: list[str], instance: str, cell: float, least: int) -> DataFrame:
+    """How well boxes hold the instances of ``least`` points or more: recall of their centres and of 10 % and 50 % of their points by one box, mean best share, and the boxes' mean share of their commonest instance."""
+
+    def within(rows: DataFrame) -> DataFrame:
+        pairs = rows.select("*", *_cell(cell)).join(_box_cells(boxes, keys, cell), [*keys, *(f"g{a}" for a in AXES)])
+        for a in AXES:
+            pairs = pairs.where(F.abs(F.col(a) - F.col(f"c{a}")) <= F.col(f"s{a}") / 2)
+        return pairs
+
+    own = points.groupBy(*keys, instance).agg(F.count("*").alias("n"), *(F.avg(a).alias(a) for a in AXES)).where(F.col("n") >= least)
+    held = within(points.select(*keys, instance, *AXES)).groupBy(*keys, instance, "box_id").agg(F.count("*").alias("k"))
+    best = held.groupBy(*keys, instance).agg(F.max("k").alias("k"))
+    centred = within(own.select(*keys, instance, *AXES)).select(*keys, instance, F.lit(1).alias("hit")).distinct()
+    rows = own.join(best, [*keys, instance], "left").join(centred, [*keys, instance], "left").withColumn("share", F.coalesce("k", F.lit(0)) / F.col("n"))
+    out = rows.groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("centre_recall"), *(F.avg((F.coalesce("k", F.lit(0)) >= s * F.col("n")).cast("int")).alias(n) for n, s in (("recall10", 0.1), ("recall50", 0.5))), F.avg("share").alias("best"))
+    pure = held.groupBy(*keys, "box_id").agg((F.max("k") / F.sum("k")).alias("purity"))
+    pure = boxes.select(*keys, "box_id").join(pure, [*keys, "box_id"], "left").groupBy(*keys).agg(F.avg(F.coalesce("purity", F.lit(0.0))).alias("purity"))
+    return out.join(pure, keys)

@@ -152,12 +152,12 @@ def p28_dense_occupancy(spark: SparkSession, sf: str) -> DataFrame:
 BALL = "ball AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(dx, dy, dz))"
 
 
-@query(f"""WITH {VOXELS}, v AS (SELECT DISTINCT scene_id, vx, vy, vz FROM vox WHERE point_id % 5 = 0), {BALL},
+@query(f"""WITH {VOXELS}, v AS (SELECT DISTINCT scene_id, vx, vy, vz FROM vox), {BALL},
 g AS (SELECT DISTINCT scene_id, vx + dx AS vx, vy + dy AS vy, vz + dz AS vz FROM v, ball WHERE vx + dx BETWEEN 0 AND 31 AND vy + dy BETWEEN 0 AND 31 AND vz + dz BETWEEN 0 AND 31)
 SELECT g.scene_id, g.vx, g.vy, g.vz FROM g, ball b LEFT JOIN g n ON n.scene_id = g.scene_id AND n.vx = g.vx + dx AND n.vy = g.vy + dy AND n.vz = g.vz + dz
 GROUP BY ALL HAVING bool_and(n.vx IS NOT NULL OR NOT (g.vx + dx BETWEEN 0 AND 31 AND g.vy + dy BETWEEN 0 AND 31 AND g.vz + dz BETWEEN 0 AND 31))""")
 def g22_binary_closing(spark: SparkSession, sf: str) -> DataFrame:
-    return voxels.close_voxels(voxel_points(spark, sf).where("point_id % 5 = 0"), SITE, 32)
+    return voxels.close_voxels(voxel_points(spark, sf), SITE, 32)
 
 
 @query(f"""WITH {VOXELS}, m AS (SELECT DISTINCT scene_id, CAST({SPREAD} AS BIGINT) AS code FROM vox), l AS (SELECT *, unnest(range(5)) AS level FROM m)
@@ -214,10 +214,11 @@ def p11_quantize(spark: SparkSession, sf: str) -> DataFrame:
     return q.withColumn("back", F.round(S.dequantize(F.col("bin"), 1.0, 21.0), 6))
 
 
-@query("SELECT CAST(i AS INTEGER) AS bin, round(i / 1023.0::DOUBLE * 24, 6) AS centre, (SELECT count(*) FROM part) AS n FROM range(1024) t(i)")
+@query("SELECT bin, round(bin / 1023.0::DOUBLE * 24, 6) AS centre, count(*) AS n FROM (SELECT CAST(trunc(l_quantity * 0.48::DOUBLE / 24 * 1023) AS BIGINT) AS bin FROM lineitem) GROUP BY bin")
 def p12_bin_centres(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "part").agg(F.count("*").alias("n"))
-    return n.select(F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("bin"), "n").select("bin", F.round(S.dequantize(F.col("bin"), 0.0, 24.0), 6).alias("centre"), "n")
+    """The centres of the bins that the points' x fall into."""
+    q = points(spark, sf).select(S.quantize(F.col("x"), 0.0, 24.0).cast("long").alias("bin"))
+    return q.groupBy("bin").agg(F.count("*").alias("n")).select("bin", F.round(S.dequantize(F.col("bin"), 0.0, 24.0), 6).alias("centre"), "n")
 
 
 @query("""WITH h AS (SELECT doc_id, sha256('7:' || source || ':' || doc_id) AS h FROM documents)
@@ -510,9 +511,9 @@ def u02_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 1")
 def u03_except(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_partkey").distinct())
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(spark, sf, "lineitem").where("l_quantity = 1").select("l_partkey").distinct())
 
 
 @query("SELECT source AS k FROM documents UNION SELECT url FROM pages")

@@ -148,9 +148,10 @@ def j13_ordered_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").join(known, "conv_id", "left").select("conv_id", "turn", "role", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query("""WITH w AS (SELECT unnest(range(0, 2000, 3)) AS doc_id) SELECT w.doc_id FROM w ANTI JOIN documents d ON d.doc_id = w.doc_id WHERE (SELECT count(*) FROM documents) > 0""")
+@query("SELECT DISTINCT l_partkey AS doc_id FROM lineitem ANTI JOIN documents d ON d.doc_id = l_partkey")
 def j15_requested(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(0, 2000, 3).select(F.col("id").alias("doc_id")).join(table(spark, sf, "documents"), "doc_id", "left_anti")
+    """Part numbers of the order lines, as requested documents: those that aren't there."""
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("doc_id")).distinct().join(table(spark, sf, "documents"), "doc_id", "left_anti")
 
 
 @query("""WITH i AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT k, unnest([k, k + 7, k + 13]) AS cand, unnest([0, 1, 2]) AS pos FROM i), f AS (SELECT k, cand, pos, EXISTS (SELECT 1 FROM customer WHERE c_custkey = cand AND c_mktsegment = 'BUILDING') AS e FROM c)

@@ -37,3 +37,11 @@ def write_metrics(rows: DataFrame, path: str, columns: list[str]) -> None:
     """CSV in a fixed column order; metrics that are missing are empty."""
     present = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
     rows.select(*present).write.option("header", "true").mode("overwrite").csv(path)
+
+
+def write_lines(rows: DataFrame, path: str, blank_every: int = 0) -> None:
+    """JSON lines with sorted keys and nulls left out; ``blank_every`` puts an empty line after so many, as hand-written manifests have them."""
+    line = F.to_json(F.struct(*sorted(rows.columns)))
+    if blank_every:
+        line = F.when(F.pmod(F.xxhash64(line), F.lit(blank_every)) == 0, F.concat(line, F.lit("\n"))).otherwise(line)
+    rows.select(line.alias("value")).write.text(path)
