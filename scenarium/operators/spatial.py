@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenarium.operators.ranking import first_per_group
 from scenarium.plans.materialize import materialize
 
 AXES = ("x", "y", "z")
@@ -63,18 +62,33 @@ def _box_cells(boxes: DataFrame, keys: list[str], size: float) -> DataFrame:
     return out
 
 
+def near_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """Pairs of points and boxes (upright: c, s) that share a cell, among them all pairs of a box and a point within it.
+
+    A box is dealt to the cells it touches in a grid of its own size, ``cell`` times a power of two, so that it touches
+    eight at most; a point is in one cell of each grid that there is. Grids are a list of a few dozen at most.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(*(F.col(f"s{a}") for a in AXES), F.lit(1e-12)) / cell))).cast("int")
+    b = boxes.withColumn("_level", level)
+    levels = sorted(r[0] for r in b.select("_level").distinct().collect())
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    for a in AXES:
+        low, high = (F.floor((F.col(f"c{a}") + s * F.col(f"s{a}") / 2 * (1 + 1e-8)) / size).cast("long") for s in (-1, 1))
+        b = b.withColumn(f"g{a}", F.explode(F.sequence(low, high)))
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({f"g{a}": F.floor(F.col(a) / size).cast("long") for a in AXES})
+    return p.join(b, [*keys, "_level", *(f"g{a}" for a in AXES)]).drop("_level", *(f"g{a}" for a in AXES))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, by_depth: bool = False, background: int = 0) -> DataFrame:
     """``(point_id, box_id)``: the box that a point is in; of several the most confident, then the one it lies deepest in.
 
-    ``by_depth`` looks at the depth first. Points outside of all boxes get ``background``. Boxes are dealt to
-    the cells they touch, so that a point only meets boxes near it.
+    ``by_depth`` looks at the depth first. Points outside of all boxes get ``background``. The choice is a minimum, so
+    that it is combined before the shuffle.
     """
-    p = points.select(*keys, "point_id", *AXES, *_cell(cell))
-    b = _box_cells(boxes, keys, cell).select(*keys, "box_id", "confidence", *(f"{n}{a}" for n in "csg" for a in AXES))
+    near = near_boxes(points.select(*keys, "point_id", *AXES), boxes.select(*keys, "box_id", "confidence", *(f"{n}{a}" for n in "cs" for a in AXES)), keys, cell)
     radius = F.greatest(*(F.abs(F.col(a) - F.col(f"c{a}")) / F.greatest(F.col(f"s{a}") / 2, F.lit(1e-12)) for a in AXES))
-    pairs = p.join(b, [*keys, *(f"g{a}" for a in AXES)]).withColumn("radius", radius).where(F.col("radius") <= 1 + 1e-8)
-    order = [F.col("radius"), F.desc("confidence")] if by_depth else [F.desc("confidence"), F.col("radius")]
-    won = first_per_group(pairs, ["point_id"], [*order, F.col("box_id")]).select("point_id", "box_id")
+    pairs = near.withColumn("radius", radius).where(F.col("radius") <= 1 + 1e-8).withColumn("doubt", -F.col("confidence"))
+    won = pairs.groupBy("point_id").agg(F.min(F.struct(*(("radius", "doubt") if by_depth else ("doubt", "radius")), "box_id")).alias("b")).select("point_id", "b.box_id")
     return points.select("point_id").join(won, "point_id", "left").select("point_id", F.coalesce("box_id", F.lit(background)).alias("box_id"))
 
 
@@ -286,7 +300,7 @@ def box_coverage(points: DataFrame, boxes: DataFrame, keys: list[str], instance:
     """How well boxes hold the instances of ``least`` points or more: recall of their centres and of 10 % and 50 % of their points by one box, mean best share, and the boxes' mean share of their commonest instance."""
 
     def within(rows: DataFrame) -> DataFrame:
-        pairs = rows.select("*", *_cell(cell)).join(_box_cells(boxes, keys, cell), [*keys, *(f"g{a}" for a in AXES)])
+        pairs = near_boxes(rows, boxes, keys, cell)
         for a in AXES:
             pairs = pairs.where(F.abs(F.col(a) - F.col(f"c{a}")) <= F.col(f"s{a}") / 2)
         return pairs
