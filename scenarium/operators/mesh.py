@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scenarium.functions.semantics import cross, norm
 from scenarium.operators.graph import connected_components
+from scenarium.plans.materialize import materialize
 
 CORNERS = ["v0", "v1", "v2"]
 
@@ -131,18 +132,29 @@ def without_small_components(faces: DataFrame, vertices: DataFrame, least_area:
     return faces.join(parts.join(large, "component", "left_semi").select("fid"), "fid", "left_semi")
 
 
-def boundary_loops(faces: DataFrame) -> DataFrame:
-    """(mesh_id, loop, n_edges, closed): components of boundary edges; closed if each has a neighbour at both ends."""
-    number = F.xxhash64("mesh_id", "e0", "e1")
-    b = boundary_edges(faces).withColumn("edge", number)
-    pairs = boundary_neighbours(faces).select("mesh_id", "vid", F.xxhash64("mesh_id", "a0", "a1").alias("src"), F.xxhash64("mesh_id", "b0", "b1").alias("dst"))
-    c = connected_components(pairs).select(F.col("node").alias("edge"), "component")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("edge"), "vid").groupBy("edge").agg(F.count("*").alias("ends"))
-    rows = b.join(c, "edge", "left").join(ends, "edge", "left").select("mesh_id", "e0", "e1", "edge", F.coalesce("component", "edge").alias("root"), F.coalesce("ends", F.lit(0)).alias("ends"))
+def _boundary_roots(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boundary edges with a number ``edge`` and the least number ``root`` that hangs together with it, and the numbered pairs of neighbours."""
+    b = materialize(boundary_edges(faces).withColumn("edge", F.monotonically_increasing_id()), "boundary")
+    pairs = boundary_neighbours(faces)
+    for side, name in (("a", "src"), ("b", "dst")):
+        pairs = pairs.join(b.select("mesh_id", F.col("e0").alias(f"{side}0"), F.col("e1").alias(f"{side}1"), F.col("edge").alias(name)), ["mesh_id", f"{side}0", f"{side}1"])
+    pairs = materialize(pairs.select("mesh_id", "vid", "src", "dst"), "pairs")
+    roots = connected_components(pairs).select(F.col("node").alias("edge"), F.col("component").alias("root"))
+    return b.join(roots, "edge", "left").withColumn("root", F.coalesce("root", "edge")), pairs
+
+
+def _loops(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("edge")).groupBy("edge").agg(F.count("*").alias("ends"))
+    rows = edges.join(ends, "edge", "left").withColumn("ends", F.coalesce("ends", F.lit(0)))
     loops = rows.groupBy("mesh_id", "root").agg(F.min(F.struct("e0", "e1")).alias("loop"), F.count("*").alias("n_edges"), F.bool_and(F.col("ends") >= 2).alias("closed"))
     return loops.select("mesh_id", F.col("loop.e0").alias("loop_e0"), F.col("loop.e1").alias("loop_e1"), "n_edges", "closed", "root")
 
 
+def boundary_loops(faces: DataFrame) -> DataFrame:
+    """(mesh_id, loop, n_edges, closed): components of boundary edges; closed if each has a neighbour at both ends."""
+    return _loops(*_boundary_roots(faces))
+
+
 def bounds(vertices: DataFrame, keys: list[str]) -> DataFrame:
     return vertices.groupBy(*keys).agg(*(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg)) for c in "xyz"))
 
@@ -161,11 +173,9 @@ def filled_holes(faces: DataFrame, vertices: DataFrame, longest: float) -> tuple
     The new vertex of a loop is the mean of its edges' midpoints and has the number -1 - rank within the mesh;
     each boundary edge gives one triangle to it.
     """
-    number = F.xxhash64("mesh_id", "e0", "e1")
-    pairs = boundary_neighbours(faces).select("mesh_id", F.xxhash64("mesh_id", "a0", "a1").alias("src"), F.xxhash64("mesh_id", "b0", "b1").alias("dst"))
-    root = connected_components(pairs).select(F.col("node").alias("edge"), F.col("component").alias("root"))
-    closed = boundary_loops(faces).where("closed").select("root")
-    e = boundary_edges(faces).withColumn("edge", number).join(root, "edge").join(closed, "root", "left_semi")
+    edges, pairs = _boundary_roots(faces)
+    closed = _loops(edges, pairs).where("closed").select("root")
+    e = edges.join(closed, "root", "left_semi")
     for i in (0, 1):
         e = e.join(vertices.select("mesh_id", F.col("vid").alias(f"e{i}"), *(F.col(c).alias(f"{c}{i}") for c in "xyz")), ["mesh_id", f"e{i}"])
     length = norm([F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"])

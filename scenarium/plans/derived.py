@@ -84,6 +84,19 @@ sides AS (SELECT mesh_id, fid, least(v0, v1) AS e0, greatest(v0, v1) AS e1, v0 <
   SELECT mesh_id, fid, least(v1, v2), greatest(v1, v2), v1 <= v2 FROM faces UNION ALL SELECT mesh_id, fid, least(v2, v0), greatest(v2, v0), v2 <= v0 FROM faces)"""
 
 
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of squares for each thousand order keys, two triangles each; squares without an order are holes."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("mesh_id"), (F.col("o_orderkey") % 14).alias("i"), (F.col("o_custkey") % 14).alias("j")).distinct()
+    at = lambda a, b: (F.col("i") + a) * 15 + F.col("j") + b
+    two = F.array(*(F.struct(F.lit(k).alias("k"), x.alias("v0"), y.alias("v1"), z.alias("v2")) for k, (x, y, z) in enumerate(((at(0, 0), at(1, 0), at(1, 1)), (at(0, 0), at(1, 1), at(0, 1))))))
+    return o.select("mesh_id", "i", "j", F.explode(two).alias("t")).select("mesh_id", ((F.col("mesh_id") * 196 + F.col("i") * 14 + F.col("j")) * 2 + F.col("t.k")).alias("fid"), "t.v0", "t.v1", "t.v2")
+
+
+SHEETS = """sq AS (SELECT DISTINCT o_orderkey // 1000 AS mesh_id, o_orderkey % 14 AS i, o_custkey % 14 AS j FROM orders), faces AS (SELECT mesh_id, ((mesh_id * 196 + i * 14 + j) * 2) AS fid, i * 15 + j AS v0, (i + 1) * 15 + j AS v1, (i + 1) * 15 + j + 1 AS v2 FROM sq
+  UNION ALL SELECT mesh_id, ((mesh_id * 196 + i * 14 + j) * 2 + 1), i * 15 + j, (i + 1) * 15 + j + 1, i * 15 + j + 1 FROM sq),
+sides AS (SELECT mesh_id, fid, least(v0, v1) AS e0, greatest(v0, v1) AS e1 FROM faces UNION ALL SELECT mesh_id, fid, least(v1, v2), greatest(v1, v2) FROM faces UNION ALL SELECT mesh_id, fid, least(v2, v0), greatest(v2, v0) FROM faces)"""
+
+
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corners of ``faces`` on a lattice."""
     from scenarium.operators.mesh import face_corners

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scenarium.operators import grouped, mesh
 from scenarium.plans.catalog import query, rounded
-from scenarium.plans.derived import BOXES, POINTS, boxes, faces, points, table, vertices, voxel_points
+from scenarium.plans.derived import BOXES, POINTS, SHEETS, boxes, faces, points, sheets, table, voxel_points
+from scenarium.plans.scene_catalog import LOOPS
 
 
 @query()
@@ -69,10 +70,14 @@ def a27_alignment_vote(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("scene_id", (-F.col("b.m")).alias("step"), F.col("b.n").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SHEETS}, {LOOPS}, o AS (SELECT root, mesh_id, first, sum(sqrt((e1 // 15 - e0 // 15) ** 2 + (e1 % 15 - e0 % 15) ** 2)) AS perimeter FROM loops JOIN c USING (root) JOIN b USING (edge, mesh_id) WHERE closed GROUP BY ALL HAVING perimeter < 9),
+n AS (SELECT root, mesh_id, -row_number() OVER (PARTITION BY mesh_id ORDER BY first) AS vid FROM o) SELECT mesh_id, e0 AS v0, e1 AS v1, vid AS v2 FROM n JOIN c USING (root) JOIN b USING (edge, mesh_id)""")
 def g18_filled_holes(spark: SparkSession, sf: str) -> DataFrame:
-    _, fan = mesh.filled_holes(faces(spark, sf), vertices(spark, sf), 100.0)
-    return fan
+    """Fans over the holes of the sheets of a perimeter under nine sides of a square."""
+    f = sheets(spark, sf)
+    corners = mesh.face_corners(f).select("mesh_id", "vid").distinct()
+    v = corners.select("mesh_id", "vid", F.floor(F.col("vid") / 15).cast("double").alias("x"), (F.col("vid") % 15).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return mesh.filled_holes(f, v, 9.0)[1]
 
 
 @query()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scenarium.functions import semantics as S
 from scenarium.operators import frames, lineage, mesh, ranking, rollups
 from scenarium.plans.catalog import query, rounded
-from scenarium.plans.derived import BOXES, FACES, OBSERVATIONS, POINTS, VOXELS, boxes, faces, observations, points, table, voxel_points
+from scenarium.plans.derived import BOXES, FACES, OBSERVATIONS, POINTS, SHEETS, VOXELS, boxes, faces, observations, points, sheets, table, voxel_points
 from scenarium.streaming.incremental import last_n, windowed_counts
 
 # One pixel for each order line: 16 frames of 64 x 48, invalid depths among them.
@@ -243,9 +243,15 @@ def g08_boundary_vertices(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("mesh_id", F.explode(F.array("e0", "e1")).alias("vid")).groupBy("mesh_id", "vid").agg(F.count("*").alias("n"))
 
 
-@query()
+LOOPS = """k AS (SELECT mesh_id, e0, e1, count(*) AS n FROM sides GROUP BY ALL), b AS (SELECT *, row_number() OVER (ORDER BY mesh_id, e0, e1) AS edge FROM k WHERE n = 1),
+w AS (SELECT mesh_id, vid, max(n) AS most, count(*) FILTER (n = 1) AS open FROM (SELECT mesh_id, unnest([e0, e1]) AS vid, n FROM k) GROUP BY ALL), t AS (SELECT mesh_id, edge, unnest([e0, e1]) AS vid FROM b), p AS (SELECT min(edge) AS x, max(edge) AS y FROM t JOIN w USING (mesh_id, vid) WHERE most <= 2 AND open = 2 GROUP BY mesh_id, vid),
+l AS (SELECT x, y FROM p UNION SELECT y, x FROM p), r AS (SELECT edge, edge AS root FROM b UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.edge), c AS (SELECT edge, min(root) AS root FROM r GROUP BY edge), d AS (SELECT edge, count(*) AS ends FROM (SELECT x AS edge FROM p UNION ALL SELECT y FROM p) GROUP BY edge),
+loops AS (SELECT b.mesh_id, c.root, min({'a': e0, 'b': e1}) AS first, count(*) AS n_edges, bool_and(coalesce(ends, 0) >= 2) AS closed FROM b JOIN c USING (edge) LEFT JOIN d USING (edge) GROUP BY b.mesh_id, c.root)"""
+
+
+@query(f"WITH RECURSIVE {SHEETS}, {LOOPS} SELECT mesh_id, first.a AS loop_e0, first.b AS loop_e1, n_edges, closed FROM loops")
 def g10_boundary_loops(spark: SparkSession, sf: str) -> DataFrame:
-    return mesh.boundary_loops(faces(spark, sf)).drop("root")
+    return mesh.boundary_loops(sheets(spark, sf)).drop("root")
 
 
 @query(f"""WITH {POINTS}, q AS (SELECT scene_id, label, quantile_cont(x, 0.4) AS cut, count(*) AS n FROM pts GROUP BY ALL) SELECT point_id FROM pts JOIN q USING (scene_id, label) WHERE NOT (label % 5 = 1 AND n >= 10 AND x < cut)""")
