@@ -48,3 +48,17 @@ def near_box_faces(points: DataFrame, key: str, threshold: float, least: int, mo
     limit = F.greatest(F.lit(threshold), F.least(F.coalesce("kth", F.lit(most)), F.lit(most)))
     out = rows.join(kth, key, "left")
     return out.select("point_id", F.when(F.col("_d").isNull() | (F.col("_d") <= limit), F.col("label")).otherwise(-1).cast("int").alias("label"))
+
+
+def walls_to_rooms(walls: DataFrame, rooms: DataFrame, key: str, within: float = 0.05) -> DataFrame:
+    """``(key, wall, room)``: a wall whose middle is so near to the outlines of two rooms or more goes to the nearest two, else to the nearest; ties to the smaller room.
+
+    Rooms are rectangles ``x0, y0, x1, y1``; a scene has few of them, so that each wall looks at all of its scene.
+    """
+    dx, dy = (F.greatest(F.col(f"{a}0") - F.col(a), F.col(a) - F.col(f"{a}1")) for a in "xy")
+    outside = F.sqrt(F.pow(F.greatest(dx, F.lit(0.0)), F.lit(2)) + F.pow(F.greatest(dy, F.lit(0.0)), F.lit(2)))
+    distance = F.when((dx <= 0) & (dy <= 0), F.least(-dx, -dy)).otherwise(outside)
+    near = walls.join(rooms, key).select(key, "wall", F.struct(F.round(distance, 9).alias("d"), "room").alias("r"))
+    ranked = near.groupBy(key, "wall").agg(F.slice(F.array_sort(F.collect_list("r")), 1, 2).alias("r"))
+    kept = F.filter("r", lambda x, i: (i == 0) | (x["d"] <= within))
+    return ranked.select(key, "wall", F.explode(kept).alias("r")).select(key, "wall", F.col("r.room").alias("room"))

@@ -134,3 +134,34 @@ def surface_classes(points: DataFrame, keys: list[str], wall: float, flat: float
     valid = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") > 0.25
     level = valid & (F.abs("nz") >= flat)
     return points.join(height, keys).withColumns({"is_vertical": valid & (F.abs("nz") <= wall), "is_horizontal": level, "is_floor": level & (F.col("z") <= F.col("floor_z") + band), "is_ceiling": level & (F.col("z") >= F.col("ceiling_z") - band)})
+
+
+def similarity_fits(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Scale, rotation (row-major) and shift that lay ``x, y, z`` onto ``u, v, w`` best, and the root mean square ``residual``.
+
+    Means and products are sums over the pairs; only these, one row a group, meet Python for a 3 x 3 decomposition.
+    """
+    import numpy as np
+    import pandas as pd
+
+    a, b = "xyz", "uvw"
+    mean = pairs.groupBy(*keys).agg(*(F.avg(c).alias(f"m{c}") for c in a + b))
+    d = pairs.join(mean, keys).select(*keys, *((F.col(c) - F.col(f"m{c}")).alias(c) for c in a + b))
+    sums = d.groupBy(*keys).agg(*(F.avg(F.col(q) * F.col(p)).alias(f"c{q}{p}") for q in b for p in a), sum((F.avg(F.col(p) * F.col(p)) for p in a), F.lit(0.0)).alias("spread")).join(mean, keys)
+    out = [*keys, "scale", *(f"r{i}{j}" for i in range(3) for j in range(3)), "tx", "ty", "tz"]
+
+    def run(batches):
+        for pdf in batches:
+            c = pdf[[f"c{q}{p}" for q in b for p in a]].to_numpy(float).reshape(-1, 3, 3)
+            u, s, vt = np.linalg.svd(c)
+            s[:, 2] *= (flip := np.sign(np.linalg.det(u @ vt)))
+            u[:, :, 2] *= flip[:, None]
+            r = u @ vt
+            scale = s.sum(1) / np.maximum(pdf["spread"].to_numpy(), 1e-12)
+            shift = pdf[[f"m{q}" for q in b]].to_numpy() - scale[:, None] * (r @ pdf[[f"m{p}" for p in a]].to_numpy()[:, :, None])[:, :, 0]
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(np.concatenate([scale[:, None], r.reshape(-1, 9), shift], 1), columns=out[len(keys) :])], axis=1)
+
+    fits = sums.mapInPandas(run, mean.select(*keys, *(F.lit(0.0).alias(c) for c in out[len(keys) :])).schema)
+    off = [F.col("scale") * sum((F.col(f"r{i}{j}") * F.col(p) for j, p in enumerate(a)), F.lit(0.0)) + F.col(f"t{a[i]}") - F.col(q) for i, q in enumerate(b)]
+    left = pairs.join(fits, keys).groupBy(*keys).agg(F.sqrt(F.avg(sum((o * o for o in off), F.lit(0.0)))).alias("residual"))
+    return fits.join(left, keys)

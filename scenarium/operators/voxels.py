@@ -153,3 +153,18 @@ def neighbour_deltas(voxels: DataFrame, keys: list[str], value: str) -> DataFram
     offers = voxels.withColumn("o", lower).select(*keys, *((F.col(v) + F.col(f"o.{d}")).cast("long").alias(v) for v, d in zip(XYZ, ("dx", "dy", "dz"), strict=True)), F.struct("o.i", F.col(value).alias("v")).alias("offer"))
     best = offers.groupBy(*keys, *XYZ).agg(F.min("offer").alias("offer"))
     return voxels.join(best, [*keys, *XYZ], "left").select(*keys, *XYZ, F.pmod(F.col(value) - F.coalesce("offer.v", F.lit(0)), F.lit(256)).cast("int").alias("delta"))
+
+
+def pasted(occupied: DataFrame, objects: DataFrame, candidates: DataFrame, keys: list[str], resolution: int, most: float) -> DataFrame:
+    """``(keys, object, candidate, vx, vy, vz)``: each object at the candidate shift that meets fewest occupied voxels; ties to the first.
+
+    A shift that leaves the grid, or meets more than the share ``most`` of the object's voxels, is no place; an object
+    without a place isn't pasted.
+    """
+    at = ["vx", "vy", "vz"]
+    moved = objects.join(candidates, keys).select(*keys, "object", "candidate", *((F.col(c) + F.col(f"d{c[1]}")).alias(c) for c in at))
+    hit = moved.join(occupied.select(*keys, *at).distinct().withColumn("_hit", F.lit(1)), [*keys, *at], "left")
+    inside = F.bool_and(F.least(*at) >= 0) & F.bool_and(F.greatest(*at) < resolution)
+    tried = hit.groupBy(*keys, "object", "candidate").agg(F.count("*").alias("n"), F.count("_hit").alias("hits"), inside.alias("inside"))
+    best = tried.where(F.col("inside") & (F.col("hits") <= most * F.col("n"))).groupBy(*keys, "object").agg(F.min(F.struct("hits", "candidate")).alias("b"))
+    return moved.join(best.select(*keys, "object", F.col("b.candidate").alias("candidate")), [*keys, "object", "candidate"], "left_semi")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenarium.operators import frames, images, mesh, ranking, rollups, spatial
+from scenarium.operators import frames, images, mesh, ranking, regions, rollups, spatial, voxels
 from scenarium.plans.catalog import query, rounded
 from scenarium.plans.derived import BOXES, FACES, POINTS, VOXELS, boxes, faces, points, table, voxel_points
 from scenarium.plans.materialize import checkpoint_root
@@ -177,3 +177,40 @@ def s18_metric_file(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("part"), F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("size"))
     readers.write_metrics(p, path, ["part", "brand", "size", "absent"])
     return readers.read(spark, path).withColumn("part", F.col("part").cast("long"))
+
+
+@query(f"""WITH {POINTS}, {BOXES}, r AS (SELECT scene_id, CAST(label % 6 AS BIGINT) AS room, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pts WHERE x < 4 * (1 + label % 6) AND x >= 4 * (label % 6) - 0.2 GROUP BY ALL),
+d AS (SELECT scene_id, box_id AS wall, room, greatest(x0 - cx, cx - x1) AS dx, greatest(y0 - cy, cy - y1) AS dy FROM boxes JOIN r USING (scene_id)),
+e AS (SELECT scene_id, wall, room, round(CASE WHEN dx <= 0 AND dy <= 0 THEN least(-dx, -dy) ELSE sqrt(greatest(dx, 0) ** 2 + greatest(dy, 0) ** 2) END, 9) AS d FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY scene_id, wall ORDER BY d, room) AS n FROM e) SELECT scene_id, wall, room FROM n WHERE n = 1 OR (n = 2 AND d <= 0.05)""")
+def j24_walls_to_rooms(spark: SparkSession, sf: str) -> DataFrame:
+    """Rooms are six strips of each scene, as far as points lie in them; walls stand at the boxes."""
+    room = F.col("label") % 6
+    p = points(spark, sf).where((F.col("x") < 4 * (1 + room)) & (F.col("x") >= 4 * room - 0.2))
+    rooms = p.groupBy("scene_id", room.cast("long").alias("room")).agg(*(f(a).alias(f"{a}{n}") for n, f in ((0, F.min), (1, F.max)) for a in "xy"))
+    walls = boxes(spark, sf).select("scene_id", F.col("box_id").alias("wall"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return regions.walls_to_rooms(walls, rooms, "scene_id")
+
+
+@query(f"""WITH {VOXELS}, occ AS (SELECT DISTINCT scene_id, vx, vy, vz FROM vox WHERE label % 2 = 0), o AS (SELECT DISTINCT (scene_id + 1) % 8 AS scene_id, CAST(label AS BIGINT) AS object, vx, vy, vz FROM vox WHERE label % 8 = 5),
+m AS (SELECT o.scene_id, object, k AS candidate, vx + (k * 5) % 13 - 6 AS vx, vy + (k * 7) % 11 - 5 AS vy, vz + (k * 3) % 7 - 3 AS vz FROM o, range(12) c(k)),
+t AS (SELECT m.scene_id, object, candidate, count(*) AS n, count(occ.vx) AS hits, bool_and(least(m.vx, m.vy, m.vz) >= 0 AND greatest(m.vx, m.vy, m.vz) < 40) AS inside FROM m LEFT JOIN occ ON occ.scene_id = m.scene_id AND occ.vx = m.vx AND occ.vy = m.vy AND occ.vz = m.vz GROUP BY m.scene_id, object, candidate),
+b AS (SELECT scene_id, object, arg_min(candidate, (hits, candidate)) AS candidate FROM t WHERE inside AND hits <= 0.8 * n GROUP BY ALL) SELECT scene_id, object, CAST(candidate AS BIGINT) AS candidate, vx, vy, vz FROM m SEMI JOIN b USING (scene_id, object, candidate)""")
+def x02_pasted_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects of one scene are pasted into the next, at one of twelve shifts."""
+    v = voxel_points(spark, sf)
+    at = ["vx", "vy", "vz"]
+    objects = v.where("label % 8 = 5").select(((F.col("scene_id") + 1) % 8).alias("scene_id"), F.col("label").cast("long").alias("object"), *at).distinct()
+    k = F.col("candidate")
+    shifts = v.select("scene_id").distinct().select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("candidate"))
+    shifts = shifts.withColumns({"dx": (k * 5) % 13 - 6, "dy": (k * 7) % 11 - 5, "dz": (k * 3) % 7 - 3})
+    return voxels.pasted(v.where("label % 2 = 0").select("scene_id", *at), objects, shifts, ["scene_id"], 40, 0.8)
+
+
+@query(f"WITH {POINTS} SELECT scene_id, 1.25::DOUBLE AS scale, round(cos(0.3), 5) AS r00, round(sin(0.3), 5) AS r10, 1.0::DOUBLE AS r22, 1.0::DOUBLE AS tx, 2.0::DOUBLE AS ty, 3.0::DOUBLE AS tz, 0.0::DOUBLE AS residual FROM pts GROUP BY scene_id")
+def a23b_similarity_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The points onto themselves, turned by 0.3 about z, enlarged and moved: the fit must give that back."""
+    x, y, z, c, s = F.col("x"), F.col("y"), F.col("z"), F.cos(F.lit(0.3)), F.sin(F.lit(0.3))
+    p = points(spark, sf).withColumns({"u": 1.25 * (c * x - s * y) + 1, "v": 1.25 * (s * x + c * y) + 2, "w": 1.25 * z + 3})
+    fit = rounded(rollups.similarity_fits(p.select("scene_id", *"xyzuvw"), ["scene_id"]), "scale", "r00", "r10", "r22", "tx", "ty", "tz", "residual", digits=5)
+    return fit.select("scene_id", "scale", "r00", "r10", "r22", "tx", "ty", "tz", "residual")
