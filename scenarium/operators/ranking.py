@@ -165,3 +165,16 @@ def padded_samples(ranked: DataFrame, groups: DataFrame, keys: list[str], item:
     slots = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("slot"))
     own = ranked.select(*keys, F.col("rank").cast("int").alias("slot"), F.col(item))
     return slots.join(own, [*keys, "slot"], "left").select(*keys, "slot", item, F.col(item).isNotNull().alias("filled"))
+
+
+def weighted_choice(draws: DataFrame, options: DataFrame, option: str, weight: str, u: str) -> DataFrame:
+    """``draws`` with the option in whose share of the total weight ``u`` (0 to 1) falls, in the order of the options.
+
+    Options are few: they travel as one array. Those without a positive weight are never chosen.
+    """
+    listed = options.where(F.col(weight) > 0).agg(F.array_sort(F.collect_list(F.struct(F.col(option).alias("o"), F.col(weight).cast("double").alias("w")))).alias("_options"))
+    running = F.expr("aggregate(_options, cast(array() as array<struct<o:bigint,upto:double>>), (a, x) -> array_append(a, named_struct('o', cast(x.o as bigint), 'upto', coalesce(try_element_at(a, -1).upto, 0D) + x.w)))")
+    listed = listed.select(running.alias("_options"))
+    total = F.col("_options")[F.size("_options") - 1]["upto"]
+    chosen = F.filter("_options", lambda x: x["upto"] > F.col(u) * total)[0]["o"]
+    return draws.crossJoin(F.broadcast(listed)).withColumn(option, chosen).drop("_options")

@@ -165,3 +165,16 @@ def similarity_fits(pairs: DataFrame, keys: list[str]) -> DataFrame:
     off = [F.col("scale") * sum((F.col(f"r{i}{j}") * F.col(p) for j, p in enumerate(a)), F.lit(0.0)) + F.col(f"t{a[i]}") - F.col(q) for i, q in enumerate(b)]
     left = pairs.join(fits, keys).groupBy(*keys).agg(F.sqrt(F.avg(sum((o * o for o in off), F.lit(0.0)))).alias("residual"))
     return fits.join(left, keys)
+
+
+def pull_and_push(points: DataFrame, key: str, label: str, near: float, apart: float) -> DataFrame:
+    """Per scene: how far points lie beyond ``near`` of their segment's centroid, averaged over segments, and how much centroids fall short of twice ``apart``, over pairs.
+
+    A scene's pairs of segments are those of its list of labels, which is short beside its points.
+    """
+    centre = points.groupBy(key, label).agg(*(F.avg(a).alias(f"m{a}") for a in "xyz"))
+    gap = lambda p, q: F.sqrt(sum(((F.col(p.format(a)) - F.col(q.format(a))) ** 2 for a in "xyz"), F.lit(0.0)))
+    pull = points.join(centre, [key, label]).groupBy(key, label).agg(F.avg(F.greatest(gap("{}", "m{}") - near, F.lit(0.0))).alias("p")).groupBy(key).agg(F.avg("p").alias("pull"))
+    other = centre.select(key, F.col(label).alias("_other"), *(F.col(f"m{a}").alias(f"o{a}") for a in "xyz"))
+    push = centre.join(other, key).where(F.col(label) < F.col("_other")).groupBy(key).agg(F.avg(F.greatest(2 * apart - gap("m{}", "o{}"), F.lit(0.0))).alias("push"))
+    return pull.join(push, key)

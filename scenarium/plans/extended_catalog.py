@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenarium.functions import semantics as S
 from scenarium.operators import frames, images, mesh, ranking, regions, rollups, spatial, voxels
 from scenarium.plans.catalog import query, rounded
 from scenarium.plans.derived import BOXES, FACES, POINTS, VOXELS, boxes, faces, points, table, voxel_points
@@ -214,3 +216,46 @@ def a23b_similarity_fit(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf).withColumns({"u": 1.25 * (c * x - s * y) + 1, "v": 1.25 * (s * x + c * y) + 2, "w": 1.25 * z + 3})
     fit = rounded(rollups.similarity_fits(p.select("scene_id", *"xyzuvw"), ["scene_id"]), "scale", "r00", "r10", "r22", "tx", "ty", "tz", "residual", digits=5)
     return fit.select("scene_id", "scale", "r00", "r10", "r22", "tx", "ty", "tz", "residual")
+
+
+@query(f"""WITH {BOXES}, p AS (SELECT a.scene_id, (abs(a.cx - b.cx) + abs(a.cy - b.cy) + abs(a.cz - b.cz)) / 3 AS t, abs(a.sx - b.sx) AS s, a.cx - b.cx AS d FROM boxes a JOIN boxes b ON b.box_id = a.box_id + 8)
+SELECT scene_id, round(avg(t), 6) AS translation, round(avg(s), 6) AS scale, round(avg(degrees(least(acos(cos(d)), acos(cos(d + pi() / 2)), acos(cos(d + pi())), acos(cos(d - pi() / 2))))), 4) AS rotation, round(avg(degrees(acos(cos(d)))), 4) AS raw_rotation FROM p GROUP BY scene_id""")
+def a30b_full_pose_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each box as a prediction of the next of its scene: mean absolute shift and scale, rotation up to quarter turns about its own axis, and as it is."""
+    b = boxes(spark, sf)
+    o = b.select((F.col("box_id") - 8).alias("box_id"), *(F.col(c).alias(f"o{c}") for c in ("cx", "cy", "cz", "sx")))
+    turn = lambda a: S.rotation_from_euler(F.lit(0.0), F.lit(0.0), a)
+    angle = [S.geodesic(turn(F.col("cx") + k * math.pi / 2), turn(F.col("ocx"))) for k in range(4)]
+    shift = sum((F.abs(F.col(c) - F.col(f"o{c}")) for c in ("cx", "cy", "cz")), F.lit(0.0)) / 3
+    mean = {"translation": (shift, 6), "scale": (F.abs(F.col("sx") - F.col("osx")), 6), "rotation": (F.degrees(F.least(*angle)), 4), "raw_rotation": (F.degrees(angle[0]), 4)}
+    return b.join(o, "box_id").groupBy("scene_id").agg(*(F.round(F.avg(v), n).alias(c) for c, (v, n) in mean.items()))
+
+
+@query("""WITH w AS (SELECT user_id % 16 AS frame, power(count(DISTINCT event_type), 0.5::DOUBLE) AS weight FROM events GROUP BY 1), c AS (SELECT frame, sum(weight) OVER (ORDER BY frame) AS upto, sum(weight) OVER () AS total FROM w),
+h AS (SELECT conv_id, sha256('5:' || conv_id) AS h FROM (SELECT DISTINCT conv_id FROM conversations)), u AS (SELECT conv_id, CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2]) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM h)
+SELECT conv_id, min(frame) AS frame FROM u JOIN c ON upto > u * total GROUP BY conv_id""")
+def w19b_weighted_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """One frame for each conversation, drawn by its weight; the frames are a list of sixteen."""
+    weights = table(spark, sf, "events").groupBy((F.col("user_id") % 16).alias("frame")).agg(F.pow(F.countDistinct("event_type"), F.lit(0.5)).alias("weight"))
+    draws = table(spark, sf, "conversations").select("conv_id").distinct().withColumn("u", S.sha_seed(F.concat_ws(":", F.lit("5"), F.col("conv_id").cast("string"))) / F.lit(2.0**32))
+    return ranking.weighted_choice(draws, weights, "frame", "weight", "u").select("conv_id", "frame")
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT scene_id, label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pts GROUP BY ALL), l AS (SELECT scene_id, avg(p) AS pull FROM (SELECT scene_id, label, avg(greatest(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) - 0.5, 0)) AS p FROM pts JOIN c USING (scene_id, label) GROUP BY ALL) GROUP BY scene_id),
+h AS (SELECT a.scene_id, avg(greatest(3.0 - sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2 + (a.mz - b.mz) ** 2), 0)) AS push FROM c a JOIN c b ON a.scene_id = b.scene_id AND a.label < b.label GROUP BY a.scene_id) SELECT scene_id, round(pull, 5) AS pull, round(push, 5) AS push FROM l JOIN h USING (scene_id)""")
+def a28b_pull_and_push(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rollups.pull_and_push(points(spark, sf), "scene_id", "label", 0.5, 1.5), "pull", "push", digits=5)
+
+
+@query(f"WITH {BOXES} SELECT box_id, round(cos(cx), 5) AS r00, round(sin(cx), 5) AS r10, greatest(sx, sy) AS scale FROM boxes")
+def s07b_wrapped_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes wrapped as obb_world, as world or not at all, with rotations in either order of a quaternion or as a matrix, one scale or three."""
+    b, half = boxes(spark, sf), F.col("cx") / 2
+    n = F.lit(0.0)
+    wxyz = F.struct(F.array(F.cos(half), n, n, F.sin(half)).alias("rotation_quat_wxyz"), F.array("sx", "sy").alias("scale"))
+    xyzw = F.struct(F.array(n, n, F.sin(half), F.cos(half)).alias("rotation_xyzw"), F.greatest("sx", "sy").alias("largest_scale"))
+    matrix = F.struct(F.array(F.cos("cx"), -F.sin("cx"), n, F.sin("cx"), F.cos("cx"), n, n, n, F.lit(1.0)).alias("rotation"), F.array("sx", "sy").alias("scale"))
+    kind = F.col("box_id") % 3
+    text = F.when(kind == 0, F.to_json(F.struct(wxyz.alias("obb_world")))).when(kind == 1, F.to_json(F.struct(xyzw.alias("world")))).otherwise(F.to_json(matrix))
+    out = readers.unwrapped_boxes(b.select("box_id", text.alias("text")), "text")
+    return out.select("box_id", F.round(F.col("rotation")[0], 5).alias("r00"), F.round(F.col("rotation")[3], 5).alias("r10"), "scale")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from scenarium.functions.semantics import rotation_from_quaternion
+
 FORMATS = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json", "jsonl": "json", "txt": "text"}
 
 
@@ -45,3 +47,22 @@ def write_lines(rows: DataFrame, path: str, blank_every: int = 0) -> None:
     if blank_every:
         line = F.when(F.pmod(F.xxhash64(line), F.lit(blank_every)) == 0, F.concat(line, F.lit("\n"))).otherwise(line)
     rows.select(line.alias("value")).write.text(path)
+
+
+BOX_FIELDS = "rotation array<double>, rotation_quat_wxyz array<double>, rotation_xyzw array<double>, largest_scale double, scale string"
+
+
+def unwrapped_boxes(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``rotation`` (nine numbers, row by row) and ``scale`` (the largest) of the box that the JSON in ``text`` has, wrapped as obb_world or world or not.
+
+    Rotations are quaternions, real part first or last, or nine numbers; a scale is one number or three; a negative one is an error.
+    """
+    inner = F.coalesce(*(F.get_json_object(text, f"$.{w}") for w in ("obb_world", "world")), F.col(text))
+    rows = rows.withColumn("_inner", inner).withColumn("_b", F.from_json("_inner", BOX_FIELDS))
+    last = F.col("_b.rotation_xyzw")
+    rows = rows.withColumn("_q", F.coalesce("_b.rotation_quat_wxyz", F.concat(F.slice(last, 4, 1), F.slice(last, 1, 3))))
+    turned = F.array(*(c for row in rotation_from_quaternion(*(F.col("_q")[i] for i in range(4))) for c in row))
+    scale = F.coalesce("_b.largest_scale", F.array_max(F.from_json("_b.scale", "array<double>")), F.col("_b.scale").try_cast("double"))
+    rows = rows.withColumns({"rotation": F.when(F.col("_b.rotation").isNotNull(), F.col("_b.rotation")).when(F.col("_q").isNotNull(), turned), "scale": scale})
+    checked = F.when(F.col("scale") < 0, F.raise_error(F.lit("a box has a negative scale")).cast("double")).otherwise(F.col("scale"))
+    return rows.withColumn("scale", checked).drop("_inner", "_b", "_q")
