@@ -63,3 +63,26 @@ def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         off = np.concatenate(([0], np.cumsum(size)))
         text = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(expand(texts.as_py()))])
         yield pa.RecordBatch.from_arrays([pa.array(names, mask=null), text], ["doc_id", "text"])
+
+
+def pack_rows(rows: np.ndarray, field: str, buckets: int, kind: int) -> pa.RecordBatch:
+    """``(bucket, kind, rows)``: rows of a structured array in one binary for each bucket of a field's hash, column by column."""
+    slot = (mix(rows[field].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(slot[order])) + 1, [len(rows)])) if len(rows) else np.zeros(1, np.int64)
+    columns = [np.ascontiguousarray(rows[c][order]) for c in rows.dtype.names]
+    blobs = [squeeze(b"".join([c[x:y].tobytes() for c in columns])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    slot = slot[order][cut[:-1]]
+    return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(slot), kind, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "rows"])
+
+
+def unpack_rows(table: pa.Table, dtype: np.dtype, kind: int) -> np.ndarray:
+    blobs = [expand(x.as_py()) for k, x in zip(table.column("kind").to_pylist(), table.column("rows"), strict=True) if k == kind]
+    out, at = np.empty(sum(map(len, blobs)) // dtype.itemsize, dtype), 0
+    for x in blobs:
+        n, begin = len(x) // dtype.itemsize, 0
+        for c in dtype.names:
+            out[c][at : at + n] = np.frombuffer(x, dtype[c], n, begin)
+            begin += n * dtype[c].itemsize
+        at += n
+    return out

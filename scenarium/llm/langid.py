@@ -104,9 +104,10 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``doc_id`` (or the columns ``keep``), ``lang_pred`` and ``score`` for every row, from its whole text alone.
 
+    ``names`` are other names for these two; columns of ``keep`` that have one of the two names give way.
     ``und`` with score 0 if the text is null or has no letter, or if the model knows no language; else the
     language of the highest score (ties: the first in alphabetical order), brought from [-1, 1] to [0, 1].
     """
@@ -120,11 +121,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                 raw = model.score(presence(*raw_bytes(text)))[letter]
                 name[letter] = np.array(model.languages, object)[raw.argmax(1)]
                 score[letter] = np.clip((1 + raw.max(1).astype(np.float64)) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, fields), pa.array(name, pa.string()), pa.array(score)], [*fields, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, fields), pa.array(name, pa.string()), pa.array(score)], [*fields, *names])
 
-    fields = keep or ["doc_id"]
+    fields = [c for c in keep or ["doc_id"] if c.lower() not in {n.lower() for n in names}]
     rows = docs.select(*dict.fromkeys([*fields, "text"])).withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, rows.select(*fields).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return rows.mapInArrow(run, rows.select(*fields, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema)
 
 
 def remainder(n: int) -> Column:

@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scenarium.llm.textarrays import LOWER_BYTES, slices
+from scenarium.llm.buckets import pack_rows, unpack_rows
+from scenarium.llm.textarrays import LOWER_BYTES, Words, mix, raw_bytes, shingles_of, slices, words_of
 from scenarium.operators.graph import connected_components
 from scenarium.plans.materialize import materialize
 
@@ -105,7 +107,8 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     holds at most 65,536 values; it is verified bit by bit and gives a spanning forest, never all pairs.
     """
     keys = F.array(*(F.struct(F.lit(n).cast("tinyint").alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, m in _masks()))
-    postings = distinct.select("fp", F.explode(keys).alias("k")).groupBy("k.n", "k.key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a small table that becomes 28 times as large
+    postings = spread.select("fp", F.explode(keys).alias("k")).groupBy("k.n", "k.key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,3 +139,176 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFr
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# --- near copies: the same index over two fingerprints, with shingle similarity as the last word ---
+
+#: Of the 8 positional bytes of a fingerprint this many are shared by two that meet; bits of both fingerprints in which near copies may differ.
+SHARED, NEAR_BITS = 4, 32
+#: Texts of a posting that are all compared with each other; of more, each is compared with the CENTRAL ones nearest to the posting's majority.
+FEW, CENTRAL = 6, 3
+#: Nodes of a task that are posted together, and bytes of postings of one bucket, about.
+FLUSH, BUCKET_BYTES = 1 << 15, 8 << 20
+_POSTED = np.dtype([("key", "<u8"), ("node", "<i8"), ("off", "u1"), ("many", "u1")])
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_CHOICES = [list(c) for c in combinations(range(8), SHARED)]
+
+
+def word_prints(words: Words, rows: int) -> np.ndarray:
+    """Two 64-bit SimHashes of the distinct words of each row: a changed word moves few of their bits."""
+    out = np.zeros((rows, 2), np.uint64)
+    row = words.row
+    order = np.lexsort((words.code, row))
+    row, code = row[order], words.code[order]
+    own = np.ones(len(row), bool)
+    own[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+    row, code = row[own], code[own]
+    if len(row):
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        count = np.diff(np.append(begin, len(row)))
+        for n in range(2):
+            bits = np.unpackbits(mix(code ^ _SEEDS[n]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+            out[row[begin], n] = np.ascontiguousarray(np.packbits(2 * ones > count[:, None], axis=1, bitorder="little")).view(np.uint64)[:, 0]
+    return out
+
+
+def compared(posted: np.ndarray, part: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of the nodes of each posting; which entries are of crowded postings; which of those stand for the rest elsewhere.
+
+    ``posted`` is in the order of key, distance from the posting's majority, and node. Postings of FEW nodes give all
+    their pairs (if ``part``, others see to that); of more, each node is paired with the CENTRAL ones, so that copies of
+    one text meet it or those nearest to it.
+    """
+    n = np.arange(len(posted))
+    group = np.ones(len(posted), bool)
+    group[1:] = posted["key"][1:] != posted["key"][:-1]
+    begin = np.flatnonzero(group)
+    size = np.diff(np.append(begin, len(posted)))
+    crowd = np.repeat((size > FEW) | (np.maximum.reduceat(posted["many"], begin) > 0), size) if len(posted) else np.zeros(0, bool)
+    k = n - np.repeat(begin, size)
+    pairs = []
+    for d in range(1, FEW):
+        late = np.flatnonzero(~crowd & (k >= d) & (not part))
+        pairs.append((late - d, late))
+    for r in range(CENTRAL):
+        late = np.flatnonzero(crowd & (k > r))
+        pairs.append((late - k[late] + r, late))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    u, v = posted["node"][a], posted["node"][b]
+    out = np.zeros(len(a), _PAIR)
+    out["a"], out["b"] = np.minimum(u, v), np.maximum(u, v)
+    return np.unique(out[u != v]), crowd, crowd & (k < CENTRAL)
+
+
+def _postings(nodes: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Each node under every choice of SHARED positional bytes of either fingerprint, in order, with its distance from the posting's majority."""
+    raw = np.ascontiguousarray(prints).view(np.uint8).reshape(len(nodes), 2, 8)
+    keys = np.stack([raw[:, n, c].copy().view("<u4")[:, 0].astype(np.uint64) | np.uint64((n * len(_CHOICES) + i) << 32) for n in range(2) for i, c in enumerate(_CHOICES)], 1)
+    out = np.zeros(keys.size, _POSTED)
+    out["key"], out["node"] = keys.reshape(-1), np.repeat(nodes, keys.shape[1])
+    who = np.repeat(np.arange(len(nodes)), keys.shape[1])
+    order = np.argsort(out["key"], kind="stable")
+    out, who = out[order], who[order]
+    begin = np.flatnonzero(np.concatenate(([True], out["key"][1:] != out["key"][:-1])))
+    size = np.diff(np.append(begin, len(out)))
+    for b, n in zip(begin[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        own = prints[who[b : b + n]]
+        bits = np.unpackbits(own.view(np.uint8).reshape(n, 16), axis=1)
+        major = np.packbits(2 * bits.sum(0) > n).view(np.uint64)
+        out["off"][b : b + n] = np.bitwise_count(own ^ major).sum(1)
+    return out
+
+
+def _in_order(posted: np.ndarray) -> np.ndarray:
+    return posted[np.lexsort((posted["node"], posted["off"], posted["key"]))]
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: nodes that share SHARED positional bytes of a fingerprint and differ in at most NEAR_BITS of all."""
+    size = max(1, nodes.count() * 2 * len(_CHOICES) * _POSTED.itemsize)
+    buckets = -(-size // BUCKET_BYTES)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FLUSH):
+                own = batch.slice(at, FLUSH)
+                prints = np.stack([own.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], 1)
+                posted = _in_order(_postings(own.column("node").to_numpy(), prints))
+                pairs, crowd, stands = compared(posted, part=True)
+                posted["many"] = crowd
+                up = posted[~crowd | stands]
+                yield pack_rows(up[np.argsort(up["node"], kind="stable")], "key", buckets, 0)
+                yield pack_rows(pairs, "b", buckets, 1)
+
+    def meet(table: pa.Table) -> pa.Table:
+        pairs = compared(_in_order(unpack_rows(table, _POSTED, 0)), part=False)[0]
+        both = np.unique(np.concatenate([pairs, unpack_rows(table, _PAIR, 1)]))
+        return pa.table({"a": both["a"], "b": both["b"]})
+
+    # in an order of their own, so that a run finds what the last one found
+    ordered = nodes.repartition(max(1, -(-size // (8 * BUCKET_BYTES))), F.xxhash64("node")).sortWithinPartitions("node")
+    dealt = ordered.select("node", "f1", "f2").mapInArrow(post, "bucket long, kind int, rows binary")
+    pairs = dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"))
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", differ.alias("bits")).where(F.col("bits") <= NEAR_BITS)
+
+
+def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(digest, component, least)`` of every distinct text: texts of one component are copies of each other, exact or near.
+
+    ``texts`` has ``digest``, ``doc_id`` and ``text``; texts of one digest are the same. Two texts are near copies
+    if the Jaccard similarity of their sets of ``words``-word shingles reaches ``similarity``. Candidates come from
+    the byte-position index over two fingerprints of the texts' distinct words, and are verified exactly: first
+    each text's nearest, then, for those that have found none, twice as many each round, until all are through.
+    ``component`` is a number; ``least`` the smallest doc_id of the digest.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = word_prints(words_of(*raw_bytes(batch.column("text"))), batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("doc_id"), *(pa.array(np.ascontiguousarray(found[:, n])) for n in range(2))], ["digest", "doc_id", "f1", "f2"])
+
+    nodes = texts.select("digest", "doc_id", "text").mapInArrow(prints, "digest long, doc_id long, f1 long, f2 long")
+    nodes = nodes.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
+    nodes = materialize(nodes.select("*", F.col("digest").alias("node")), "nodes")
+    nearest = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
+    pairs = materialize(candidate_pairs(nodes).withColumn("nth", nearest), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("digest", "node")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = words_of(*raw_bytes(batch.column("text")))
+            code, whole = shingles_of(own, words)
+            sets = []
+            for a, b in zip(own.first[:-1].tolist(), own.first[1:].tolist(), strict=True):
+                inside = code[a:b][whole[a:b]]
+                sets.append(np.unique(inside if len(inside) else mix(own.code[a:b]).sum(keepdims=True)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    sets = texts.select("digest", "text").join(wanted, "digest").select("node", "text").mapInArrow(shingled, "node long, shingles binary")
+    sets = materialize(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for u, v in zip(batch.column("u"), batch.column("v"), strict=True):
+                x, y = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    links, rest, low = None, pairs, 1
+    most = pairs.agg(F.max("nth").alias("n")).first()["n"] or 0
+    while low <= most:
+        now = rest.where(F.col("nth").between(low, 2 * low - 1)).select("a", "b")
+        now = now.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
+        new = materialize(now.select("a", "b", "u", "v").mapInArrow(verified, "a long, b long"), "near")
+        links, low = new if links is None else links.unionByName(new), 2 * low
+        rest = rest.join(new.select("b").distinct(), "b", "left_anti")
+    if links is None:
+        return nodes.select("digest", F.col("node").alias("component"), "least")
+    roots = connected_components(links, "a", "b")
+    return nodes.join(roots, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "least")
