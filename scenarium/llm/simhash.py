@@ -144,9 +144,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFr
 # --- near copies: the same index over two fingerprints, with shingle similarity as the last word ---
 
 #: Of the 8 positional bytes of a fingerprint this many are shared by two that meet; bits of both fingerprints in which near copies may differ.
-SHARED, NEAR_BITS = 4, 32
-#: Texts of a posting that are all compared with each other; of more, each is compared with the CENTRAL ones nearest to the posting's majority.
-FEW, CENTRAL = 6, 3
+SHARED, NEAR_BITS = 4, 22
+#: Texts of a posting that are all compared with each other; of more, each is compared with the CENTRAL one nearest to the posting's majority.
+FEW, CENTRAL = 6, 1
 #: Nodes of a task that are posted together, and bytes of postings of one bucket, about.
 FLUSH, BUCKET_BYTES = 1 << 15, 8 << 20
 _POSTED = np.dtype([("key", "<u8"), ("node", "<i8"), ("off", "u1"), ("many", "u1")])
@@ -262,7 +262,7 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
     ``texts`` has ``digest``, ``doc_id`` and ``text``; texts of one digest are the same. Two texts are near copies
     if the Jaccard similarity of their sets of ``words``-word shingles reaches ``similarity``. Candidates come from
     the byte-position index over two fingerprints of the texts' distinct words, and are verified exactly: first
-    each text's nearest, then, for those that have found none, twice as many each round, until all are through.
+    each text's nearest, then, for those that have found none, four times as many each round, until all are through.
     ``component`` is a number; ``least`` the smallest doc_id of the digest.
     """
 
@@ -303,11 +303,12 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
     links, rest, low = None, pairs, 1
     most = pairs.agg(F.max("nth").alias("n")).first()["n"] or 0
     while low <= most:
-        now = rest.where(F.col("nth").between(low, 2 * low - 1)).select("a", "b")
+        next_ = 4 * low + 1
+        now = rest.where(F.col("nth").between(low, next_ - 1)).select("a", "b")
         now = now.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
         new = materialize(now.select("a", "b", "u", "v").mapInArrow(verified, "a long, b long"), "near")
-        links, low = new if links is None else links.unionByName(new), 2 * low
-        rest = rest.join(new.select("b").distinct(), "b", "left_anti")
+        links, low = new if links is None else links.unionByName(new), next_
+        rest = rest.where(F.col("nth") >= next_).join(new.select("b").distinct(), "b", "left_anti")
     if links is None:
         return nodes.select("digest", F.col("node").alias("component"), "least")
     roots = connected_components(links, "a", "b")
