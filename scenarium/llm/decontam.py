@@ -45,6 +45,7 @@ class Items:
     seed_item: np.ndarray
     seed_at: np.ndarray
     seed_size: np.ndarray
+    seed_last: np.ndarray | None = None
 
 
 def _seeds(code: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +103,16 @@ def rarest(items: Items, code: np.ndarray, count: np.ndarray) -> Items:
     return Items(items.ids, items.first, items.code, items.need - MATCH * spared, items.slack, items.seed[kept], items.seed_item[kept], items.seed_at[kept], items.seed_size[kept])
 
 
+def merged(items: Items) -> Items:
+    """One seed for all places of an item that have the same words, with its first and last offset: texts that repeat themselves meet it once a word."""
+    order = np.lexsort((items.seed_at, items.seed_item, items.seed))
+    seed, item, at, size = (x[order] for x in (items.seed, items.seed_item, items.seed_at, items.seed_size))
+    begin = np.flatnonzero(np.concatenate(([True], (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])))[: len(seed)])
+    last = np.append(begin[1:] - 1, len(seed) - 1)[: len(begin)]
+    nearest = np.minimum.reduceat(size, begin) if len(begin) else size  # the distance that weighs most
+    return Items(items.ids, items.first, items.code, items.need, items.slack, seed[begin], item[begin], at[begin], nearest, at[last])
+
+
 def _occurrences(items: Items, words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each distance of two words: the words at which seeds occur, and the range of these seeds."""
     small = np.zeros(1 << 20, bool)
@@ -181,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for n in range(blocks):  # one, unless the benchmark is larger than a block
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()
         items = prepare([(r["item_id"], r["text"]) for r in rows], threshold)
-        items = rarest(items, *seed_frequencies(texts, items))
+        items = merged(rarest(items, *seed_frequencies(texts, items)))
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -199,22 +210,28 @@ def _copies(items: Items, words, threshold: float):
     size = np.diff(items.first)
     order = np.lexsort((at, item, row))
     at, seed, weight, row, item = at[order], seed[order], weight[order], row[order], item[order]
+    first, last = at - items.seed_last[seed], at - items.seed_at[seed]  # where the item would begin
+    if len(at):  # a word is the first of one link: of its seeds the one that weighs most counts
+        one = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(at) != 0))))
+        weight, first, last = np.maximum.reduceat(weight, one), np.minimum.reduceat(first, one), np.maximum.reduceat(last, one)
+        at, row, item = at[one], row[one], item[one]
     # The links of a copy lie within as many words as the item has and the alignment can skip.
     pair = np.cumsum(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(item) != 0)))[: len(row)])
     wide = len(words.code) + 2 * int((size + items.slack).max(initial=0)) + 1
     upto = np.searchsorted(pair * wide + at, pair * wide + at + size[item] + items.slack[item])
     total = np.concatenate(([0], np.cumsum(weight)))
     enough = np.flatnonzero(total[upto] - total[:-1] >= items.need[item])
-    row, item = row[enough], item[enough]
-    begin = at[enough] - items.seed_at[seed[enough]]  # where the item would begin
-    order = np.lexsort((begin, item, row))
-    row, item, begin = row[order], item[order], begin[order]
+    row, item, first, last = row[enough], item[enough], first[enough], last[enough]
+    order = np.lexsort((first, item, row))
+    row, item, first, last = row[order], item[order], first[order], last[order]
+    low, high = first, last
     if len(row):  # seeds whose passages overlap are one candidate
-        cut = np.concatenate(([True], (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(begin) > size[item][1:])))
-        last = np.concatenate((np.flatnonzero(cut)[1:] - 1, [len(row) - 1]))
-        row, item, low, high = row[cut], item[cut], begin[cut], begin[last]
-    else:
-        low = high = begin
+        wide = len(words.code) + int(size.max()) + 1
+        pair = np.cumsum(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(item) != 0)))) * 4 * wide
+        reach = np.maximum.accumulate(pair + last) - pair
+        cut = np.concatenate(([True], (np.diff(pair) != 0) | (first[1:] - reach[:-1] > size[item][1:])))
+        end = np.concatenate((np.flatnonzero(cut)[1:] - 1, [len(row) - 1]))
+        row, item, low, high = row[cut], item[cut], first[cut], reach[end]
     low = np.maximum(low - items.slack[item], words.first[row])
     high = np.minimum(high + size[item] + items.slack[item], words.first[row + 1])
     score, end = np.zeros(len(row)), np.zeros(len(row), np.int64)
