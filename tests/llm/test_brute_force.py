@@ -5,7 +5,9 @@ import difflib
 import hashlib
 import math
 import random
+import time
 import zlib
+from dataclasses import replace
 
 import base64
 
@@ -17,7 +19,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from scenarium.llm import chaining, suffixes
+from scenarium.llm import chaining, lm, suffixes
 from scenarium.llm.bpe import codec, encode
 from scenarium.llm.chaining import chains, common_words, fuzzy_passages, with_components
 from scenarium.llm.decontam import contaminated
@@ -469,3 +471,110 @@ def test_notices_in_comments_of_several_styles_are_found(spark):
     assert not any(r.doc_id == len(texts) for r in got)
     place = {(r.doc_id, r.license): (r.first_word, r.last_word) for r in got}
     assert place[len(want) + 1, "mit-line"] == (0, 5) and place[len(want) + 2, "cc-by-nc-4.0"] == (1, 6)
+
+
+def test_people_keep_apart_from_real_ones_and_share_surnames(spark):
+    people = ["John Smith", "Mr. Smith", "Anna Jones", "Mrs. Jones", "Wei Zhang", "Mr. Zhang"]
+    taken = [surrogate("person", p, 0, b"k") for p in people[:4]]  # these are people of the corpus too
+    texts = [f"met {p} today" for p in [*people, *taken]]
+    out = [r.text[4:-6] for r in replace_pii(frame(spark, texts), b"k").orderBy("doc_id").collect()]
+    assert len(set(out)) == len(texts) and not set(out) & {*people, *taken}
+    for a, b in ((0, 1), (2, 3), (4, 5)):
+        assert out[a].split()[-1] == out[b].split()[-1]
+    for text, name in {"Name: Oluwaseun Adeyemi": "Oluwaseun Adeyemi", "Best regards,\nTuan Le Nguyen": "Tuan Le Nguyen"}.items():
+        assert [text[a:b] for a, b, k in find(text) if k == "person"] == [name]
+    text = "John Kowalski and Wei Zhang met Mr Nguyen and Anna Smith"
+    assert [text[a:b] for a, b, _ in find(text)] == ["John Kowalski", "Wei Zhang", "Mr Nguyen", "Anna Smith"]
+
+
+def test_long_secrets_and_many_entities_take_linear_time():
+    began = time.perf_counter()
+    blob = "password=" + "aB3xK9" * 100_000
+    (a, b, kind), *rest = find(blob)
+    assert not rest and b - a == 600_000 and len(surrogate(kind, blob[a:b], 0, b"k")) == 600_000
+    many = " ".join(f"user{i}@mail.example.com 10.{i % 250}.{i // 250}.7" for i in range(40_000))
+    assert len(find(many)) == 80_000
+    assert time.perf_counter() - began < 30
+
+
+def small_model(rng, groups=40, slots=64):
+    model = lm.untrained(rng.random(groups) + 0.1, slots)
+    return replace(model, classes=rng.normal(0, 0.5, model.classes.shape).astype(np.float32), members=rng.normal(0, 0.5, model.members.shape).astype(np.float32))
+
+
+def test_model_probabilities_sum_to_one():
+    rng = np.random.default_rng(21)
+    model = small_model(rng)
+    for _ in range(5):
+        one, two, near, far = (np.full(40, rng.integers(0, 1000)) for _ in range(4))
+        p = np.exp(lm.log_probability(model, np.arange(40), lm.features(one, two, near, far)))
+        assert p.sum() == pytest.approx(1, abs=1e-5) and (p > 0).all()
+    words = np.array([3, 1, 9, 200, 5000, 1, 2] + [1] * 30)  # counts: the shares of a member's words sum to one too
+    code = lm.mix(np.arange(1, len(words) + 1).astype(np.uint64))
+    cells = lm._cell(code, words)
+    sums = np.bincount(cells, minlength=lm.BINS * lm.SLICES), np.bincount(cells, words, lm.BINS * lm.SLICES).astype(np.int64)
+    vocabulary = lm.vocabulary_of(*sums, [(int(code.view(np.int64)[i]), int(words[i])) for i in (4, 3)])
+    group = vocabulary.groups(code, words)
+    share = np.bincount(group, (words + 1) / vocabulary.mass[group], len(vocabulary.mass))
+    assert share[1:] == pytest.approx(1) and vocabulary.mass[0] == 1 and not share[0] and len(set(group[[3, 4]])) == 2
+    assert set(group[words == 1]) == {g for g in set(group) if 0 < g <= vocabulary.once}
+
+
+def test_model_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(22)
+    model, n = small_model(rng), 30
+    group, history = rng.integers(0, 40, n), [rng.integers(0, 5, n) for _ in range(4)]
+    hashes = lm.features(*history)
+    out = [np.zeros(x.shape, np.float32) for x in (model.classes, model.classes, model.members, model.members)]
+    draws = 4000
+    for _ in range(draws):
+        lm.counted(model, group, hashes, rng.random(n).astype(np.float32), out)
+    seen, drawn, seen_in, drawn_in = (x / draws for x in out)
+    likelihood = lambda m: lm.log_probability(m, group, hashes).sum()
+    for weights, gradient in (("classes", seen - drawn), ("members", seen_in - drawn_in)):
+        used = np.argwhere(np.abs(gradient) > 0.05)
+        for i, j in used[rng.permutation(len(used))[:25]].tolist():
+            up, down = (getattr(model, weights).copy() for _ in range(2))
+            up[i, j] += 0.02
+            down[i, j] -= 0.02
+            slope = (likelihood(replace(model, **{weights: up})) - likelihood(replace(model, **{weights: down}))) / 0.04
+            assert gradient[i, j] == pytest.approx(slope, abs=0.12)
+    before = likelihood(model)
+    after = replace(model, classes=model.classes + lm.step(seen, drawn), members=model.members + lm.step(seen_in, drawn_in))
+    assert likelihood(after) > before
+
+
+def test_licenses_against_all_windows(spark):
+    """Every window of every text, shingle by shingle, without bands; templates of a table."""
+    rng = random.Random(23)
+    notices = {f"n{i}": prose(rng, n, 10**6) for i, n in enumerate((6, 12, 30, 80))}
+    texts = []
+    for _ in range(120):
+        words = prose(rng, rng.randint(0, 60), 10**6).split()
+        for name in rng.sample(sorted(notices), rng.randint(0, 2)):
+            own = [w for w in notices[name].split() for w in ([w] if rng.random() > 0.06 else rng.choice(([], [w, "put"], ["other"])))]
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        texts.append(" ".join(words))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = {}
+    for t in templates_of(notices):
+        own = shingles(notices[t.name].split())
+        for i, text in enumerate(texts, 1):
+            words = text.split()
+            best = max((len(own & shingles(words[a : a + 6 * t.blocks])) / len(own) for a in range(0, len(words), 6)), default=0)
+            if best >= 0.8:
+                want[i, t.name] = best
+    table = spark.createDataFrame([*notices.items(), (None, "x"), ("empty", None)], "license string, text string")
+    got = {(r.doc_id, r.license): r.containment for r in scan_licenses(frame(spark, texts), table).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 40
+    with pytest.raises(ValueError, match="same name"):
+        scan_licenses(frame(spark, texts), spark.createDataFrame([("a", notices["n1"]), ("a", notices["n2"])], "license string, text string"))
+
+
+def test_many_notices_in_one_text_take_linear_time(spark):
+    began = time.perf_counter()
+    text = " ".join([TEMPLATES["mit"]] * 4000)
+    assert {r.license for r in scan_licenses(frame(spark, [text])).collect()} >= {"mit"}
+    assert time.perf_counter() - began < 60
+
