@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scenarium.functions import semantics as S
 from scenarium.operators import frames, mesh, ranking
 from scenarium.operators.graph import connected_components
-from scenarium.plans.catalog import query
+from scenarium.plans.catalog import POSITIONS, query
 from scenarium.plans.derived import BOXES, FACES, OBSERVATIONS, POINTS, VERTICES, boxes, faces, observations, points, table, vertices
 from scenarium.plans.scene_catalog import OK, PIXELS, pixels
 from scenarium.plans.spatial_catalog import NEAREST, small_points
@@ -273,14 +273,16 @@ def g04_vertex_edge_counts(spark: SparkSession, sf: str) -> DataFrame:
     return mesh.vertex_edges(faces(spark, sf)).select("mesh_id", "vid", F.col("n_edges").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POSITIONS}, p AS (SELECT mesh_id, min(fid) AS a, max(fid) AS b FROM sides GROUP BY mesh_id, e0, e1 HAVING count(*) = 2), l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT fid AS node, fid AS root FROM faces UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node), c AS (SELECT node AS fid, min(root) AS component FROM r GROUP BY node),
+k AS (SELECT component FROM c JOIN geo USING (fid) GROUP BY component HAVING sum(sqrt(nx*nx + ny*ny + nz*nz) / 2) >= 3) SELECT mesh_id, fid FROM faces JOIN c USING (fid) SEMI JOIN k USING (component)""")
 def g16b_small_areas(spark: SparkSession, sf: str) -> DataFrame:
     return mesh.without_small_components(faces(spark, sf), vertices(spark, sf), 3.0).select("mesh_id", "fid")
 
 
-@query()
+@query(f"""WITH {PIXELS}, h AS (SELECT frame, v, u, depth, sha256('7:' || frame || ':' || v || ':' || u) AS h FROM px WHERE {OK.format(50)})
+SELECT frame, v, u, round(depth * (1 + 0.02::DOUBLE * (CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2]) AS BIGINT) / 4294967296.0::DOUBLE - 0.5)), 6) AS depth FROM h""")
 def x03_depth_noise(spark: SparkSession, sf: str) -> DataFrame:
     """Noise from a hash of the pixel and the seed: the same on every run and partitioning."""
-    u = (F.abs(F.xxhash64("frame", "v", "u", F.lit(7))) % 1_000_003) / 1_000_003.0
+    u = S.sha_seed(F.concat_ws(":", F.lit("7"), *(F.col(c).cast("string") for c in ("frame", "v", "u")))) / F.lit(2.0**32)
     return pixels(spark, sf).where(frames.valid_depth(F.col("depth"))).select("frame", "v", "u", F.round(F.col("depth") * (1 + 0.02 * (u - 0.5)), 6).alias("depth"))
-
