@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenarium.operators import grouped, mesh
 from scenarium.plans.catalog import query, rounded
-from scenarium.plans.derived import BOXES, POINTS, SHEETS, boxes, faces, points, sheets, table, voxel_points
+from scenarium.plans.derived import BOXES, FACES, POINTS, SHEETS, boxes, faces, points, sheets, table, voxel_points
 from scenarium.plans.scene_catalog import LOOPS
 
 
@@ -80,6 +80,9 @@ def g18_filled_holes(spark: SparkSession, sf: str) -> DataFrame:
     return mesh.filled_holes(f, v, 9.0)[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {FACES}, p AS (SELECT min(fid) AS f0, max(fid) AS f1, count(*) FILTER (forward) AS along FROM sides GROUP BY mesh_id, e0, e1 HAVING count(*) = 2),
+n AS (SELECT f0 * 2 + t AS a, f1 * 2 + (t + CASE WHEN along <> 1 THEN 1 ELSE 0 END) % 2 AS b FROM p, range(2) k(t)), l AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
+r AS (SELECT DISTINCT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b), c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT mesh_id, fid, v0, CASE WHEN root % 2 = 1 THEN v2 ELSE v1 END AS v1, CASE WHEN root % 2 = 1 THEN v1 ELSE v2 END AS v2 FROM faces LEFT JOIN c ON node = fid * 2""")
 def g18c_orientation(spark: SparkSession, sf: str) -> DataFrame:
     return mesh.oriented(faces(spark, sf))
