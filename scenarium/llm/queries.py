@@ -126,3 +126,23 @@ c AS (SELECT p.doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1 : ]))) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
+
+
+@_query
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+two AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, two.y FROM reach r JOIN two ON two.x = r.y)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(y), w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id
+"""
