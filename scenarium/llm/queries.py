@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: SQL for the CRC-32 of an ASCII text: a table of one row ``crc(t)`` from the polynomial's rule, and an expression over it.
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -146,3 +155,49 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, two.y FROM re
 SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(y), w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id
 """
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+leaf AS (SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("(n_chars + 1)")} AS other, coalesce({crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS hit FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+up AS (
+  SELECT lang, 0 AS lvl, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(node || coalesce(next, ''))
+  FROM (SELECT *, lead(node) OVER (PARTITION BY lang ORDER BY pos) AS next FROM up WHERE n > 1) WHERE pos % 2 = 0
+),
+sub AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, n, node FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(node || coalesce(next, ''))
+  FROM (SELECT *, lead(node) OVER (ORDER BY pos) AS next FROM top WHERE n > 1) WHERE pos % 2 = 0
+),
+steps AS (
+  SELECT p.lang, p.pos, a.lvl, CASE WHEN b.node IS NULL THEN '-' WHEN b.pos < a.pos THEN 'L' || b.node ELSE 'R' || b.node END AS step
+  FROM placed p JOIN up a ON a.lang IS NOT DISTINCT FROM p.lang AND a.pos = p.pos >> a.lvl AND a.n > 1
+  LEFT JOIN up b ON b.lang IS NOT DISTINCT FROM a.lang AND b.lvl = a.lvl AND b.pos = xor(a.pos, 1)
+  UNION ALL
+  SELECT p.lang, p.pos, 1000 + a.lvl, CASE WHEN b.node IS NULL THEN '-' WHEN b.pos < a.pos THEN 'L' || b.node ELSE 'R' || b.node END
+  FROM placed p JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang JOIN top a ON a.pos = s.pos >> a.lvl AND a.n > 1
+  LEFT JOIN top b ON b.lvl = a.lvl AND b.pos = xor(a.pos, 1)
+),
+way AS (SELECT lang, pos, list(step ORDER BY lvl) AS steps FROM steps GROUP BY lang, pos),
+done AS (
+  SELECT doc_id, leaf, s.node AS subroot, (SELECT node FROM top WHERE n = 1) AS root, coalesce(steps, []) AS steps,
+    list_reduce(list_prepend(CASE WHEN hit AND other IS NOT NULL THEN other ELSE leaf END, coalesce(steps, [])),
+      lambda x, y: sha256(CASE y[1] WHEN 'L' THEN y[2:] || x WHEN 'R' THEN x || y[2:] ELSE x END)) AS folded_root
+  FROM placed p JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN way w ON w.lang IS NOT DISTINCT FROM p.lang AND w.pos = p.pos
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
