@@ -201,3 +201,64 @@ done AS (
 )
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
 """
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenarium.llm.conversations import repair
+
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLES["op12_conversation_repair"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+),
+kinds AS (SELECT *, {crc_sql("key")} % 20 AS kind FROM given, crc),
+damaged AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text), copy) - 1 AS n, right(rtrim(text, {_SPACES}), 1) AS last FROM damaged),
+r AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY c ORDER BY n) || role[1] AS pair FROM placed
+),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM r GROUP BY c
+),
+turned(state, next, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+own(state, letter, cost, initial, next, role) AS (
+  SELECT * FROM (VALUES (0, 'K', 0, 's', 1, CAST(NULL AS VARCHAR)), (0, 'K', 0, 'u', 2, NULL), (1, 'K', 0, 'u', 2, NULL), (3, 'K', 0, 'u', 2, NULL), (2, 'K', 0, 'a', 3, NULL))
+  UNION ALL SELECT state, 'R', 3, CAST(NULL AS VARCHAR), next, role FROM turned
+),
+moves AS (
+  SELECT state, '' AS pre, '' AS letters, 0 AS cost, letter, cost AS own_cost, initial, next, role FROM own
+  UNION ALL SELECT t.state, t.role || ':', 'I', 3, letter, o.cost, initial, o.next, o.role FROM turned t JOIN own o ON o.state = t.next
+  UNION ALL SELECT state, '', '', 0, 'D', 4, NULL, state, NULL FROM turned
+),
+dp AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS n, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'repaired': ''}} AS best FROM given
+  UNION ALL
+  SELECT c, n, state, best FROM (
+    SELECT d.c, d.n + 1 AS n, m.next AS state, min({{'cost': CAST(d.best.cost + m.cost + m.own_cost + CASE WHEN r.fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END AS BIGINT),
+      'audit': d.best.audit || m.letters || m.letter,
+      'repaired': d.best.repaired || CASE WHEN pre <> '' THEN pre || chr(10) ELSE '' END || CASE letter WHEN 'D' THEN '' ELSE coalesce(m.role, r.role) || ':' || r.text || chr(10) END}}) AS best
+    FROM dp d JOIN r ON r.c = d.c AND r.n = d.n JOIN moves m ON m.state = d.state
+      AND (m.letter = 'D' OR r.fault NOT IN ('blank', 'duplicate') AND (m.letter = 'R' OR m.initial = r.role[1]))
+    GROUP BY d.c, d.n, m.next)
+),
+ends(state, cost, letters, more) AS (VALUES (0, 0, '', ''), (1, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 3, 'I', 'assistant:' || chr(10)), (3, 0, '', '')),
+done AS (
+  SELECT d.c, min({{'cost': d.best.cost + e.cost, 'audit': d.best.audit || e.letters, 'repaired': d.best.repaired || e.more}}) AS best
+  FROM dp d JOIN ends e ON e.state = d.state LEFT JOIN counts k ON k.c = d.c WHERE d.n = coalesce(k.rows, 0) GROUP BY d.c
+)
+SELECT CAST(nullif(d.c, '') AS BIGINT) AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(left(best.repaired, greatest(length(best.repaired) - 1, 0))) AS repaired_sha256
+FROM done d LEFT JOIN counts k ON k.c = d.c
+"""
