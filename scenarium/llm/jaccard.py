@@ -16,7 +16,7 @@ from scenarium.operators.graph import connected_components
 from scenarium.plans.materialize import materialize
 
 #: Bytes of text that a task turns into one block of the incidence matrix, and bytes of text to each block of n-grams, about.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Documents of an n-gram whose open pairs are listed; of more, blocks of BLOCK by BLOCK documents are multiplied, COLUMNS n-grams at a time.
 FEW, BLOCK, COLUMNS = 256, 1024, 4096
 
@@ -29,7 +29,9 @@ _DOCS, _OWN, _ASK = 0, 1, 2
 
 
 def _pack(rows: np.ndarray) -> bytes:
-    return squeeze(b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names))
+    """Column by column, and of ``row``, which ascends, the steps."""
+    steps = lambda c: np.diff(rows[c], prepend=rows[c].dtype.type(0)) if c == "row" else np.ascontiguousarray(rows[c])
+    return squeeze(b"".join(steps(c).tobytes() for c in rows.dtype.names))
 
 
 def _unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
@@ -38,6 +40,8 @@ def _unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     for c in dtype.names:
         out[c] = np.frombuffer(raw, dtype[c], len(out), at)
         at += len(out) * dtype[c].itemsize
+    if "row" in dtype.names:
+        out["row"] = np.cumsum(out["row"], dtype=np.uint32)
     return out
 
 
@@ -96,13 +100,18 @@ def shared_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit=CHUNK_BYTES):
             digest, first = np.unique(batch.column("digest").to_numpy(zero_copy_only=False), return_index=True)
-            row, code = incidence(words_of(*raw_bytes(batch.column("text").take(pa.array(first)))), k, shift)
+            row, code, at = [], [], 0
+            for part in slices(iter([pa.RecordBatch.from_arrays([batch.column("text").take(pa.array(first))], ["text"])])):
+                own = incidence(words_of(*raw_bytes(part.column("text"))), k, shift)
+                row, code, at = [*row, own[0] + at], [*code, own[1]], at + part.num_rows
+            row, code = np.concatenate(row), np.concatenate(code)
             docs = _rows(_DOC, digest=digest, n=np.bincount(row, minlength=len(digest)))
             order = np.argsort(code, kind="stable")
             row, code = row[order], code[order]
             begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
             many = np.diff(np.append(begin, len(code)))
-            own = np.repeat(many > 1, many)
+            own = np.flatnonzero(np.repeat(many > 1, many))
+            own = own[np.argsort(row[own], kind="stable")]
             asked, slot = code[begin], (code[begin] & low).astype(np.int64)
             order = np.lexsort((row[begin], slot))
             rest = asked[order] >> np.uint64(b)
