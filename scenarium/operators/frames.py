@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenarium.functions.semantics import cross, norm
+from scenarium.operators.quantiles import quantiles
 
 
 def valid_depth(depth: Column, limit: float = 50.0) -> Column:
@@ -63,7 +64,7 @@ def patch_mean(pixels: DataFrame, keys: list[str], step: int) -> DataFrame:
 def proportional_depth(pixels: DataFrame, keys: list[str], value: str = "p") -> DataFrame:
     """1 / abs(p) over its frame's median of finite values."""
     inverse = F.when(F.col(value) != 0, 1 / F.abs(F.col(value)))
-    mid = pixels.groupBy(*keys).agg(F.percentile(inverse, F.lit(0.5)).alias("_m"))
+    mid = quantiles(pixels, keys, {"_m": inverse}, [0.5]).withColumn("_m", F.col("_m")[0])
     return pixels.join(mid, keys).withColumn("depth", inverse / F.col("_m")).drop("_m")
 
 

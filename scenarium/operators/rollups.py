@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenarium.functions.semantics import finite, safe_div
+from scenarium.operators.quantiles import quantiles, with_quantiles
 
 
 def scalar_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, population deviation and median of the finite values."""
     v = finite(F.col(value).cast("double"))
-    return rows.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.lit(0.5)).alias("median"))
+    sums = rows.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    return with_quantiles(sums, rows, keys, {"median": v}, [0.5]).withColumn("median", F.col("median")[0])
 
 
 def coverage_rollup(expected: DataFrame, records: DataFrame, scene: str, status: str, value: str, done: str = "evaluated") -> DataFrame:
@@ -62,24 +64,25 @@ def weighted_mean(rows: DataFrame, keys: list[str], value: str, weight: str) ->
 
 
 def directional_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    p = F.percentile(value, F.array(*(F.lit(q) for q in (0.5, 0.9, 0.95, 0.99))))
-    out = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("max"))
+    sums = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    out = with_quantiles(sums, rows, keys, {"p": value}, [0.5, 0.9, 0.95, 0.99])
     return out.select(*keys, "mean", *(F.col("p")[i].alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))), "max")
 
 
 def robust_extent(points: DataFrame, keys: list[str]) -> DataFrame:
     """Median centre, 95th percentile of the distance to it on each axis, and twice the largest of these."""
-    mid = points.groupBy(*keys).agg(*(F.percentile(c, F.lit(0.5)).alias(f"c{c}") for c in "xyz"))
-    half = points.join(mid, keys).groupBy(*keys, "cx", "cy", "cz").agg(*(F.percentile(F.abs(F.col(c) - F.col(f"c{c}")), F.lit(0.95)).alias(f"h{c}") for c in "xyz"))
+    mid = quantiles(points, keys, {f"c{c}": c for c in "xyz"}, [0.5]).select(*keys, *(F.col(f"c{c}")[0].alias(f"c{c}") for c in "xyz"))
+    far = {f"h{c}": F.abs(F.col(c) - F.col(f"c{c}")) for c in "xyz"}
+    half = with_quantiles(mid, points.join(mid, keys), keys, far, [0.95]).withColumns({h: F.col(h)[0] for h in far})
     return half.withColumn("extent", 2 * F.greatest("hx", "hy", "hz"))
 
 
 def enclosing_rectangle(points: DataFrame, keys: list[str], yaws: int = 180, trim: float = 0.01) -> DataFrame:
     """Yaw in [0, 90) degrees of the least trimmed rectangle in the plane (ties: smaller yaw), its area and sides."""
-    turned = points.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(yaws - 1)))).withColumn("a", F.radians(F.col("step") * F.lit(90.0 / yaws)))
-    turned = turned.select(*keys, "step", (F.cos("a") * F.col("x") + F.sin("a") * F.col("y")).alias("u"), (F.cos("a") * F.col("y") - F.sin("a") * F.col("x")).alias("v"))
-    q = F.array(F.lit(trim), F.lit(1 - trim))
-    sides = turned.groupBy(*keys, "step").agg(F.percentile("u", q).alias("u"), F.percentile("v", q).alias("v"))
+    places = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("times"))  # equal points turn together
+    turned = places.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(yaws - 1)))).withColumn("a", F.radians(F.col("step") * F.lit(90.0 / yaws)))
+    turned = turned.select(*keys, "step", "times", (F.cos("a") * F.col("x") + F.sin("a") * F.col("y")).alias("u"), (F.cos("a") * F.col("y") - F.sin("a") * F.col("x")).alias("v"))
+    sides = quantiles(turned, [*keys, "step"], {"u": "u", "v": "v"}, [trim, 1 - trim], "times")
     sides = sides.select(*keys, "step", (F.col("u")[1] - F.col("u")[0]).alias("w"), (F.col("v")[1] - F.col("v")[0]).alias("h"))
     best = F.min(F.struct(F.round(F.col("w") * F.col("h"), 9).alias("area"), "step", "w", "h"))
     return sides.groupBy(*keys).agg(best.alias("b")).select(*keys, (F.col("b.step") * F.lit(90.0 / yaws)).alias("yaw"), "b.area", "b.w", "b.h")
@@ -96,13 +99,13 @@ def mean_iou(pairs: DataFrame, keys: list[str], pred: str, truth: str) -> DataFr
 
 def oriented_box(points: DataFrame, keys: list[str], trim: float, margin: float) -> DataFrame:
     """An upright box: median centre, the principal direction in the plane as yaw, trimmed extents along it, and their largest with a margin as scale."""
-    mid = points.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
+    mid = quantiles(points, keys, {"mx": "x", "my": "y"}, [0.5]).select(*keys, F.col("mx")[0].alias("mx"), F.col("my")[0].alias("my"))
     rows = points.join(mid, keys).withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
     spread = rows.groupBy(*keys).agg(F.avg(F.col("dx") * F.col("dx")).alias("a"), F.avg(F.col("dy") * F.col("dy")).alias("b"), F.avg(F.col("dx") * F.col("dy")).alias("c"))
     rows = rows.join(spread.select(*keys, (0.5 * F.atan2(2 * F.col("c"), F.col("a") - F.col("b"))).alias("yaw")), keys)
     along, across = F.cos("yaw") * F.col("dx") + F.sin("yaw") * F.col("dy"), F.cos("yaw") * F.col("dy") - F.sin("yaw") * F.col("dx")
-    ends = F.array(F.lit(trim), F.lit(1 - trim))
-    q = rows.groupBy(*keys, "mx", "my", "yaw").agg(F.percentile(along, ends).alias("u"), F.percentile(across, ends).alias("v"), F.percentile("z", ends).alias("w"))
+    turns = rows.groupBy(*keys).agg(F.first("mx").alias("mx"), F.first("my").alias("my"), F.first("yaw").alias("yaw"))  # the same in all rows of a group
+    q = with_quantiles(turns, rows, keys, {"u": along, "v": across, "w": "z"}, [trim, 1 - trim])
     middle, length = (lambda c: (F.col(c)[0] + F.col(c)[1]) / 2), (lambda c: F.col(c)[1] - F.col(c)[0])
     out = q.withColumns({"cx": F.col("mx") + F.cos("yaw") * middle("u") - F.sin("yaw") * middle("v"), "cy": F.col("my") + F.sin("yaw") * middle("u") + F.cos("yaw") * middle("v"), "cz": middle("w")})
     return out.select(*keys, "cx", "cy", "cz", "yaw", F.greatest(F.greatest(length("u"), length("v"), length("w")) * margin, F.lit(1e-4)).alias("scale"))
@@ -130,7 +133,7 @@ def alignment_vote(segments: DataFrame, keys: list[str], step: float = 0.05, tol
 
 def surface_classes(points: DataFrame, keys: list[str], wall: float, flat: float, band: float = 0.1) -> DataFrame:
     """Which points, with unit normals, are of walls, level surfaces, the floor or the ceiling; these lie at the 1st and 99th percentile of height."""
-    height = points.groupBy(*keys).agg(F.percentile("z", F.array(F.lit(0.01), F.lit(0.99))).alias("h")).select(*keys, F.col("h")[0].alias("floor_z"), F.col("h")[1].alias("ceiling_z"))
+    height = quantiles(points, keys, {"h": "z"}, [0.01, 0.99]).select(*keys, F.col("h")[0].alias("floor_z"), F.col("h")[1].alias("ceiling_z"))
     valid = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") > 0.25
     level = valid & (F.abs("nz") >= flat)
     return points.join(height, keys).withColumns({"is_vertical": valid & (F.abs("nz") <= wall), "is_horizontal": level, "is_floor": level & (F.col("z") <= F.col("floor_z") + band), "is_ceiling": level & (F.col("z") >= F.col("ceiling_z") - band)})

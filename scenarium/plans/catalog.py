@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scenarium.functions import semantics as S
 from scenarium.operators import lineage, mesh, ranking, rollups, voxels
+from scenarium.operators.quantiles import quantiles
 from scenarium.plans.derived import BOXES, FACES, OBSERVATIONS, POINTS, RECORDS, VERTICES, VOXELS, boxes, faces, observations, points, records, table, vertices, voxel_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,8 +433,7 @@ def a17_robust_extent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {POINTS}, h AS (SELECT scene_id, quantile_cont(z, 0.99) - quantile_cont(z, 0.01) AS height FROM pts GROUP BY scene_id) SELECT scene_id, round(height, 6) AS height, round(least(greatest(2.6 / height, 0.25), 4), 6) AS factor FROM h")
 def a31_room_height(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.percentile("z", F.array(F.lit(0.01), F.lit(0.99)))
-    h = points(spark, sf).groupBy("scene_id").agg(q.alias("q")).select("scene_id", (F.col("q")[1] - F.col("q")[0]).alias("height"))
+    h = quantiles(points(spark, sf), ["scene_id"], {"q": "z"}, [0.01, 0.99]).select("scene_id", (F.col("q")[1] - F.col("q")[0]).alias("height"))
     return rounded(h.withColumn("factor", S.clip(2.6 / F.col("height"), 0.25, 4.0)), "height", "factor")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scenarium.functions import semantics as S
 from scenarium.operators import frames, mesh, ranking
 from scenarium.operators.graph import connected_components
+from scenarium.operators.quantiles import with_quantiles
 from scenarium.plans.catalog import POSITIONS, query
 from scenarium.plans.derived import BOXES, FACES, OBSERVATIONS, POINTS, VERTICES, boxes, faces, observations, points, table, vertices
 from scenarium.plans.scene_catalog import OK, PIXELS, pixels
@@ -120,7 +121,9 @@ def f12_scale_prune(spark: SparkSession, sf: str) -> DataFrame:
     inside = F.lit(True)
     for a in "xyz":
         inside = inside & (F.abs(F.col(a) - F.col(f"c{a}")) <= F.col(f"s{a}") / 2)
-    o = points(spark, sf).join(b, ["scene_id", "label"]).groupBy("box_id", F.greatest("sx", "sy", "sz").alias("scale")).agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), (F.percentile(F.abs(F.col("x") - F.col("cx")), F.lit(0.95)) * 2).alias("extent"))
+    own = points(spark, sf).join(b, ["scene_id", "label"])
+    o = own.groupBy("box_id").agg(F.max(F.greatest("sx", "sy", "sz")).alias("scale"), F.count("*").alias("n"), F.count_if(inside).alias("inside"))
+    o = with_quantiles(o, own, ["box_id"], {"extent": F.abs(F.col("x") - F.col("cx"))}, [0.95]).withColumn("extent", F.col("extent")[0] * 2)
     return o.where((F.col("inside") > 0) & ~((F.col("inside") >= 3) & (F.col("scale") > 1.5 * F.col("extent")))).select("box_id", "n", "inside")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scenarium.functions import semantics as S
 from scenarium.operators import frames, lineage, mesh, ranking, rollups
+from scenarium.operators.quantiles import with_quantiles
 from scenarium.plans.catalog import query, rounded
 from scenarium.plans.derived import BOXES, FACES, OBSERVATIONS, POINTS, SHEETS, VOXELS, boxes, faces, observations, points, sheets, table, voxel_points
 from scenarium.streaming.incremental import last_n, windowed_counts
@@ -222,11 +223,11 @@ def a29_feature_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {POINTS}, v AS (SELECT label, scene_id, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM pts GROUP BY ALL HAVING count(*) >= 4), m AS (SELECT label, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM v GROUP BY label HAVING count(*) >= 2)
 SELECT label, round(quantile_cont(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 0.5), 6) AS spread FROM v JOIN m USING (label) GROUP BY label""")
 def a36_centroid_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    mid = lambda c: F.percentile(c, F.lit(0.5))
-    v = points(spark, sf).groupBy("label", "scene_id").agg(mid("x").alias("x"), mid("y").alias("y"), F.count("*").alias("n")).where("n >= 4")
-    m = v.groupBy("label").agg(mid("x").alias("mx"), mid("y").alias("my"), F.count("*").alias("views")).where("views >= 2")
+    middle = lambda rows, keys, **of: with_quantiles(rows.groupBy(*keys).agg(F.count("*").alias("n")), rows, keys, of, [0.5]).withColumns({c: F.col(c)[0] for c in of})
+    v = middle(points(spark, sf), ["label", "scene_id"], x="x", y="y").where("n >= 4")
+    m = middle(v, ["label"], mx="x", my="y").where("n >= 2").drop("n")
     d = F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2)
-    return v.join(m, "label").groupBy("label").agg(F.round(F.percentile(d, F.lit(0.5)), 6).alias("spread"))
+    return middle(v.join(m, "label"), ["label"], spread=d).select("label", F.round("spread", 6).alias("spread"))
 
 
 @query(f"""WITH {POINTS}, t AS (SELECT scene_id, k, cos(radians(k * 0.5::DOUBLE)) * x + sin(radians(k * 0.5::DOUBLE)) * y AS u, cos(radians(k * 0.5::DOUBLE)) * y - sin(radians(k * 0.5::DOUBLE)) * x AS v FROM pts, range(180) r(k)),
@@ -257,7 +258,7 @@ def g10_boundary_loops(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {POINTS}, q AS (SELECT scene_id, label, quantile_cont(x, 0.4) AS cut, count(*) AS n FROM pts GROUP BY ALL) SELECT point_id FROM pts JOIN q USING (scene_id, label) WHERE NOT (label % 5 = 1 AND n >= 10 AND x < cut)""")
 def x01_partial_delete(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    q = p.groupBy("scene_id", "label").agg(F.percentile("x", F.lit(0.4)).alias("cut"), F.count("*").alias("n"))
+    q = with_quantiles(p.groupBy("scene_id", "label").agg(F.count("*").alias("n")), p, ["scene_id", "label"], {"cut": "x"}, [0.4]).withColumn("cut", F.col("cut")[0])
     return p.join(q, ["scene_id", "label"]).where(~((F.col("label") % 5 == 1) & (F.col("n") >= 10) & (F.col("x") < F.col("cut")))).select("point_id")
 
 
