@@ -12,6 +12,7 @@ from scenarium.operators.quantiles import with_quantiles
 from scenarium.plans.catalog import query, rounded
 from scenarium.plans.derived import BOXES, FACES, OBSERVATIONS, POINTS, SHEETS, VOXELS, boxes, faces, observations, points, sheets, table, voxel_points
 from scenarium.streaming.incremental import last_n, windowed_counts
+from scenarium.streaming.ring import ring_over_table
 
 # One pixel for each order line: 16 frames of 64 x 48, invalid depths among them.
 PIXELS = """px AS (SELECT frame, v, u, CASE WHEN d % 7 = 0 THEN 'nan'::DOUBLE WHEN d % 11 = 0 THEN 60.0 ELSE 1 + (d % 400) / 10.0::DOUBLE END AS depth FROM
@@ -289,6 +290,19 @@ def t07_ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(last_n(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 5), "last_n").select("event_id", "last_n")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_id % 100 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE isfinite(value)),
+f AS (
+  SELECT *, CASE WHEN n >= 8 THEN quantile_cont(y, 0.95) OVER w END AS lim, CASE WHEN n % 4 = 0 THEN {'s': regr_slope(y, x) OVER w, 'i': regr_intercept(y, x) OVER w} END AS fit
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 7 PRECEDING)
+),
+g AS (SELECT *, last_value(fit IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS line FROM f)
+SELECT event_id, round(lim + 3.1e-8, 5) AS "limit", round(line.s + 3.1e-8, 5) AS slope, round(line.i + 3.1e-8, 5) AS intercept FROM g""")
+def t07b_ring_refits(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("x", F.col("event_id") % 100)
+    rings = ring_over_table(e, "user_id", ["ts", "event_id"], "x", "value", 8, 4, 0.95)
+    return rings.select("event_id", *(F.round(F.col(c) + 3.1e-8, 5).alias(c) for c in ("limit", "slope", "intercept")))  # no sum is half of the last digit
+
+
 @query("SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) // 1000000 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def t08_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Extension: not one of the inventory's operators."""
