@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenarium.plans.materialize import materialize
 
 AXES = ("x", "y", "z")
+CELL = [f"g{a}" for a in AXES]
+#: Targets of a cell that a point is compared with directly, of a leaf of the tree, and levels of the tree, at each of which cells are a quarter as wide.
+CROWD, LEAF, DEEPEST = 256, 64, 31
 
 
 def _cell(size: float) -> list[Column]:
@@ -25,26 +30,80 @@ def _neighbour_cells() -> Column:
     return F.explode(cells)
 
 
+def _distance(a: str, b: str) -> Column:
+    return F.sqrt(reduce(lambda s, x: s + (F.col(f"{a}{x}") - F.col(f"{b}{x}")) * (F.col(f"{a}{x}") - F.col(f"{b}{x}")), AXES, F.lit(0.0)))
+
+
+def _split_cells(targets: DataFrame, keys: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """Cells with the bounds of their targets, a table for each level, and the targets with the cell they are a leaf of.
+
+    From one that holds everything on, cells of more than LEAF targets are split into 64, so that levels are few where targets are few or spread out and
+    more only where they crowd.
+    """
+    most = targets.agg(F.max(F.greatest(*(F.abs(a) for a in AXES)))).first()[0] or 1.0
+    levels, leaves, rest = [], [], targets
+    for level in range(DEEPEST):
+        size = 4.0 ** (math.ceil(math.log(max(most, 1e-12), 4)) - level) * (1 + 1e-9)
+        rest = rest.select(*targets.columns, *_cell(size))
+        cells = rest.groupBy(*keys, *CELL).agg(F.count("*").alias("held"), *(F.min(a).alias(f"lo{a}") for a in AXES), *(F.max(a).alias(f"hi{a}") for a in AXES))
+        cells = materialize(cells.withColumn("leaf", F.lit(level + 1 == DEEPEST) | (F.col("held") <= LEAF)), "cells")
+        levels.append(cells)
+        placed = rest.join(cells.select(*keys, *CELL, "leaf"), [*keys, *CELL])
+        leaves.append(placed.where("leaf").select(*targets.columns, *CELL, F.lit(level).alias("level")))
+        rest = materialize(placed.where("not leaf").select(*targets.columns), "crowded")
+        if rest.isEmpty():
+            break
+    return levels, reduce(DataFrame.unionByName, leaves)
+
+
+def _nearest_by_bounds(queries: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, _id, b)`` of queries anywhere: from the coarsest cells down, those are left out whose bounds lie farther than another's farthest corner."""
+    levels, leaves = _split_cells(targets, keys)
+    off = lambda a: F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), F.lit(0.0))
+    end = lambda a: F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}")))
+    norm = lambda part: F.sqrt(reduce(lambda s, a: s + part(a) * part(a), AXES, F.lit(0.0)))
+    whole, found, own = W.partitionBy(*keys, "_id"), [], ["_id", *AXES]
+    front = queries.select(*keys, *own, F.lit(float("inf")).alias("bound"))
+    for level, cells in enumerate(levels):
+        if level:
+            inside = cells.withColumns({f"p{c}": F.floor(F.col(c) / 4).cast("long") for c in CELL})
+            front = front.withColumnsRenamed({c: f"p{c}" for c in CELL}).join(inside, [*keys, *(f"p{c}" for c in CELL)]).drop(*(f"p{c}" for c in CELL))
+        else:
+            front = front.join(cells, keys)  # eight cells at most
+        front = front.withColumn("near", norm(off)).withColumn("bound", F.least("bound", F.min(norm(end)).over(whole)))
+        front = materialize(front.where(F.col("near") * (1 - 1e-9) <= F.col("bound")).select(*keys, *own, *CELL, "near", "bound", "leaf"), "front")
+        found.append(front.where("leaf").select(*keys, *own, *CELL, "near", F.lit(level).alias("level")).withColumn("bound", F.lit(None).cast("double")))
+        bounds = front.groupBy(*keys, "_id").agg(F.min("bound").alias("least"))
+        found.append(bounds.select(*keys, "_id", *(F.lit(None).cast("double").alias(a) for a in AXES), *(F.lit(None).cast("long").alias(c) for c in CELL), F.lit(None).cast("double").alias("near"), F.lit(level).alias("level"), F.col("least").alias("bound")))
+        front = front.where("not leaf").select(*keys, *own, *CELL, "bound")
+    asked = reduce(DataFrame.unionByName, found).withColumn("least", F.min("bound").over(whole)).where("bound is null").where(F.col("near") * (1 - 1e-9) <= F.col("least"))
+    there = leaves.select(*keys, *CELL, "level", "nearest_id", *(F.col(a).alias(f"t{a}") for a in AXES))
+    pairs = asked.select(*keys, *own, *CELL, "level").join(there, [*keys, *CELL, "level"]).withColumn("distance", _distance("", "t"))
+    return pairs.groupBy(*keys, "_id").agg(F.min(F.struct("distance", "nearest_id")).alias("b"))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], cell: float, left_id: str = "point_id", right_id: str = "point_id") -> DataFrame:
     """``(keys, left_id, nearest_id, distance)``: the nearest right point of the same keys, ties to the smaller id.
 
-    Both sides meet in the 27 cells around a point; what is found within one cell size is proven nearest. The
-    rest tries again with cells twice as large, so that only outliers ever look far. Null where there is none.
+    Where the 27 cells around a point hold no crowd, both sides meet there, and what is found within one cell size is proven nearest. All others, in crowds
+    or far from anything, look through a tree of cells that splits where targets crowd: bounds leave a few leaves for each, so that neither
+    a dense place nor an outlier meets the whole cloud. Null where there is none, or a coordinate is null or no number.
     """
-    targets = materialize(right.groupBy(*keys, *AXES).agg(F.min(right_id).alias("nearest_id")), "targets")
-    open_ = materialize(left.select(*keys, F.col(left_id).alias("_id"), *AXES).join(targets.select(*keys).distinct(), keys, "left_semi"), "open")
-    lonely = left.select(*keys, F.col(left_id).alias("_id")).join(targets.select(*keys).distinct(), keys, "left_anti")
-    done, size = [lonely.select(*keys, "_id", F.lit(None).cast("long").alias("nearest_id"), F.lit(None).cast("double").alias("distance"))], cell
-    while not open_.isEmpty():
-        at = open_.select("*", *_cell(size)).withColumn("n", _neighbour_cells())
-        at = at.select(*keys, "_id", *AXES, *((F.col(f"g{a}") + F.col(f"n.{i}")).alias(f"g{a}") for a, i in zip(AXES, "ijk", strict=True)))
-        there = targets.select(*keys, "nearest_id", *(F.col(a).alias(f"t{a}") for a in AXES), *_cell(size))
-        d2 = reduce(lambda s, a: s + (F.col(a) - F.col(f"t{a}")) * (F.col(a) - F.col(f"t{a}")), AXES, F.lit(0.0))
-        best = at.join(there, [*keys, *(f"g{a}" for a in AXES)]).withColumn("distance", F.sqrt(d2)).groupBy(*keys, "_id").agg(F.min(F.struct("distance", "nearest_id")).alias("b"))
-        best = materialize(best.where(F.col("b.distance") <= size), "best")
-        done.append(best.select(*keys, "_id", F.col("b.nearest_id").alias("nearest_id"), F.col("b.distance").alias("distance")))
-        open_, size = materialize(open_.join(best.select(*keys, "_id"), [*keys, "_id"], "left_anti"), "open"), size * 2
-    return reduce(DataFrame.unionByName, done).withColumnRenamed("_id", left_id)
+    somewhere = " and ".join(f"{a} is not null and not isnan({a})" for a in AXES)
+    targets = materialize(right.groupBy(*keys, *AXES).agg(F.min(right_id).alias("nearest_id")).where(somewhere), "targets")
+    every = left.select(*keys, F.col(left_id).alias("_id"), *AXES)
+    asked = materialize(every.where(somewhere), "asked")
+    crowds = targets.groupBy(*keys, *_cell(cell)).agg(F.count("*").alias("held"))
+    around = asked.select("*", *_cell(cell)).withColumn("n", _neighbour_cells())
+    around = around.select(*keys, "_id", *AXES, *((F.col(f"g{a}") + F.col(f"n.{i}")).alias(f"g{a}") for a, i in zip(AXES, "ijk", strict=True)))
+    around = around.join(crowds, [*keys, *CELL]).withColumn("most", F.max("held").over(W.partitionBy(*keys, "_id"))).where(F.col("most") <= CROWD)
+    there = targets.select(*keys, "nearest_id", *(F.col(a).alias(f"t{a}") for a in AXES), *_cell(cell))
+    close = around.join(there, [*keys, *CELL]).withColumn("distance", _distance("", "t")).groupBy(*keys, "_id").agg(F.min(F.struct("distance", "nearest_id")).alias("b"))
+    close = materialize(close.where(F.col("b.distance") <= cell), "close")
+    far = materialize(asked.join(close.select(*keys, "_id"), [*keys, "_id"], "left_anti"), "far")
+    found = close if far.isEmpty() else close.unionByName(materialize(_nearest_by_bounds(far, targets, keys), "found"))
+    whole = every.select(*keys, "_id").distinct().join(found, [*keys, "_id"], "left")
+    return whole.select(*keys, F.col("_id").alias(left_id), F.col("b.nearest_id").alias("nearest_id"), F.col("b.distance").alias("distance"))
 
 
 def label_within(found: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
@@ -54,24 +113,41 @@ def label_within(found: DataFrame, labels: DataFrame, radius: float) -> DataFram
     return found.join(named, "nearest_id", "left").select("point_id", "distance", F.coalesce(near, F.lit(-1)).alias("label"))
 
 
-def _box_cells(boxes: DataFrame, keys: list[str], size: float) -> DataFrame:
-    out = boxes
-    for a in AXES:
-        low, high = (F.floor((F.col(f"c{a}") + s * F.col(f"s{a}") / 2 * (1 + 1e-8)) / F.lit(size)).cast("long") for s in (-1, 1))
-        out = out.withColumn(f"g{a}", F.explode(F.sequence(low, high)))
-    return out
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], cell: float, reach: float = 0.0) -> DataFrame:
+    """Pairs of ``left`` and ``right``, boxes with lo and hi on each axis, among them all whose gap is ``reach`` or less; columns are named a... and b....
+
+    A box has a level, at which cells are as large as the box, and ``cell`` at least. A pair meets in the grid of the larger of its two levels, where
+    both touch a few cells however large they are, and there in the first cell that both touch, so that it comes once. Levels are a few dozen at most.
+    """
+    side = F.greatest(*(F.col(f"hi{x}") - F.col(f"lo{x}") for x in AXES))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1e-12)) / cell))).cast("int")
+    named = lambda rows, n: rows.select(*keys, *(F.col(c).alias(n + c) for c in rows.columns if c not in keys), level.alias(f"{n}level"))
+    a, b = named(left, "a"), named(right, "b")
+    levels = sorted({r[0] for r in a.select("alevel").distinct().union(b.select("blevel").distinct()).collect()})
+    at = lambda c: F.floor(c / (F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+
+    def dealt(rows: DataFrame, n: str, more: float) -> DataFrame:
+        rows = rows.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).where(F.col("level") >= F.col(f"{n}level"))
+        for x in AXES:
+            rows = rows.withColumn(f"{n}first{x}", at(F.col(f"{n}lo{x}") - more)).withColumn(f"g{x}", F.explode(F.sequence(F.col(f"{n}first{x}"), at(F.col(f"{n}hi{x}") + more))))
+        return rows
+
+    met = dealt(a, "a", reach * (1 + 1e-9)).join(dealt(b, "b", 0.0), [*keys, "level", *(f"g{x}" for x in AXES)]).where(F.greatest("alevel", "blevel") == F.col("level"))
+    for x in AXES:
+        met = met.where(F.col(f"g{x}") == F.greatest(f"afirst{x}", f"bfirst{x}")).where(F.greatest(F.col(f"alo{x}") - F.col(f"bhi{x}"), F.col(f"blo{x}") - F.col(f"ahi{x}")) <= reach)
+    return met
 
 
 def near_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """Pairs of points and boxes (upright: c, s) that share a cell, among them all pairs of a box and a point within it.
 
-    A box is dealt to the cells it touches in a grid of its own size, ``cell`` times a power of two, so that it touches
-    eight at most; a point is in one cell of each grid that there is. Grids are a list of a few dozen at most.
+    A box is dealt to the cells it touches in a grid of half its own size, ``cell`` times a power of two, so that it touches
+    27 at most and few points beside it; a point is in one cell of each grid that there is. Grids are a list of a few dozen at most.
     """
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(*(F.col(f"s{a}") for a in AXES), F.lit(1e-12)) / cell))).cast("int")
     b = boxes.withColumn("_level", level)
     levels = sorted(r[0] for r in b.select("_level").distinct().collect())
-    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    size = F.lit(cell / 2) * F.pow(F.lit(2.0), F.col("_level"))
     for a in AXES:
         low, high = (F.floor((F.col(f"c{a}") + s * F.col(f"s{a}") / 2 * (1 + 1e-8)) / size).cast("long") for s in (-1, 1))
         b = b.withColumn(f"g{a}", F.explode(F.sequence(low, high)))
@@ -94,17 +170,14 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell:
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """``(keys, a, b, iou)`` of upright boxes that share volume; a from left, b from right."""
-    a = _box_cells(left, keys, cell).select(*keys, F.col("box_id").alias("a"), *(F.col(f"{n}{x}").alias(f"a{n}{x}") for n in "cs" for x in AXES), *(f"g{x}" for x in AXES))
-    b = _box_cells(right, keys, cell).select(*keys, F.col("box_id").alias("b"), *(F.col(f"{n}{x}").alias(f"b{n}{x}") for n in "cs" for x in AXES), *(f"g{x}" for x in AXES))
-    side = lambda x: F.least(F.col(f"ac{x}") + F.col(f"as{x}") / 2, F.col(f"bc{x}") + F.col(f"bs{x}") / 2) - F.greatest(F.col(f"ac{x}") - F.col(f"as{x}") / 2, F.col(f"bc{x}") - F.col(f"bs{x}") / 2)
-    rows = a.join(b, [*keys, *(f"g{x}" for x in AXES)])
+    ends = lambda rows: rows.select(*keys, "box_id", *(F.col(f"{n}{x}") for n in "cs" for x in AXES), *((F.col(f"c{x}") + s * F.col(f"s{x}") / 2).alias(n + x) for n, s in (("lo", -1), ("hi", 1)) for x in AXES))
+    side = lambda x: F.least(f"ahi{x}", f"bhi{x}") - F.greatest(f"alo{x}", f"blo{x}")
+    rows = meeting(ends(left), ends(right), keys, cell)
     for x in AXES:
-        # a pair is taken in the first cell that both boxes touch, so that it comes once
-        first = F.floor(F.greatest(F.col(f"ac{x}") - F.col(f"as{x}") / 2 * (1 + 1e-8), F.col(f"bc{x}") - F.col(f"bs{x}") / 2 * (1 + 1e-8)) / F.lit(cell))
-        rows = rows.where((side(x) > 0) & (F.col(f"g{x}") == first))
+        rows = rows.where(side(x) > 0)
     shared = side("x") * side("y") * side("z")
     volume = lambda n: F.col(f"{n}sx") * F.col(f"{n}sy") * F.col(f"{n}sz")
-    return rows.select(*keys, "a", "b", (shared / (volume("a") + volume("b") - shared)).alias("iou"))
+    return rows.select(*keys, F.col("abox_id").alias("a"), F.col("bbox_id").alias("b"), (shared / (volume("a") + volume("b") - shared)).alias("iou"))
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
