@@ -69,3 +69,29 @@ def checksum_audit(manifest: DataFrame, files: DataFrame) -> DataFrame:
     rows = manifest.join(files, "path", "left")
     state = F.when(F.col("content").isNull(), "absent").when(F.sha2("content", 256) == F.col("sha256"), "ok").otherwise("wrong")
     return rows.select("path", state.alias("state"))
+
+
+def contract_faults(rows: DataFrame, values: str, input_resolution: int, latent_resolution: int, channels: int, digests: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``fault``, the first rule of the contract that a latent breaks, null if none.
+
+    A latent is a row with its ``values`` and the recorded input_resolution, latent_resolution, latent_channels and occupied_count; in this order: the number of
+    values, each recorded size, an occupied count of 0 to the cube of the input resolution, values that are null or no numbers. With ``digests``
+    (artifact, sha256) the recorded artifact must be known and its encoder_sha256 equal, whatever the case of the letters.
+    """
+    length = channels * latent_resolution**3
+    broken = F.size(F.filter(values, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))) > 0
+    differs = lambda c, want: F.col(c).isNull() | (F.col(c) != want)
+    rules = [
+        ("values", F.col(values).isNull() | (F.size(values) != length)),
+        ("input_resolution", differs("input_resolution", input_resolution)),
+        ("latent_resolution", differs("latent_resolution", latent_resolution)),
+        ("latent_channels", differs("latent_channels", channels)),
+        ("occupied_count", F.col("occupied_count").isNull() | ~F.col("occupied_count").between(0, input_resolution**3)),
+        ("not finite", broken),
+    ]
+    if digests is not None:
+        known = digests.select("artifact", F.lower("sha256").alias("_sha"))
+        rows = rows.join(known, "artifact", "left")
+        rules += [("artifact", F.col("_sha").isNull()), ("encoder", F.col("encoder_sha256").isNull() | (F.lower("encoder_sha256") != F.col("_sha")))]
+    fault = F.coalesce(*(F.when(broken_, name) for name, broken_ in rules))
+    return rows.withColumn("fault", fault).drop("_sha")

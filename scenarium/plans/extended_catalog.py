@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenarium.functions import semantics as S
-from scenarium.operators import frames, images, mesh, ranking, regions, rollups, spatial, voxels
+from scenarium.operators import lineage, frames, images, mesh, ranking, regions, rollups, spatial, voxels
 from scenarium.plans.catalog import query, rounded
 from scenarium.plans.derived import BOXES, FACES, POINTS, VOXELS, boxes, faces, points, table, voxel_points
 from scenarium.plans.materialize import checkpoint_root
@@ -172,6 +172,25 @@ def s11_manifest_scan(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_manifest(spark, path, c.schema, "turns-1")
 
 
+@query("""WITH docs AS (SELECT DISTINCT source AS artifact, sha256(source) AS sha FROM documents WHERE source IS NOT NULL),
+l AS (
+  SELECT e.vec_id, len(embedding) AS n, len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) AS bad, CASE WHEN vec_id % 11 = 3 THEN 16 ELSE 8 END AS ir, CASE WHEN vec_id % 13 = 5 THEN 4 ELSE 2 END AS lr,
+    CASE WHEN vec_id % 17 = 1 THEN 4 ELSE 8 END AS ch, vec_id * 37 % 600 AS occ, d.source AS artifact, CASE WHEN vec_id % 7 = 2 THEN 'beef' ELSE upper(sha256(d.source)) END AS enc
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+)
+SELECT vec_id, CASE WHEN n IS NULL OR n <> 64 THEN 'values' WHEN ir <> 8 THEN 'input_resolution' WHEN lr <> 2 THEN 'latent_resolution' WHEN ch <> 8 THEN 'latent_channels' WHEN occ NOT BETWEEN 0 AND 512 THEN 'occupied_count'
+  WHEN bad > 0 THEN 'not finite' WHEN sha IS NULL THEN 'artifact' WHEN enc IS NULL OR lower(enc) <> sha THEN 'encoder' END AS fault
+FROM l LEFT JOIN docs USING (artifact)""")
+def s22_latent_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as latents of 8 channels and 2 cells a side; their documents' sources are the artifacts."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    digests = d.select(F.col("source").alias("artifact")).where("artifact is not null").distinct().withColumn("sha256", F.sha2("artifact", 256))
+    odd = lambda by, at, value, usual: F.when(F.col("vec_id") % by == at, value).otherwise(usual)
+    e = table(spark, sf, "embeddings").join(d, F.col("vec_id") == F.col("doc_id"), "left")
+    rows = e.select("vec_id", "embedding", odd(11, 3, 16, 8).alias("input_resolution"), odd(13, 5, 4, 2).alias("latent_resolution"), odd(17, 1, 4, 8).alias("latent_channels"), (F.col("vec_id") * 37 % 600).alias("occupied_count"), F.col("source").alias("artifact"), odd(7, 2, "beef", F.upper(F.sha2("source", 256))).alias("encoder_sha256"))
+    return lineage.contract_faults(rows, "embedding", 8, 2, 8, digests).select("vec_id", "fault")
+
+
 @query(f"SELECT p_partkey AS part, p_brand AS brand, CASE WHEN p_size % 3 > 0 THEN CAST(p_size AS VARCHAR) END AS size, NULL::VARCHAR AS absent FROM part")
 def s18_metric_file(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics written as CSV in a fixed column order, one column never there, and read back (S10)."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from scenarium.functions.semantics import rotation_from_quaternion
+from scenarium.plans.materialize import materialize
 
 FORMATS = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json", "jsonl": "json", "txt": "text"}
 
@@ -26,12 +28,27 @@ def discover(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return found.select("path", "length").distinct()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line, value)``: text lines with their number from 1 in their file, blank ones counted.
+
+    A file may be read in many parts: a line knows the byte at which its part begins and its place in it, and the lines of the parts before are added,
+    a row for each part. The lines are written once, so that both look at the same parts.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    rows = materialize(rows, "lines")
+    parts = rows.groupBy("path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("path", "_start", "_first", before.alias("_before"))
+    return rows.join(parts, ["path", "_start"]).select("path", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value")
+
+
 def read_manifest(spark: SparkSession, path: str, schema: StructType, tag: str) -> DataFrame:
-    """JSON lines of the given ``schema`` tag; a line that isn't JSON or has another tag is an error that shows it."""
+    """JSON lines of the given ``schema`` tag; a line that isn't JSON or has another tag is an error that shows its file, its number and the line."""
     fields = StructType([*schema.fields, *([] if "schema" in schema.names else [StructField("schema", StringType())])])
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(F.from_json("value", fields).alias("r"), "value")
-    sound = F.when(F.col("r.schema") == tag, F.col("r")).otherwise(F.raise_error(F.concat(F.lit(f"not a line of {tag}: "), F.substring("value", 1, 200))).cast(fields))
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", fields).alias("r"), "path", "line", "value")
+    place = F.concat(F.regexp_extract("path", "[^/]*$", 0), F.lit(":"), F.col("line").cast("string"))
+    sound = F.when(F.col("r.schema") == tag, F.col("r")).otherwise(F.raise_error(F.concat(F.lit(f"not a line of {tag}: "), place, F.lit(": "), F.substring("value", 1, 200))).cast(fields))
     return rows.select(sound.alias("r")).select("r.*").drop("schema")
 
 
