@@ -276,21 +276,49 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def farthest_points(points: DataFrame, keys: list[str], k: int, order: str = "point_id") -> DataFrame:
-    """Farthest-point sampling within each group from its first point; ``rank`` is the order of choice.
+    """Farthest-point sampling within each group from its first point; ``rank`` is the order of choice, ties go to the first in ``order``.
 
-    Groups must fit a task: reduce them to one point a voxel first (``pool_first``).
+    A round for each choice: every point looks at its group's choices so far, a list of ``k`` at most, and the farthest is an aggregate that is combined
+    before the shuffle. No group is gathered, and only choices are written.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        at = pdf[list(AXES)].to_numpy(float)
-        chosen, far = [0], ((at - at[0]) ** 2).sum(1)
-        while len(chosen) < min(k, len(at)):
-            chosen.append(int(far.argmax()))
-            far = np.minimum(far, ((at - at[chosen[-1]]) ** 2).sum(1))
-        return pdf.iloc[chosen][[*keys, order]].assign(rank=np.arange(len(chosen)))
-
-    return points.groupBy(*keys).applyInPandas(run, points.select(*keys, order).withColumn("rank", F.lit(0).cast("long")).schema)
+    rows = points.select(*keys, order, *AXES)
+    spot = F.struct(F.col(order).alias("o"), *AXES)
+    picks = materialize(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.array(F.min(spot)).alias("_picks")), "picks")
+    apart = lambda p: reduce(lambda s, a: s + (F.col(a) - p[a]) * (F.col(a) - p[a]), AXES, F.lit(0.0))
+    for n in range(1, k):
+        open_ = picks.where(F.col("_n") > n)
+        far = rows.join(open_, keys).select(*keys, F.struct((-F.array_min(F.transform("_picks", apart))).alias("d"), spot.alias("p")).alias("f"))
+        best = far.groupBy(*keys).agg(F.min("f").alias("f"))
+        picks = materialize(picks.join(best, keys, "left").select(*keys, "_n", F.when(F.col("f").isNull(), F.col("_picks")).otherwise(F.array_append("_picks", F.col("f.p"))).alias("_picks")), "picks")
+    return picks.select(*keys, F.posexplode("_picks").alias("rank", "p")).select(*keys, F.col("p.o").alias(order), F.col("rank").cast("long").alias("rank"))
+
+
+def supported_points(points: DataFrame, keys: list[str], k: int, grid: int = 8) -> DataFrame:
+    """Points that aren't alone in the 27 cells around theirs, in a grid of ``grid`` cells a side over their group's bounds; all of a group of which fewer than ``k`` (or than it has) would stay."""
+    ends = points.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.min(a).alias(f"lo{a}") for a in AXES), *(F.max(a).alias(f"hi{a}") for a in AXES))
+    at = lambda a: F.least(F.floor((F.col(a) - F.col(f"lo{a}")) / F.greatest(F.col(f"hi{a}") - F.col(f"lo{a}"), F.lit(1e-6)) * grid), F.lit(grid - 1)).cast("long")
+    rows = points.join(ends, keys).withColumns({f"g{a}": at(a) for a in AXES})
+    counts = rows.groupBy(*keys, *CELL).agg(F.count("*").alias("c"))
+    lent = counts.withColumn("n", _neighbour_cells()).select(*keys, "c", *((F.col(f"g{a}") + F.col(f"n.{i}")).alias(f"g{a}") for a, i in zip(AXES, "ijk", strict=True)))
+    support = lent.groupBy(*keys, *CELL).agg(F.sum("c").alias("_support"))
+    held = counts.join(support, [*keys, *CELL]).withColumn("_kept", F.col("_support") > 1)
+    stays = held.groupBy(*keys).agg(F.sum(F.when(F.col("_kept"), F.col("c")).otherwise(0)).alias("_stay"))
+    rows = rows.join(held.select(*keys, *CELL, "_kept"), [*keys, *CELL]).join(stays, keys)
+    return rows.where(F.col("_kept") | (F.col("_stay") < F.least(F.col("_n"), F.lit(k)))).select(*points.columns)
+
+
+def hybrid_points(points: DataFrame, keys: list[str], k: int, seed: str, order: str = "point_id") -> DataFrame:
+    """``(keys, order, rank)``: half of ``k`` by farthest points, and of the rest as many as are missing in the order of SHA-256 of seed and name."""
+    far = materialize(farthest_points(points, keys, max(1, k // 2), order), "far") if k // 2 else None
+    rest = points.select(*keys, order)
+    if far is not None:
+        rest = rest.join(far.select(*keys, order), [*keys, order], "left_anti").join(far.groupBy(*keys).agg(F.countDistinct(order).alias("_have")), keys)
+    else:
+        rest = rest.withColumn("_have", F.lit(0))
+    drawn = F.row_number().over(W.partitionBy(*keys).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string")), 256), order))
+    rest = rest.withColumn("_place", drawn).where(F.col("_place") <= k).where(F.col("_place") <= k - F.col("_have"))
+    rest = rest.select(*keys, order, (F.col("_have") + F.col("_place") - 1).cast("long").alias("rank"))
+    return rest if far is None else far.groupBy(*keys, order).agg(F.min("rank").alias("rank")).unionByName(rest)
 
 
 def least_loaded(items: DataFrame, key: str, workers: int) -> DataFrame:

@@ -145,6 +145,51 @@ def w08b_padded_farthest(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.padded_samples(far, v.select("scene_id", "label").distinct(), ["scene_id", "label"], "point_id", 6)
 
 
+FIRST_POINTS = f"""{VOXELS},
+p AS (SELECT scene_id, label, p.i AS point_id, p.x AS x, p.y AS y, p.z AS z FROM (SELECT scene_id, label, arg_min({{'i': point_id, 'x': x, 'y': y, 'z': z}}, point_id) AS p FROM vox GROUP BY scene_id, label, key))"""
+
+
+def _farthest_sql(source: str, most: int) -> str:
+    return f"""f AS (
+  SELECT *, 0::BIGINT AS step, first_value({{'i': point_id, 'x': x, 'y': y, 'z': z}}) OVER (PARTITION BY scene_id, label ORDER BY point_id) AS pick, count(*) OVER (PARTITION BY scene_id, label) AS n, 'inf'::DOUBLE AS far FROM {source}
+  UNION ALL
+  SELECT scene_id, label, point_id, x, y, z, step + 1, first_value({{'i': point_id, 'x': x, 'y': y, 'z': z}}) OVER (PARTITION BY scene_id, label ORDER BY near DESC, point_id), n, near
+  FROM (SELECT *, least(far, (x - pick.x) * (x - pick.x) + (y - pick.y) * (y - pick.y) + (z - pick.z) * (z - pick.z)) AS near FROM f WHERE step < {most - 1})
+),
+chosen AS (SELECT DISTINCT scene_id, label, pick.i AS point_id, step AS rank FROM f WHERE step < n)"""
+
+
+def _first_points(spark: SparkSession, sf: str) -> DataFrame:
+    v = voxel_points(spark, sf)
+    return v.groupBy("scene_id", "label", "key").agg(F.min_by(F.struct("point_id", "x", "y", "z"), "point_id").alias("p")).select("scene_id", "label", "p.*")
+
+
+@query(f"""WITH RECURSIVE {FIRST_POINTS},
+e AS (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy, min(z) OVER w AS lz, max(z) OVER w AS hz, count(*) OVER w AS m FROM p WINDOW w AS (PARTITION BY scene_id, label)),
+b AS (
+  SELECT *, CAST(least(floor((x - lx) / greatest(hx - lx, 1e-6) * 8), 7) AS BIGINT) AS gx, CAST(least(floor((y - ly) / greatest(hy - ly, 1e-6) * 8), 7) AS BIGINT) AS gy,
+    CAST(least(floor((z - lz) / greatest(hz - lz, 1e-6) * 8), 7) AS BIGINT) AS gz FROM e
+),
+near AS (SELECT a.scene_id, a.label, a.point_id, count(*) > 1 AS kept FROM b a JOIN b o ON o.scene_id = a.scene_id AND o.label = a.label AND abs(o.gx - a.gx) <= 1 AND abs(o.gy - a.gy) <= 1 AND abs(o.gz - a.gz) <= 1 GROUP BY ALL),
+stay AS (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY scene_id, label) AS s, count(*) OVER (PARTITION BY scene_id, label) AS m FROM near),
+sound AS (SELECT p.* FROM p JOIN stay USING (scene_id, label, point_id) WHERE kept OR s < least(m, 6)),
+{_farthest_sql("sound", 6)}
+SELECT scene_id, label, point_id, rank FROM chosen""")
+def w08c_robust_farthest(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.farthest_points(spatial.supported_points(_first_points(spark, sf), ["scene_id", "label"], 6), ["scene_id", "label"], 6)
+
+
+@query(f"""WITH RECURSIVE {FIRST_POINTS}, {_farthest_sql("p", 4)},
+half AS (SELECT scene_id, label, point_id, min(rank) AS rank FROM chosen GROUP BY ALL),
+rest AS (
+  SELECT scene_id, label, point_id, row_number() OVER (PARTITION BY scene_id, label ORDER BY sha256('5:' || point_id), point_id) AS place FROM p ANTI JOIN half USING (scene_id, label, point_id)
+),
+have AS (SELECT scene_id, label, count(*) AS have FROM half GROUP BY ALL)
+SELECT * FROM half UNION ALL SELECT scene_id, label, point_id, have + place - 1 FROM rest JOIN have USING (scene_id, label) WHERE place <= 8 - have""")
+def w08d_hybrid_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.hybrid_points(_first_points(spark, sf), ["scene_id", "label"], 8, "5")
+
+
 @query("""WITH s AS (SELECT vec_id, vec_id % 4 AS scene_id, unnest(range(1, 9)) AS mask, unnest(embedding[1:8]) AS score FROM embeddings), l AS (SELECT scene_id, mask, sum(CAST(score AS DOUBLE)) AS logit FROM s GROUP BY ALL),
 r AS (SELECT vec_id, mask FROM s JOIN l USING (scene_id, mask) WHERE 1 / (1 + exp(-logit)) > 0.5 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, mask) = 1) SELECT vec_id, mask FROM r""")
 def f03_valid_instances(spark: SparkSession, sf: str) -> DataFrame:
