@@ -78,6 +78,52 @@ def p10_pose_composition(spark: SparkSession, sf: str) -> DataFrame:
     return b.join(other, "box_id").select("box_id", F.round(both[0][0], 5).alias("m00"), F.round(both[1][0], 5).alias("m10"), F.round(F.col("sx") * t[0] + F.col("cx"), 5).alias("tx"), F.round(F.col("sx") * t[1] + F.col("cy"), 5).alias("ty"), (F.col("sx") * F.col("osx")).alias("scale"))
 
 
+def _euler_sql(a: str, b: str, c: str, name: str) -> str:
+    """Nine columns of the rotation about x, y and z by a, b and c."""
+    cell = [
+        f"cos({b}) * cos({c})", f"sin({a}) * sin({b}) * cos({c}) - cos({a}) * sin({c})", f"cos({a}) * sin({b}) * cos({c}) + sin({a}) * sin({c})",
+        f"cos({b}) * sin({c})", f"sin({a}) * sin({b}) * sin({c}) + cos({a}) * cos({c})", f"cos({a}) * sin({b}) * sin({c}) - sin({a}) * cos({c})",
+        f"-sin({b})", f"sin({a}) * cos({b})", f"cos({a}) * cos({b})",
+    ]
+    return ", ".join(f"{x} AS {name}{n // 3}{n % 3}" for n, x in enumerate(cell))
+
+
+_COFACTORS = {(i, j): "(n{0}{2} * n{1}{3} - n{0}{3} * n{1}{2})".format((i + 1) % 3, (i + 2) % 3, (j + 1) % 3, (j + 2) % 3) for i in range(3) for j in range(3)}
+_DET = " + ".join(f"n0{j} * {_COFACTORS[0, j]}" for j in range(3))
+POSE_STEPS = f"""{BOXES},
+two AS (
+  SELECT a.box_id, a.sx AS scale, a.cx, a.cy, a.cz, b.cx AS ox, b.cy AS oy, b.cz AS oz, b.sx AS fx, b.sy AS fy, b.sz AS fz,
+    {_euler_sql("a.cx / 10", "a.cy / 10", "a.cz / 10", "r")}, {_euler_sql("b.cx / 5", "b.cy / 5", "b.cz / 5", "u")}
+  FROM boxes a JOIN boxes b ON b.box_id = a.box_id + 8
+),
+m AS (
+  SELECT *, {", ".join(f"scale * (u{i}0 * fx * r0{j} + u{i}1 * fy * r1{j} + u{i}2 * fz * r2{j}) AS m{i}{j}" for i in range(3) for j in range(3))},
+    {", ".join(f"u{i}0 * fx * cx + u{i}1 * fy * cy + u{i}2 * fz * cz + o{a} AS s{i}" for i, a in enumerate("xyz"))} FROM two
+),
+l AS (SELECT *, ({" + ".join(f"sqrt(m0{j} ** 2 + m1{j} ** 2 + m2{j} ** 2)" for j in range(3))}) / 3 AS mean FROM m),
+newton AS (
+  SELECT box_id, 0 AS step, {", ".join(f"m{i}{j} AS n{i}{j}" for i in range(3) for j in range(3))} FROM l
+  UNION ALL
+  SELECT box_id, step + 1, {", ".join(f"(n{i}{j} + {_COFACTORS[i, j]} / ({_DET})) / 2" for i in range(3) for j in range(3))} FROM newton WHERE step < 16
+)"""
+
+
+@query(f"""WITH RECURSIVE {POSE_STEPS}
+SELECT box_id, round(mean, 5) AS scale, round(atan2(m21, m22), 5) AS a0, round(atan2(-m20 / mean, sqrt(m00 ** 2 + m10 ** 2) / mean), 5) AS a1, round(atan2(m10, m00), 5) AS a2,
+  round(s0, 5) AS s0, round(s1, 5) AS s1, round(s2, 5) AS s2, {", ".join(f"round(n{i}{j}, 5) AS n{i}{j}" for i in range(3) for j in range(3))}
+FROM l JOIN newton USING (box_id) WHERE step = 16""")
+def p10b_transformed_poses(spark: SparkSession, sf: str) -> DataFrame:
+    """Each box as a pose turned about all axes, after the rotation, uneven scale and shift of the next box of its scene."""
+    from scenarium.operators.poses import GRID, transformed_poses
+
+    b = boxes(spark, sf)
+    u = S.rotation_from_euler(*(F.col(f"c{a}") / 5 for a in "xyz"))
+    by = b.select((F.col("box_id") - 8).alias("box_id"), *((u[i][j] * F.col(f"s{'xyz'[j]}")).alias(f"t{i}{j}") for i, j in GRID), *(F.col(f"c{a}").alias(f"t{i}3") for i, a in enumerate("xyz")))
+    poses = b.select("box_id", F.col("sx").alias("scale"), *((F.col(f"c{a}") / 10).alias(f"a{a}") for a in "xyz"), *(F.col(f"c{a}").alias(f"t{a}") for a in "xyz")).join(by, "box_id")
+    out = transformed_poses(poses)
+    return out.select("box_id", F.round("scale", 5).alias("scale"), *(F.round(F.col("angles")[i], 5).alias(f"a{i}") for i in range(3)), *(F.round(F.col("shift")[i], 5).alias(f"s{i}") for i in range(3)), *(F.round(F.col("rotation")[3 * i + j], 5).alias(f"n{i}{j}") for i, j in GRID))
+
+
 @query(f"WITH {POINTS} SELECT point_id, round((x - 12.5) / 7, 6) AS x FROM pts")
 def p17_standardise(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("point_id", F.round((F.col("x") - 12.5) / 7, 6).alias("x"))
