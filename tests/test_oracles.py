@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from scenarium.plans import candidate_catalog, catalog, extended_catalog, grouped_catalog, planar_catalog, pose_catalog, region_catalog, scene_catalog, spatial_catalog, tree_catalog  # noqa: F401  the others register their queries
+from scenarium.plans import candidate_catalog, catalog, extended_catalog, grouped_catalog, placement_catalog, planar_catalog, pose_catalog, region_catalog, scene_catalog, spatial_catalog, tree_catalog  # noqa: F401  the others register their queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
