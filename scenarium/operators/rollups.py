@@ -181,3 +181,22 @@ def pull_and_push(points: DataFrame, key: str, label: str, near: float, apart: f
     other = centre.select(key, F.col(label).alias("_other"), *(F.col(f"m{a}").alias(f"o{a}") for a in "xyz"))
     push = centre.join(other, key).where(F.col(label) < F.col("_other")).groupBy(key).agg(F.avg(F.greatest(2 * apart - gap("m{}", "o{}"), F.lit(0.0))).alias("push"))
     return pull.join(push, key)
+
+
+def dice_costs(predicted: DataFrame, truth: DataFrame, keys: list[str], item: str, pred: str, label: str, p: str, eps: float = 1.0) -> DataFrame:
+    """``(keys, pred, label, shared, cost)``: 1 less the soft Dice score of each predicted mask and true label that share an item.
+
+    ``predicted`` has a probability for items of a mask, ``truth`` a label for an item, -1 for none. A pair that shares nothing isn't listed: its cost follows
+    from the areas alone. Shared mass and areas are sums that are combined before the shuffle.
+    """
+    areas = predicted.groupBy(*keys, pred).agg(F.sum(p).alias("_pred"))
+    sizes = truth.where(F.col(label) != -1).groupBy(*keys, label).agg(F.count("*").alias("_true"))
+    both = predicted.join(truth.where(F.col(label) != -1), [*keys, item]).groupBy(*keys, pred, label).agg(F.sum(p).alias("shared"))
+    rows = both.where(F.col("shared") > 0).join(areas, [*keys, pred]).join(sizes, [*keys, label])
+    return rows.select(*keys, pred, label, "shared", (1 - (2 * F.col("shared") + eps) / (F.col("_pred") + F.col("_true") + eps)).alias("cost"))
+
+
+def scene_balanced_mean(losses: DataFrame, scene: str, value: str, valid: str) -> DataFrame:
+    """One row: the mean over scenes of the mean over their valid objects; scenes without any don't count, 0 without any scene."""
+    per = losses.where(F.col(valid)).groupBy(scene).agg(F.avg(value).alias("_m"))
+    return per.agg(F.coalesce(F.avg("_m"), F.lit(0.0)).alias("mean"), F.count("*").alias("scenes"))

@@ -311,6 +311,29 @@ def a28b_pull_and_push(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollups.pull_and_push(points(spark, sf), "scene_id", "label", 0.5, 1.5), "pull", "push", digits=5)
 
 
+@query(f"""WITH {POINTS},
+mask AS (SELECT scene_id, point_id, k AS mask, 1 / (1 + (x / 6 - k) ** 2) AS p FROM pts, range(4) t(k)),
+area AS (SELECT scene_id, mask, sum(p) AS a FROM mask GROUP BY ALL),
+truth AS (SELECT scene_id, point_id, CASE WHEN label < 4 THEN -1 ELSE label % 8 END AS label FROM pts),
+size AS (SELECT scene_id, label, count(*) AS n FROM truth WHERE label <> -1 GROUP BY ALL),
+both_ AS (SELECT m.scene_id, mask, label, sum(p) AS shared FROM mask m JOIN truth t ON t.scene_id = m.scene_id AND t.point_id = m.point_id AND label <> -1 GROUP BY ALL)
+SELECT scene_id, mask, label, round(shared, 5) AS shared, round(1 - (2 * shared + 1) / (a + n + 1), 6) AS cost FROM both_ JOIN area USING (scene_id, mask) JOIN size USING (scene_id, label)""")
+def a28c_dice_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Four soft masks over each scene's points, by x, against the labels."""
+    p = points(spark, sf)
+    masks = p.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")))
+    masks = masks.select("scene_id", "point_id", "mask", (1 / (1 + F.pow(F.col("x") / 6 - F.col("mask"), F.lit(2)))).alias("p"))
+    truth = p.select("scene_id", "point_id", F.when(F.col("label") < 4, -1).otherwise(F.col("label") % 8).alias("label"))
+    return rounded(rounded(rollups.dice_costs(masks, truth, ["scene_id"], "point_id", "mask", "label", "p"), "shared", digits=5), "cost")
+
+
+@query(f"""WITH {POINTS}, o AS (SELECT scene_id, label, avg(x) AS loss, count(*) % 3 <> 0 AS valid FROM pts GROUP BY ALL), s AS (SELECT scene_id, avg(loss) AS m FROM o WHERE valid GROUP BY scene_id)
+SELECT round(coalesce(avg(m), 0), 6) AS mean, count(*) AS scenes FROM s""")
+def a28d_scene_balanced_mean(spark: SparkSession, sf: str) -> DataFrame:
+    objects = points(spark, sf).groupBy("scene_id", "label").agg(F.avg("x").alias("loss"), (F.count("*") % 3 != 0).alias("valid"))
+    return rounded(rollups.scene_balanced_mean(objects, "scene_id", "loss", "valid"), "mean")
+
+
 @query(f"WITH {BOXES} SELECT box_id, round(cos(cx), 5) AS r00, round(sin(cx), 5) AS r10, greatest(sx, sy) AS scale FROM boxes")
 def s07b_wrapped_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes wrapped as obb_world, as world or not at all, with rotations in either order of a quaternion or as a matrix, one scale or three."""
