@@ -7,11 +7,31 @@ from pyspark.sql import functions as F
 
 from scenarium.operators import grouped, mesh
 from scenarium.plans.catalog import query, rounded
-from scenarium.plans.derived import BOXES, FACES, POINTS, SHEETS, boxes, faces, points, sheets, table, voxel_points
+from scenarium.plans.derived import BOXES, FACES, POINTS, SHEETS, VOXELS, boxes, faces, points, sheets, table, voxel_points
 from scenarium.plans.scene_catalog import LOOPS
 
 
-@query()
+def _hilbert_sql() -> str:
+    """A clause for each bit and axis: where the bit is set the lower bits of the first axis turn over, else they change places with the axis's."""
+    clauses, last = ["h0 AS (SELECT DISTINCT vx, vy, vz, vx AS a0, vy AS a1, vz AS a2 FROM vox)"], 0
+    for bit in range(9, 0, -1):
+        low = (1 << bit) - 1
+        for i in range(3):
+            now = {0: f"CASE WHEN (a{i} >> {bit}) & 1 = 1 THEN xor(a0, {low}) ELSE xor(a0, xor(a0, a{i}) & {low}) END"}
+            if i:
+                now[i] = f"CASE WHEN (a{i} >> {bit}) & 1 = 1 THEN a{i} ELSE xor(a{i}, xor(a0, a{i}) & {low}) END"
+            clauses.append(f"h{last + 1} AS (SELECT vx, vy, vz, {', '.join(f'{now.get(k, f"a{k}")} AS a{k}' for k in range(3))} FROM h{last})")
+            last += 1
+    gray = "0"
+    for bit in range(9, 0, -1):
+        gray = f"xor({gray}, CASE WHEN (c2 >> {bit}) & 1 = 1 THEN {(1 << bit) - 1} ELSE 0 END)"
+    clauses.append(f"g AS (SELECT vx, vy, vz, a0 AS c0, xor(a1, a0) AS c1, xor(a2, xor(a1, a0)) AS c2 FROM h{last})")
+    clauses.append(f"t AS (SELECT vx, vy, vz, xor(c0, {gray}) AS b0, xor(c1, {gray}) AS b1, xor(c2, {gray}) AS b2 FROM g)")
+    code = " + ".join(f"(((b{i} >> {bit}) & 1) << {3 * bit + 2 - i})" for bit in range(10) for i in range(3))
+    return f"WITH {VOXELS}, {', '.join(clauses)} SELECT vx, vy, vz, CAST({code} AS BIGINT) AS code FROM t"
+
+
+@query(_hilbert_sql())
 def p13b_hilbert(spark: SparkSession, sf: str) -> DataFrame:
     v = voxel_points(spark, sf).select("vx", "vy", "vz").distinct()
     return v.withColumn("code", grouped.hilbert("vx", "vy", "vz"))
