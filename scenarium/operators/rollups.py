@@ -173,13 +173,21 @@ def similarity_fits(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def pull_and_push(points: DataFrame, key: str, label: str, near: float, apart: float) -> DataFrame:
     """Per scene: how far points lie beyond ``near`` of their segment's centroid, averaged over segments, and how much centroids fall short of twice ``apart``, over pairs.
 
-    A scene's pairs of segments are those of its list of labels, which is short beside its points.
+    Only pairs nearer than that add anything; they meet in grid cells of its size, all others only count.
     """
     centre = points.groupBy(key, label).agg(*(F.avg(a).alias(f"m{a}") for a in "xyz"))
     gap = lambda p, q: F.sqrt(sum(((F.col(p.format(a)) - F.col(q.format(a))) ** 2 for a in "xyz"), F.lit(0.0)))
     pull = points.join(centre, [key, label]).groupBy(key, label).agg(F.avg(F.greatest(gap("{}", "m{}") - near, F.lit(0.0))).alias("p")).groupBy(key).agg(F.avg("p").alias("pull"))
-    other = centre.select(key, F.col(label).alias("_other"), *(F.col(f"m{a}").alias(f"o{a}") for a in "xyz"))
-    push = centre.join(other, key).where(F.col(label) < F.col("_other")).groupBy(key).agg(F.avg(F.greatest(2 * apart - gap("m{}", "o{}"), F.lit(0.0))).alias("push"))
+    cells = [f"g{a}" for a in "xyz"]
+    placed = centre.withColumns({f"g{a}": F.floor(F.col(f"m{a}") / (2 * apart)) for a in "xyz"})
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    other = placed.select(key, F.col(label).alias("_other"), *(F.col(f"m{a}").alias(f"o{a}") for a in "xyz"), *cells)
+    for c in cells:
+        other = other.withColumn("_s", F.explode(steps)).withColumn(c, F.col(c) + F.col("_s")).drop("_s")
+    close = placed.join(other, [key, *cells]).where(F.col(label) < F.col("_other"))
+    short = close.groupBy(key).agg(F.sum(F.greatest(2 * apart - gap("m{}", "o{}"), F.lit(0.0))).alias("short"))
+    pairs = centre.groupBy(key).agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs")).where("pairs > 0")
+    push = pairs.join(short, key, "left").select(key, (F.coalesce("short", F.lit(0.0)) / F.col("pairs")).alias("push"))
     return pull.join(push, key)
 
 
