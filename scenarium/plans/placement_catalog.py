@@ -49,7 +49,7 @@ shape AS (SELECT scene_id, object, a.i AS vx, b.i AS vy, c.i AS vz FROM size, ra
 
 @query(f"WITH {PLACED} SELECT scene_id, object, CAST(turn AS INTEGER) AS turn, dx, dy, dz FROM ({' UNION ALL '.join(f'SELECT * FROM kept{n}' for n in range(ROUNDS))})")
 def x01b_placed_objects(spark: SparkSession, sf: str) -> DataFrame:
-    """The boxes as blocks of whole voxels, placed among an sixteenth of the scenes' labels."""
+    """The boxes as blocks of whole voxels, placed among a sixteenth of the scenes' labels."""
     start = voxel_points(spark, sf).where("label % 16 = 0").select("scene_id", "vx", "vy", "vz")
     block = boxes(spark, sf).select("scene_id", F.col("box_id").alias("object"), *(F.col(f"s{a}").cast("long").alias(f"n{a}") for a in "xyz"))
     for a in "xyz":
