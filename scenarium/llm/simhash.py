@@ -145,11 +145,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFr
 
 #: Of the 8 positional bytes of a fingerprint this many are shared by two that meet; bits of both fingerprints in which near copies may differ.
 SHARED, NEAR_BITS = 4, 22
-#: Texts of a posting that are all compared with each other; of more, each is compared with the CENTRAL one nearest to the posting's majority.
-FEW, CENTRAL = 6, 1
+#: Texts of a posting that are all compared with each other at once; of more, each is compared with the CENTRAL one nearest to the posting's
+#: majority first, and then, BLOCK by BLOCK texts at a time, with all that it isn't connected with.
+FEW, CENTRAL, BLOCK = 6, 1, 2048
 #: Nodes of a task that are posted together, and bytes of postings of one bucket, about.
 FLUSH, BUCKET_BYTES = 1 << 15, 8 << 20
-_POSTED = np.dtype([("key", "<u8"), ("node", "<i8"), ("off", "u1"), ("many", "u1")])
+_POSTED = np.dtype([("key", "<u8"), ("node", "<i8"), ("off", "u1")])
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _CHOICES = [list(c) for c in combinations(range(8), SHARED)]
@@ -174,23 +175,23 @@ def word_prints(words: Words, rows: int) -> np.ndarray:
     return out
 
 
-def compared(posted: np.ndarray, part: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of the nodes of each posting; which entries are of crowded postings; which of those stand for the rest elsewhere.
+def compared(posted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First pairs of the nodes of each posting, and which entries are of crowded postings.
 
     ``posted`` is in the order of key, distance from the posting's majority, and node. Postings of FEW nodes give all
-    their pairs (if ``part``, others see to that); of more, each node is paired with the CENTRAL ones, so that copies of
-    one text meet it or those nearest to it.
+    their pairs; of more, each node is paired with the CENTRAL ones, so that copies of one text meet it or those
+    nearest to it. ``crowd_pairs`` has the others.
     """
     n = np.arange(len(posted))
     group = np.ones(len(posted), bool)
     group[1:] = posted["key"][1:] != posted["key"][:-1]
     begin = np.flatnonzero(group)
     size = np.diff(np.append(begin, len(posted)))
-    crowd = np.repeat((size > FEW) | (np.maximum.reduceat(posted["many"], begin) > 0), size) if len(posted) else np.zeros(0, bool)
+    crowd = np.repeat(size > FEW, size)
     k = n - np.repeat(begin, size)
     pairs = []
     for d in range(1, FEW):
-        late = np.flatnonzero(~crowd & (k >= d) & (not part))
+        late = np.flatnonzero(~crowd & (k >= d))
         pairs.append((late - d, late))
     for r in range(CENTRAL):
         late = np.flatnonzero(crowd & (k > r))
@@ -199,11 +200,11 @@ def compared(posted: np.ndarray, part: bool) -> tuple[np.ndarray, np.ndarray, np
     u, v = posted["node"][a], posted["node"][b]
     out = np.zeros(len(a), _PAIR)
     out["a"], out["b"] = np.minimum(u, v), np.maximum(u, v)
-    return np.unique(out[u != v]), crowd, crowd & (k < CENTRAL)
+    return np.unique(out[u != v]), crowd
 
 
 def _postings(nodes: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """Each node under every choice of SHARED positional bytes of either fingerprint, in order, with its distance from the posting's majority."""
+    """Each node under every choice of SHARED positional bytes of either fingerprint, in order, with its distance from the majority of those posted with it."""
     raw = np.ascontiguousarray(prints).view(np.uint8).reshape(len(nodes), 2, 8)
     keys = np.stack([raw[:, n, c].copy().view("<u4")[:, 0].astype(np.uint64) | np.uint64((n * len(_CHOICES) + i) << 32) for n in range(2) for i, c in enumerate(_CHOICES)], 1)
     out = np.zeros(keys.size, _POSTED)
@@ -225,8 +226,15 @@ def _in_order(posted: np.ndarray) -> np.ndarray:
     return posted[np.lexsort((posted["node"], posted["off"], posted["key"]))]
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: nodes that share SHARED positional bytes of a fingerprint and differ in at most NEAR_BITS of all."""
+def _differ(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the bits in which both fingerprints differ, if NEAR_BITS at most."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"))
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", differ.alias("bits")).where(F.col("bits") <= NEAR_BITS)
+
+
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, bits)``, a < b, and ``(key, node)``: first pairs of nodes that share SHARED positional bytes of a fingerprint and differ in at most NEAR_BITS of all; the postings that have more."""
     size = max(1, nodes.count() * 2 * len(_CHOICES) * _POSTED.itemsize)
     buckets = -(-size // BUCKET_BYTES)
 
@@ -235,25 +243,52 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, FLUSH):
                 own = batch.slice(at, FLUSH)
                 prints = np.stack([own.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], 1)
-                posted = _in_order(_postings(own.column("node").to_numpy(), prints))
-                pairs, crowd, stands = compared(posted, part=True)
-                posted["many"] = crowd
-                up = posted[~crowd | stands]
-                yield pack_rows(up[np.argsort(up["node"], kind="stable")], "key", buckets, 0)
-                yield pack_rows(pairs, "b", buckets, 1)
+                posted = _postings(own.column("node").to_numpy(), prints)
+                yield pack_rows(posted[np.argsort(posted["node"], kind="stable")], "key", buckets, 0)
 
     def meet(table: pa.Table) -> pa.Table:
-        pairs = compared(_in_order(unpack_rows(table, _POSTED, 0)), part=False)[0]
-        both = np.unique(np.concatenate([pairs, unpack_rows(table, _PAIR, 1)]))
-        return pa.table({"a": both["a"], "b": both["b"]})
+        posted = _in_order(unpack_rows(table, _POSTED, 0))
+        pairs, crowd = compared(posted)
+        kind = np.repeat([False, True], [len(pairs), crowd.sum()])
+        own = posted[crowd]
+        return pa.table({"crowd": kind, "a": np.concatenate([pairs["a"], own["key"].view(np.int64)]), "b": np.concatenate([pairs["b"], own["node"]])})
 
     # in an order of their own, so that a run finds what the last one found
     ordered = nodes.repartition(max(1, -(-size // (8 * BUCKET_BYTES))), F.xxhash64("node")).sortWithinPartitions("node")
     dealt = ordered.select("node", "f1", "f2").mapInArrow(post, "bucket long, kind int, rows binary")
-    pairs = dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"))
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", differ.alias("bits")).where(F.col("bits") <= NEAR_BITS)
+    met = materialize(dealt.groupBy("bucket").applyInArrow(meet, "crowd boolean, a long, b long"), "met")
+    return _differ(nodes, met.where("not crowd").select("a", "b").distinct()), met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("node"))
+
+
+def crowd_pairs(crowds: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: all nodes of a posting that differ in at most NEAR_BITS of both fingerprints and have not one root.
+
+    A posting is cut into blocks of about BLOCK nodes, and each pair of blocks is a group of its own.
+    """
+    rows = crowds.join(placed.select("node", "f1", "f2", "root"), "node")
+    several = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "m")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    dealt = rows.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "f1", "f2", "root")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
+        f1, f2 = (table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2"))
+        x, y = np.flatnonzero(own == table.column("i")[0].as_py()), np.flatnonzero(own == table.column("j")[0].as_py())
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            bits = np.bitwise_count(f1[part][:, None] ^ f1[y]) + np.bitwise_count(f2[part][:, None] ^ f2[y])
+            u, v = np.nonzero((bits <= NEAR_BITS) & (root[part][:, None] != root[y]))
+            a.append(node[part[u]])
+            b.append(node[y[v]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        out = np.zeros(len(a), _PAIR)
+        out["a"], out["b"] = np.minimum(a, b), np.maximum(a, b)
+        out = np.unique(out)
+        return pa.table({"a": out["a"], "b": out["b"]})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -262,7 +297,8 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
     ``texts`` has ``digest``, ``doc_id`` and ``text``; texts of one digest are the same. Two texts are near copies
     if the Jaccard similarity of their sets of ``words``-word shingles reaches ``similarity``. Candidates come from
     the byte-position index over two fingerprints of the texts' distinct words, and are verified exactly: first
-    each text's nearest, then, for those that have found none, four times as many each round, until all are through.
+    each text's nearest, then, for those that have found none, four times as many each round, until all are through; at last
+    all candidates that were passed over, those of crowded postings too, unless they are connected already.
     ``component`` is a number; ``least`` the smallest doc_id of the digest.
     """
 
@@ -275,8 +311,9 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
     nodes = nodes.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
     nodes = materialize(nodes.select("*", F.col("digest").alias("node")), "nodes")
     nearest = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
-    pairs = materialize(candidate_pairs(nodes).withColumn("nth", nearest), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("digest", "node")
+    pairs, crowds = candidate_pairs(nodes)
+    pairs = materialize(pairs.withColumn("nth", nearest), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowds.select("node")).distinct().join(nodes, "node").select("digest", "node")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -290,6 +327,7 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
 
     sets = texts.select("digest", "text").join(wanted, "digest").select("node", "text").mapInArrow(shingled, "node long, shingles binary")
     sets = materialize(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+    sizes = sets.select("node", F.octet_length("shingles").alias("n"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,16 +338,28 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links, rest, low = None, pairs, 1
+    def near(some: DataFrame) -> DataFrame:
+        side = lambda x, c: sets.select(F.col("node").alias(x), F.col("shingles").alias(c))
+        return materialize(some.select("a", "b").join(side("a", "u"), "a").join(side("b", "v"), "b").select("a", "b", "u", "v").mapInArrow(verified, "a long, b long"), "near")
+
+    links, rest, low, over = None, pairs, 1, []
     most = pairs.agg(F.max("nth").alias("n")).first()["n"] or 0
     while low <= most:
         next_ = 4 * low + 1
-        now = rest.where(F.col("nth").between(low, next_ - 1)).select("a", "b")
-        now = now.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
-        new = materialize(now.select("a", "b", "u", "v").mapInArrow(verified, "a long, b long"), "near")
+        new = near(rest.where(F.col("nth").between(low, next_ - 1)))
         links, low = new if links is None else links.unionByName(new), next_
-        rest = rest.where(F.col("nth") >= next_).join(new.select("b").distinct(), "b", "left_anti")
+        later, found = rest.where(F.col("nth") >= next_), new.select("b").distinct()
+        over.append(later.join(found, "b", "left_semi").select("a", "b"))
+        rest = later.join(found, "b", "left_anti")
     if links is None:
         return nodes.select("digest", F.col("node").alias("component"), "least")
     roots = connected_components(links, "a", "b")
+    placed = materialize(nodes.join(roots, "node", "left").select("node", "f1", "f2", F.coalesce("component", "node").alias("root")), "placed")
+    passed = crowd_pairs(crowds, placed).join(pairs, ["a", "b"], "left_anti")
+    for some in over:
+        passed = passed.unionByName(some)
+    side = lambda x: placed.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")).join(sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), x)
+    open_ = passed.join(side("a"), "a").join(side("b"), "b").where((F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
+    links = links.unionByName(near(open_))
+    roots = connected_components(links, "a", "b")
     return nodes.join(roots, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "least")

@@ -96,3 +96,16 @@ def test_near_copies_go_and_their_first_stays(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "aa", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, None).collect()}
     assert want <= kept and len(kept - want) <= 0.02 * (len(texts) - len(want))
+
+
+def test_near_copies_meet_in_a_crowd_of_texts_of_the_same_words(spark):
+    rng = random.Random(5)
+    words, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(20):  # one fingerprint, but no shingle in common
+        own = rng.sample(words, 120)
+        copy = list(own)
+        copy[60] = rng.choice(words)
+        texts += [own, copy]
+    docs = spark.createDataFrame([(i, " ".join(t), "aa", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, None).collect()}
+    assert kept == set(range(0, 40, 2))
