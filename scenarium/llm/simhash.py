@@ -148,6 +148,8 @@ SHARED, NEAR_BITS = 4, 22
 #: Texts of a posting that are all compared with each other at once; of more, each is compared with the CENTRAL one nearest to the posting's
 #: majority first, and then, BLOCK by BLOCK texts at a time, with all that it isn't connected with.
 FEW, CENTRAL, BLOCK = 6, 1, 2048
+#: Bins of a text's shingles: what two texts have in common bin by bin bounds what they share. Counts of a longer text may not fit.
+BINS, FIT = 128, 65_535
 #: Nodes of a task that are posted together, and bytes of postings of one bucket, about.
 FLUSH, BUCKET_BYTES = 1 << 15, 8 << 20
 _POSTED = np.dtype([("key", "<u8"), ("node", "<i8"), ("off", "u1")])
@@ -260,19 +262,21 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _differ(nodes, met.where("not crowd").select("a", "b").distinct()), met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("node"))
 
 
-def crowd_pairs(crowds: DataFrame, placed: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: all nodes of a posting that differ in at most NEAR_BITS of both fingerprints and have not one root.
+def crowd_pairs(crowds: DataFrame, placed: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``, a < b: all nodes of a posting that differ in at most NEAR_BITS of both fingerprints, have not one root, and may reach the similarity.
 
-    A posting is cut into blocks of about BLOCK nodes, and each pair of blocks is a group of its own.
+    A posting is cut into blocks of about BLOCK nodes, and each pair of blocks is a group of its own. Pairs that share too few
+    shingles even if all of a bin were the same don't leave it.
     """
     rows = crowds.join(placed.select("node", "f1", "f2", "root"), "node")
     several = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "m")
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = rows.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "f1", "f2", "root")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "f1", "f2", "root").join(bins, "node")
 
     def run(table: pa.Table) -> pa.Table:
-        node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
+        node, root, own, size = (table.column(c).to_numpy() for c in ("node", "root", "own", "n"))
+        held = np.frombuffer(b"".join(table.column("bins").to_pylist()), "<u2").reshape(-1, BINS)
         f1, f2 = (table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2"))
         x, y = np.flatnonzero(own == table.column("i")[0].as_py()), np.flatnonzero(own == table.column("j")[0].as_py())
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -280,8 +284,13 @@ def crowd_pairs(crowds: DataFrame, placed: DataFrame) -> DataFrame:
             part = x[at : at + 256]
             bits = np.bitwise_count(f1[part][:, None] ^ f1[y]) + np.bitwise_count(f2[part][:, None] ^ f2[y])
             u, v = np.nonzero((bits <= NEAR_BITS) & (root[part][:, None] != root[y]))
-            a.append(node[part[u]])
-            b.append(node[y[v]])
+            u, v = part[u], y[v]
+            for k in range(0, len(u), 1 << 15):
+                u_, v_ = u[k : k + (1 << 15)], v[k : k + (1 << 15)]
+                both = np.where(np.maximum(size[u_], size[v_]) > FIT, np.minimum(size[u_], size[v_]), np.minimum(held[u_], held[v_]).sum(1, dtype=np.int64))
+                may = both >= similarity * (size[u_] + size[v_] - both)
+                a.append(node[u_[may]])
+                b.append(node[v_[may]])
         a, b = np.concatenate(a), np.concatenate(b)
         out = np.zeros(len(a), _PAIR)
         out["a"], out["b"] = np.minimum(a, b), np.maximum(a, b)
@@ -319,15 +328,17 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
         for batch in slices(batches):
             own = words_of(*raw_bytes(batch.column("text")))
             code, whole = shingles_of(own, words)
-            sets = []
+            sets, bins = [], []
             for a, b in zip(own.first[:-1].tolist(), own.first[1:].tolist(), strict=True):
                 inside = code[a:b][whole[a:b]]
-                sets.append(np.unique(inside if len(inside) else mix(own.code[a:b]).sum(keepdims=True)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                each = np.unique(inside if len(inside) else mix(own.code[a:b]).sum(keepdims=True))
+                sets.append(each.tobytes())
+                bins.append(np.bincount((each % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary()), pa.array(bins, pa.binary())], ["node", "shingles", "bins"])
 
-    sets = texts.select("digest", "text").join(wanted, "digest").select("node", "text").mapInArrow(shingled, "node long, shingles binary")
-    sets = materialize(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
-    sizes = sets.select("node", F.octet_length("shingles").alias("n"))
+    sets = texts.select("digest", "text").join(wanted, "digest").select("node", "text").mapInArrow(shingled, "node long, shingles binary, bins binary")
+    sets = materialize(sets.groupBy("node").agg(F.min(F.struct("shingles", "bins")).alias("x")).select("node", "x.*"), "shingles")
+    sizes = sets.select("node", F.expr("octet_length(shingles) div 8").alias("n"), "bins")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +366,7 @@ def near_copy_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8)
         return nodes.select("digest", F.col("node").alias("component"), "least")
     roots = connected_components(links, "a", "b")
     placed = materialize(nodes.join(roots, "node", "left").select("node", "f1", "f2", F.coalesce("component", "node").alias("root")), "placed")
-    passed = crowd_pairs(crowds, placed).join(pairs, ["a", "b"], "left_anti")
+    passed = crowd_pairs(crowds, placed, sizes, similarity).join(pairs, ["a", "b"], "left_anti")
     for some in over:
         passed = passed.unionByName(some)
     side = lambda x: placed.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")).join(sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), x)
