@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from scenarium.llm.simhash import near_copy_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 KINDS = {float: "double", str: "string", int: "long", bool: "boolean"}
@@ -109,3 +110,50 @@ def test_near_copies_meet_in_a_crowd_of_texts_of_the_same_words(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "aa", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, None).collect()}
     assert kept == set(range(0, 40, 2))
+
+
+def rows_of_joins(spark, job):
+    """Most rows that a join of ``job`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    before = {e.executionId() for e in listed(store.executionsList())}
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for e in listed(store.executionsList()):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            for node in listed(store.planGraph(e.executionId()).allNodes()):
+                for metric in listed(node.metrics()) if "Join" in node.name() else ():
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def crowd_of_orders(rng, orders):
+    """Texts of the same words, which share all postings, in families of three near copies."""
+    words, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(orders):
+        own = rng.sample(words, 120)
+        texts.append(own)
+        for at in (40, 80):
+            copy = list(own)
+            copy[at] = rng.choice(words)
+            texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def test_joins_make_few_rows_for_each_text_of_a_crowd(spark):
+    texts = crowd_of_orders(random.Random(6), 60)
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    kept = set()
+    assert rows_of_joins(spark, lambda: kept.update(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, None).collect())) <= 20 * len(texts)
+    assert kept == set(range(0, len(texts), 3))
+
+
+@pytest.mark.parametrize("block", [8, 40, 2048])
+def test_blocks_of_a_crowd_are_all_compared(spark, block):
+    texts = crowd_of_orders(random.Random(7), 25)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "digest long, doc_id long, text string").repartition(3)
+    found = {r.digest: r.component for r in near_copy_groups(docs, block=block).collect()}
+    assert found == {i: i - i % 3 for i in range(len(texts))}
