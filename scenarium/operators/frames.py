@@ -61,11 +61,16 @@ def patch_mean(pixels: DataFrame, keys: list[str], step: int) -> DataFrame:
     return pixels.groupBy(*keys, *patch).agg(F.avg(F.when(valid_depth(F.col("depth"), 1000.0), F.col("depth"))).alias("depth"))
 
 
-def proportional_depth(pixels: DataFrame, keys: list[str], value: str = "p") -> DataFrame:
-    """1 / abs(p) over its frame's median of finite values."""
+def proportional_depth(pixels: DataFrame, keys: list[str], value: str = "p", infinite: bool = False) -> DataFrame:
+    """1 / abs(p) over its frame's median of finite values; with ``infinite`` of all values, as in SQL, where the inverse of 0 is one of them."""
     inverse = F.when(F.col(value) != 0, 1 / F.abs(F.col(value)))
-    mid = quantiles(pixels, keys, {"_m": inverse}, [0.5]).withColumn("_m", F.col("_m")[0])
-    return pixels.join(mid, keys).withColumn("depth", inverse / F.col("_m")).drop("_m")
+    if infinite:
+        inverse = F.when(F.col(value) == 0, float("inf")).otherwise(inverse)
+    mid = quantiles(pixels, keys, {"_m": inverse}, [0.5], infinite=infinite).withColumn("_m", F.col("_m")[0])
+    share = inverse / F.col("_m")
+    if infinite:
+        share = F.when((F.col("_m") != 0) | inverse.isNull(), share).when(inverse > 0, inverse * float("inf")).otherwise(float("nan"))
+    return pixels.join(mid, keys).withColumn("depth", share).drop("_m")
 
 
 def lattice_normals(points: DataFrame, keys: list[str]) -> DataFrame:

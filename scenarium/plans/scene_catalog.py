@@ -47,7 +47,7 @@ def p02b_patch_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {OBSERVATIONS}, i AS (SELECT *, 1 / abs(depth) AS i FROM obs), m AS (SELECT view, quantile_cont(i, 0.5) AS m FROM i GROUP BY view) SELECT row_id, round(i / m, 6) AS depth FROM i JOIN m USING (view)")
 def p05_proportional_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(frames.proportional_depth(observations(spark, sf), ["view"], "depth"), "depth").select("row_id", "depth")
+    return rounded(frames.proportional_depth(observations(spark, sf), ["view"], "depth", infinite=True), "depth").select("row_id", "depth")
 
 
 @query(f"""WITH {PIXELS}, ok AS (SELECT frame, v, u, depth FROM px WHERE {OK.format(50)}), c AS (SELECT p.frame, p.v, p.u, o.depth, (o.v - p.v) * (o.v - p.v) + (o.u - p.u) * (o.u - p.u) AS d2 FROM px p JOIN ok o ON o.frame = p.frame AND NOT {OK.format(50).replace('depth', 'p.depth')}),

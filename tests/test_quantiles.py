@@ -3,11 +3,16 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from scenarium.operators import octree, quantiles
+from scenarium.operators.frames import proportional_depth
 from scenarium.operators.quantiles import quantiles as select_quantiles
+from scenarium.plans.catalog import ORACLES
+from scenarium.plans.derived import OBSERVATIONS
+from scenarium.plans import scene_catalog  # noqa: F401  registers its queries
 
 PROBS = [0.0, 0.01, 0.4, 0.5, 0.95, 1.0]
 
@@ -93,3 +98,18 @@ def test_octree_streams(spark, block):
     assert got == [(s, n, d) for s in scenes for n, d in enumerate(plain_deltas(scenes[s], levels))]
     back = octree.from_parent_deltas(deltas, frame, ["s"], "code", levels).collect()
     assert sorted(map(tuple, back)) == sorted((s, c, v) for s, own in scenes.items() for c, v in own.items())
+
+
+def test_depth_of_zero_is_infinite_and_counts(spark):
+    duck, inf = duckdb.connect(), math.inf
+    views = {0: [0.0, 2.0, 4.0], 1: [0.0, 0.0, 5.0], 2: [1.0, 0.0], 3: [inf, inf, 2.0], 4: [inf, 3.0, None, 0.0, 7.0], 5: [math.nan, 1.0, 2.0, 4.0], 6: [0.0], 7: [-2.0, 8.0, 0.0, 3.0]}
+    rows = [(g, 10 * g + i, v) for g, own in views.items() for i, v in enumerate(own)]
+    duck.execute("create table obs (view int, row_id int, depth double)")
+    duck.executemany("insert into obs values (?, ?, ?)", rows)
+    sql = ORACLES["p05_proportional_depth"].replace(f"WITH {OBSERVATIONS}, i AS", "WITH i AS")
+    want = {r: d for r, d in duck.execute(sql).fetchall()}
+    got = proportional_depth(spark.createDataFrame(rows, "view int, row_id int, depth double").repartition(3), ["view"], "depth", infinite=True)
+    same = {r["row_id"]: r["depth"] for r in got.collect()}
+    assert set(same) == set(want)
+    for k, v in want.items():
+        assert (same[k] is None and v is None) or np.isclose(same[k], v, rtol=1e-5, equal_nan=True), (k, same[k], v)
