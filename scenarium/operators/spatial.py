@@ -158,14 +158,17 @@ def near_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, by_depth: bool = False, background: int = 0) -> DataFrame:
     """``(point_id, box_id)``: the box that a point is in; of several the most confident, then the one it lies deepest in.
 
-    ``by_depth`` looks at the depth first. Points outside of all boxes get ``background``. The choice is a minimum, so
-    that it is combined before the shuffle.
+    ``by_depth`` looks at the depth first. Points outside of all boxes get ``background``. Equal boxes are one, of which the best can win, and points at
+    one place look together, so that pairs are of distinct places and boxes only. The choice is a minimum, combined before the shuffle.
     """
-    near = near_boxes(points.select(*keys, "point_id", *AXES), boxes.select(*keys, "box_id", "confidence", *(f"{n}{a}" for n in "cs" for a in AXES)), keys, cell)
+    kinds = boxes.groupBy(*keys, *(f"{n}{a}" for n in "cs" for a in AXES)).agg(F.min(F.struct((-F.col("confidence")).alias("doubt"), "box_id")).alias("b"))
+    near = near_boxes(points.select(*keys, *AXES).distinct(), kinds.select("*", "b.doubt", "b.box_id").drop("b"), keys, cell)
     radius = F.greatest(*(F.abs(F.col(a) - F.col(f"c{a}")) / F.greatest(F.col(f"s{a}") / 2, F.lit(1e-12)) for a in AXES))
-    pairs = near.withColumn("radius", radius).where(F.col("radius") <= 1 + 1e-8).withColumn("doubt", -F.col("confidence"))
-    won = pairs.groupBy("point_id").agg(F.min(F.struct(*(("radius", "doubt") if by_depth else ("doubt", "radius")), "box_id")).alias("b")).select("point_id", "b.box_id")
-    return points.select("point_id").join(won, "point_id", "left").select("point_id", F.coalesce("box_id", F.lit(background)).alias("box_id"))
+    pairs = near.withColumn("radius", radius).where(F.col("radius") <= 1 + 1e-8)
+    won = pairs.groupBy(*keys, *AXES).agg(F.min(F.struct(*(("radius", "doubt") if by_depth else ("doubt", "radius")), "box_id")).alias("b"))
+    found = points.select("point_id", *keys, *AXES).join(materialize(won, "won"), [*keys, *AXES], "left").select("point_id", "b")
+    own = F.when(F.col("point_id").isNotNull(), F.min("b").over(W.partitionBy("point_id")))  # rows of one id have one box
+    return found.select("point_id", F.coalesce(own["box_id"], F.lit(background)).alias("box_id"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], cell: float) -> DataFrame:

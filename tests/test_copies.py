@@ -31,6 +31,17 @@ def cloud(spark):
     return points, boxes
 
 
+@pytest.mark.parametrize("by_depth", [False, True])
+def test_equal_boxes_are_looked_at_once(spark, met, by_depth):
+    points, boxes = cloud(spark)
+    points = points.unionByName(spark.createDataFrame([(0, 1, 1, 1.0, 1.0, 1.0)], points.schema))  # point 1 again, elsewhere: its rows have one box
+    got = {(r["point_id"], r["box_id"]) for r in spatial.points_in_boxes(points, boxes, ["s"], 1.0, by_depth, -1).collect()}
+    held = [(max(abs(1.0 - r["cx"]) / (r[f"s{a}"] / 2) for a in "xyz"), -r["confidence"], r["box_id"]) for r in boxes.collect()]
+    best = min(held if by_depth else ((d, r, b) for r, d, b in held))[2]
+    assert got == {(i, best if i % 2 == 0 or i == 1 else -1) for i in range(1000)}
+    assert max(met) <= 2 * 3 * 27  # 450,000 before
+
+
 def test_overlaps_of_many_boxes_at_once(spark):
     rng = np.random.default_rng(5)
     n, eye = 400, np.eye(3).ravel()
