@@ -438,19 +438,31 @@ def _clip(corners: np.ndarray, size: np.ndarray, normal: np.ndarray, offset: np.
 
 def box_coverage(points: DataFrame, boxes: DataFrame, keys: list[str], instance: str, cell: float, least: int) -> DataFrame:
     """How well boxes hold the instances of ``least`` points or more: recall of their centres and of 10 % and 50 % of their points by one box, mean best share, and the boxes' mean share of their commonest instance."""
-
-    def within(rows: DataFrame) -> DataFrame:
-        pairs = near_boxes(rows, boxes, keys, cell)
-        for a in AXES:
-            pairs = pairs.where(F.abs(F.col(a) - F.col(f"c{a}")) <= F.col(f"s{a}") / 2)
-        return pairs
-
+    sides = [f"{n}{a}" for n in "cs" for a in AXES]
+    kinds = materialize(boxes.groupBy(*keys, *sides).agg(F.count("*").alias("_boxes"), F.min("box_id").alias("box_id")), "kinds")
     own = points.groupBy(*keys, instance).agg(F.count("*").alias("n"), *(F.avg(a).alias(a) for a in AXES)).where(F.col("n") >= least)
-    held = within(points.select(*keys, instance, *AXES)).groupBy(*keys, instance, "box_id").agg(F.count("*").alias("k"))
+    held = materialize(held_points(points, kinds, keys, instance, cell), "held")
     best = held.groupBy(*keys, instance).agg(F.max("k").alias("k"))
-    centred = within(own.select(*keys, instance, *AXES)).select(*keys, instance, F.lit(1).alias("hit")).distinct()
+    centred = _within(own.select(*keys, instance, *AXES), kinds, keys, cell).select(*keys, instance, F.lit(1).alias("hit")).distinct()
     rows = own.join(best, [*keys, instance], "left").join(centred, [*keys, instance], "left").withColumn("share", F.coalesce("k", F.lit(0)) / F.col("n"))
     out = rows.groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("centre_recall"), *(F.avg((F.coalesce("k", F.lit(0)) >= s * F.col("n")).cast("int")).alias(n) for n, s in (("recall10", 0.1), ("recall50", 0.5))), F.avg("share").alias("best"))
     pure = held.groupBy(*keys, "box_id").agg((F.max("k") / F.sum("k")).alias("purity"))
-    pure = boxes.select(*keys, "box_id").join(pure, [*keys, "box_id"], "left").groupBy(*keys).agg(F.avg(F.coalesce("purity", F.lit(0.0))).alias("purity"))
+    pure = kinds.select(*keys, "box_id", "_boxes").join(pure, [*keys, "box_id"], "left").groupBy(*keys).agg((F.sum(F.coalesce("purity", F.lit(0.0)) * F.col("_boxes")) / F.sum("_boxes")).alias("purity"))
     return out.join(pure, keys)
+
+
+def _within(rows: DataFrame, boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    pairs = near_boxes(rows, boxes, keys, cell)
+    for a in AXES:
+        pairs = pairs.where(F.abs(F.col(a) - F.col(f"c{a}")) <= F.col(f"s{a}") / 2)
+    return pairs
+
+
+def held_points(points: DataFrame, boxes: DataFrame, keys: list[str], instance: str, cell: float) -> DataFrame:
+    """``(keys, instance, box_id, k)``: how many points of an instance a box holds; boxes that hold none of it are left out.
+
+    Points at one place look together; give equal boxes once, as all of them hold the same.
+    """
+    spots = materialize(points.groupBy(*keys, instance, *AXES).agg(F.count("*").alias("_times")), "spots")
+    pairs = _within(spots.select(*keys, *AXES).distinct(), boxes, keys, cell).select(*keys, *AXES, "box_id")
+    return spots.join(pairs, [*keys, *AXES]).groupBy(*keys, instance, "box_id").agg(F.sum("_times").alias("k"))

@@ -42,6 +42,19 @@ def test_equal_boxes_are_looked_at_once(spark, met, by_depth):
     assert max(met) <= 2 * 3 * 27  # 450,000 before
 
 
+def test_coverage_counts_each_kind_of_box_once(spark, met):
+    points, boxes = cloud(spark)
+    row = spatial.box_coverage(points, boxes, ["s"], "label", 1.0, 20).first()
+    labels = {}
+    for r in points.collect():
+        labels.setdefault(r["label"], []).append(r["x"] == 1.0)
+    share = [sum(v) / len(v) for v in labels.values()]
+    inside = sum(labels.values(), [])
+    assert row["best"] == pytest.approx(np.mean(share)) and row["recall50"] == np.mean([s >= 0.5 for s in share])
+    assert row["purity"] == pytest.approx(max(map(sum, labels.values())) / sum(inside))
+    assert max(met) <= 2 * 3 * 27
+
+
 def test_overlaps_of_many_boxes_at_once(spark):
     rng = np.random.default_rng(5)
     n, eye = 400, np.eye(3).ravel()
