@@ -43,14 +43,16 @@ n AS (SELECT box_id, arg_min(other, (d, other)) AS other FROM c WHERE d <= 2 AND
 def j23_replacement(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest kept box within a radius and a ratio of size, else 0; candidates meet in neighbouring cells."""
     b = boxes(spark, sf).select("box_id", "scene_id", *(F.col(f"c{a}").alias(a) for a in AXES), (F.col("sx") * F.col("sy")).alias("area")).withColumn("half", F.floor(F.col("box_id") / 8) % 2)
-    lost, kept = b.where("half = 0"), b.where("half = 1")
-    at = lost.select("box_id", "scene_id", *AXES, "area", *_cell(2.0)).withColumn("n", _neighbour_cells())
-    at = at.select("box_id", "scene_id", *AXES, "area", *((F.col(f"g{a}") + F.col(f"n.{i}")).alias(f"g{a}") for a, i in zip(AXES, "ijk", strict=True)))
-    there = kept.select("scene_id", F.col("box_id").alias("other"), *(F.col(a).alias(f"t{a}") for a in AXES), F.col("area").alias("tarea"), *_cell(2.0))
+    # boxes of one place and area are one on either side: of the kept ones the least name, and all lost ones get the same
+    kind = ["scene_id", *AXES, "area"]
+    lost, kept = b.where("half = 0"), b.where("half = 1").groupBy(*kind).agg(F.min("box_id").alias("other"))
+    at = lost.select(*kind).distinct().select(*kind, *_cell(2.0)).withColumn("n", _neighbour_cells())
+    at = at.select(*kind, *((F.col(f"g{a}") + F.col(f"n.{i}")).alias(f"g{a}") for a, i in zip(AXES, "ijk", strict=True)))
+    there = kept.select("scene_id", "other", *(F.col(a).alias(f"t{a}") for a in AXES), F.col("area").alias("tarea"), *_cell(2.0))
     d = F.sqrt(sum(((F.col(a) - F.col(f"t{a}")) * (F.col(a) - F.col(f"t{a}")) for a in AXES), F.lit(0.0)))
     pairs = at.join(there, ["scene_id", *(f"g{a}" for a in AXES)]).withColumn("d", d).where((F.col("d") <= 2) & (F.col("area") / F.col("tarea")).between(0.5, 2))
-    best = pairs.groupBy("box_id").agg(F.min(F.struct("d", "other")).alias("b"))
-    return lost.join(best, "box_id", "left").select("box_id", F.coalesce("b.other", F.lit(0)).alias("replacement"))
+    best = pairs.groupBy(*kind).agg(F.min(F.struct("d", "other")).alias("b"))
+    return lost.join(best, kind, "left").select("box_id", F.coalesce("b.other", F.lit(0)).alias("replacement"))
 
 
 @query(f"WITH {BOXES} SELECT a.scene_id, round(sum(a.confidence * abs(a.cx - b.cx)) / sum(a.confidence), 5) AS position, round(avg(CASE WHEN abs(a.sx - b.sx) < 1.5 THEN 1.0 ELSE 0 END), 6) AS scale_hits FROM boxes a JOIN boxes b ON b.box_id = a.box_id + 8 GROUP BY a.scene_id")
