@@ -24,29 +24,31 @@ def place(shapes: DataFrame, occupied: DataFrame, keys: list[str], seed: str, re
     ``shapes`` are the objects' voxels (keys, object, vx, vy, vz from 0), ``occupied`` the scenes'. In each round every object without a place draws one
     within the grid, its bottom on one of the lowest ``storeys`` levels. It stays if no voxel of it is taken, and at least the share ``support`` of its bottom
     stands on the ground or on taken voxels; of objects that would meet each other, one stays that has the least name in every voxel. A scene takes
-    ``most`` objects, first come, then by name. Names are numbers. Rounds are joins and counts over voxels; objects are never compared with each other one by one.
+    ``most`` objects, first come, then by name. Names are numbers. Rounds are joins and counts over voxels; objects are never compared with each other one by one,
+    only those that stand look for collisions, and the objects of a scene that has taken all it may draw no more.
     """
-    shapes = materialize(shapes.select(*keys, F.col("object").cast("long").alias("object"), *XYZ), "shapes")
-    taken = materialize(occupied.select(*keys, *XYZ).distinct(), "taken")
     one = [*keys, "object"]
-    open_ = shapes.groupBy(*one).agg(*((F.max(v) + 1).alias(f"size_{v}") for v in XYZ)).where(F.greatest(*(f"size_{v}" for v in XYZ)) <= resolution)
+    taken = materialize(occupied.select(*keys, *XYZ).distinct(), "taken")
+    named = shapes.select(*keys, F.col("object").cast("long").alias("object"), *XYZ)
+    forms = named.groupBy(*one).agg(F.collect_list(F.struct(*XYZ)).alias("_form"), *((F.max(v) + 1).alias(f"size_{v}") for v in XYZ))
+    open_ = materialize(forms.where(F.greatest(*(f"size_{v}" for v in XYZ)) <= resolution), "shapes")
     found: list[DataFrame] = []
     for turn in range(rounds):
         free = lambda v: F.lit(resolution) - F.col(f"size_{v}") + 1
         choices = {"vx": free("vx"), "vy": free("vy"), "vz": F.least(free("vz"), F.lit(storeys))}
-        drawn = open_.select(*one, *(draw(seed, F.col("object"), turn, v, n).alias(f"d{v[1]}") for v, n in choices.items()))
-        moved = shapes.withColumn("_bottom", F.col("vz") == 0).join(drawn, one)
-        moved = materialize(moved.select(*one, "dx", "dy", "dz", "_bottom", *((F.col(v) + F.col(f"d{v[1]}")).alias(v) for v in XYZ)), "moved")
-        hit = taken.withColumn("_hit", F.lit(1))
-        under = taken.select(*keys, "vx", "vy", (F.col("vz") + 1).alias("vz"), F.lit(1).alias("_under"))
-        met = moved.join(hit, [*keys, *XYZ], "left").join(under, [*keys, *XYZ], "left")
-        held = F.count_if(F.col("_bottom") & ((F.col("vz") == 0) | F.col("_under").isNotNull()))
-        tried = met.groupBy(*one, "dx", "dy", "dz").agg(F.count("_hit").alias("hits"), held.alias("held"), F.count_if("_bottom").alias("bottom"))
-        fit = tried.where((F.col("hits") == 0) & (F.col("held") >= support * F.col("bottom"))).select(*one, "dx", "dy", "dz")
-        own = moved.join(fit.select(*one), one, "left_semi").select(*one, *XYZ)
+        drawn = open_.select(*one, "_form", *(draw(seed, F.col("object"), turn, v, n).alias(f"d{v[1]}") for v, n in choices.items()))
+        at = lambda form: F.inline(F.transform(form, lambda p: F.struct(*((p[v] + F.col(f"d{v[1]}")).alias(v) for v in XYZ))))
+        bottom = F.filter("_form", lambda p: p["vz"] == 0)
+        under = taken.select(*keys, "vx", "vy", (F.col("vz") + 1).alias("vz"))
+        stands = drawn.where("dz > 0").select(*one, at(bottom)).join(under, [*keys, *XYZ], "left_semi").groupBy(*one).agg(F.count("*").alias("_held"))
+        held = F.when(F.col("dz") == 0, F.size(bottom)).otherwise(F.coalesce("_held", F.lit(0)))
+        held_up = materialize(drawn.join(stands, one, "left").where(held >= support * F.size(bottom)).drop("_held"), "held_up")
+        hits = held_up.select(*one, at(F.col("_form"))).join(taken, [*keys, *XYZ], "left_semi").select(*one).distinct()
+        fit = materialize(held_up.join(hits, one, "left_anti"), "fit")
+        own = fit.select(*one, at(F.col("_form")))
         first = own.groupBy(*keys, *XYZ).agg(F.min("object").alias("_first"))
         late = own.join(first, [*keys, *XYZ]).where(F.col("object") > F.col("_first")).select(*one).distinct()
-        sound = fit.join(late, one, "left_anti")
+        sound = fit.drop("_form").join(late, one, "left_anti")
         room = sound.withColumn("_have", F.lit(0))
         if found:
             have = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.count("*").alias("_have"))
@@ -56,7 +58,10 @@ def place(shapes: DataFrame, occupied: DataFrame, keys: list[str], seed: str, re
         kept = materialize(kept.select(*one, F.lit(turn).alias("turn"), "dx", "dy", "dz"), "placed")
         found.append(kept)
         taken = materialize(taken.unionByName(own.join(kept.select(*one), one, "left_semi").select(*keys, *XYZ)), "taken")
-        open_ = materialize(open_.join(kept.select(*one), one, "left_anti"), "open")
+        full = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.count("*").alias("_have")).where(F.col("_have") >= most)
+        open_ = materialize(open_.join(kept.select(*one), one, "left_anti").join(full, keys, "left_anti"), "open")
+        if open_.isEmpty():
+            break
     return reduce(DataFrame.unionByName, found)
 
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from scenarium.operators import placement
 from scenarium.operators.placement import place, placed_rows
 
 
@@ -28,3 +29,12 @@ def test_places_are_free_and_supported(spark):
     rows = placed_rows(shapes, places, ["s"]).collect()
     assert {(r["s"], r["vx"], r["vy"], r["vz"]) for r in rows} == taken - {(1, x, y, z) for _, x, y, z in ground}
     assert place(shapes.limit(0), shapes.select("s", "vx", "vy", "vz").limit(0), ["s"], "7", 8, 2, 0.5, 12, 2).collect() == []
+
+
+def test_full_scenes_draw_no_more(spark, monkeypatch):
+    tables, real = [], placement.materialize
+    monkeypatch.setattr(placement, "materialize", lambda df, name: (tables.append(name), real(df, name))[1])
+    shapes = spark.createDataFrame([(1, o, 0, 0, z) for o in range(30) for z in range(2)], "s int, object int, vx long, vy long, vz long")
+    places = place(shapes, shapes.select("s", "vx", "vy", "vz").limit(0), ["s"], "7", 8, 4, 0.5, 2, 1)
+    assert places.count() == 2 and {r["turn"] for r in places.collect()} == {0}
+    assert tables.count("placed") == 1
