@@ -200,6 +200,17 @@ def greedy_matches(pairs: DataFrame, keys: list[str], threshold: float) -> DataF
     return reduce(DataFrame.unionByName, taken) if taken else open_
 
 
+def best_of_equal(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """``boxes`` without those that equal a better one of their group: what suppresses the best of equal boxes suppresses all of them, and if it stays they overlap it in full.
+
+    Boxes without volume overlap nothing, and all stay.
+    """
+    sides = [f"{n}{a}" for n in "cs" for a in AXES]
+    solid = reduce(lambda x, a: x & (F.col(f"s{a}") > 0), AXES, F.lit(True))
+    best = boxes.where(solid).groupBy(*keys, *sides).agg(F.max_by(F.struct(*boxes.columns), F.struct("confidence", (-F.col("box_id")).alias("n"))).alias("b"))
+    return best.select("b.*").unionByName(boxes.where(~F.coalesce(solid, F.lit(False))))
+
+
 def suppress(boxes: DataFrame, pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Non-maximum suppression: by score, a box stays if it overlaps no kept box above ``threshold``.
 

@@ -128,7 +128,7 @@ k AS (SELECT scene_id, n, [box_id] AS kept, TRUE AS stays, box_id FROM q WHERE n
 SELECT k.scene_id, q.n, CASE WHEN list_has_any(kept, better) THEN kept ELSE list_append(kept, q.box_id) END, NOT list_has_any(kept, better), q.box_id FROM k JOIN q ON q.scene_id = k.scene_id AND q.n = k.n + 1)
 SELECT scene_id, box_id FROM k WHERE stays""")
 def j10_suppression(spark: SparkSession, sf: str) -> DataFrame:
-    b = boxes(spark, sf)
+    b = spatial.best_of_equal(boxes(spark, sf), ["scene_id"])
     pairs = spatial.overlaps(b, b, ["scene_id"], 3.0).where("a <> b")
     return spatial.suppress(b, pairs, ["scene_id"], 0.25)
 

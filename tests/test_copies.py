@@ -75,3 +75,14 @@ def test_overlaps_of_many_boxes_at_once(spark):
         mirrored = spatial.box_ious(np.full((n, 3), 0.5), np.ones((n, 3)), np.tile(eye, (n, 1)), c, s, r)
         assert np.allclose([got[i] for i in range(n)], mirrored, atol=1e-8)
         assert spatial.box_ious(*(x[:0] for x in (c, s, r, c, s, r))).shape == (0,)
+
+
+def test_of_equal_boxes_the_best_suppresses(spark):
+    rng = np.random.default_rng(6)
+    spots = [(*map(float, rng.integers(0, 4, 3)), 1.0 + int(rng.integers(0, 2)), 2.0, float(rng.integers(1, 3))) for _ in range(12)] + [(1.0, 1.0, 1.0, 0.0, 1.0, 1.0)]
+    rows = [(0, i, *spots[int(rng.integers(0, 13))], float(rng.integers(0, 5))) for i in range(200)]
+    boxes = spark.createDataFrame(rows, f"s long, box_id long, {SIDES}, confidence double")
+    once = spatial.best_of_equal(boxes, ["s"])
+    find = lambda b: {r["box_id"] for r in spatial.suppress(b, spatial.overlaps(b, b, ["s"], 3.0).where("a <> b"), ["s"], 0.25).collect()}
+    assert find(once) == find(boxes)
+    assert once.count() == len({r[2:8] for r in rows if r[5] > 0}) + sum(r[5] == 0 for r in rows)
