@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenarium.operators import spatial
+from scenarium.plans import pose_catalog, region_catalog
 
 SIDES = "cx double, cy double, cz double, sx double, sy double, sz double"
 
@@ -86,3 +87,39 @@ def test_of_equal_boxes_the_best_suppresses(spark):
     find = lambda b: {r["box_id"] for r in spatial.suppress(b, spatial.overlaps(b, b, ["s"], 3.0).where("a <> b"), ["s"], 0.25).collect()}
     assert find(once) == find(boxes)
     assert once.count() == len({r[2:8] for r in rows if r[5] > 0}) + sum(r[5] == 0 for r in rows)
+
+
+def joined(df):
+    """The rows of ``df``, and the most rows that a join of its plan gave."""
+    rows, most = df.collect(), [0]
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if "Join" in name:
+            most[0] = max(most[0], plan.metrics().apply("numOutputRows").value())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return rows, most[0]
+
+
+def test_replacements_of_equal_boxes_are_found_once(spark, tmp_path):
+    spark.range(400).select((F.col("id") * 792).alias("p_partkey"), F.lit(5).alias("p_size"), F.lit(950.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    rows, most = joined(region_catalog.j23_replacement(spark, str(tmp_path)))
+    assert sorted(map(tuple, rows)) == [(792 * k, 792) for k in range(0, 400, 2)]
+    assert most <= 400
+
+
+def test_scales_of_equal_boxes_are_found_once(spark, tmp_path):
+    spark.range(100).select((F.col("id") * 3168).alias("p_partkey"), F.lit(5).alias("p_size"), F.lit(950.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    quantity = F.when(F.col("id") % 2 == 0, 5.0).otherwise(25.0).alias("l_quantity")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("l_partkey", "l_suppkey")] + [F.lit(1).alias("l_linenumber"), F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax")]
+    spark.range(300).select(F.col("id").alias("l_orderkey"), quantity, *zero).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows, most = joined(pose_catalog.f12_scale_prune(spark, str(tmp_path)))
+    assert sorted(map(tuple, rows)) == [(3168 * k, 300, 150) for k in range(100)]
+    assert most <= 400
